@@ -6,8 +6,9 @@ runs by digest and merges them, so what a round sends shrinks with every level,
 of all rows share is met by at most ``radix`` entries per task and level, never by its rows. The result
 goes back down the same tree: one entry per (digest, leaf), joined to the rows of that leaf.
 
-Entries carry the SHA-256 of the normalised text and its byte length; a level verifies that the lengths it
-merges agree, and fails instead of merging texts that differ.
+Entries carry the SHA-256 of the normalised text and an independent BLAKE2 check of it; a level verifies that
+the checks it merges agree, and fails instead of merging texts that differ. String checks keep Spark on sort
+aggregation: each level's shuffle leaves its runs sorted by digest, and equal digests meet as neighbours.
 """
 
 from __future__ import annotations
@@ -24,23 +25,23 @@ LEAVES = 64
 RADIX = 8
 
 
-@F.arrow_udf("struct<digest string, n_bytes long>")
+@F.arrow_udf("struct<digest string, check string>")
 def text_digest(texts: pa.Array) -> pa.Array:
     """SHA-256 of each whole text after lower-casing A-Z only; null counts as empty."""
     raw = [(t or "").encode().lower() for t in texts.to_pylist()]  # bytes.lower() changes ASCII letters only
-    return pa.StructArray.from_arrays(
-        [pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()), pa.array([len(r) for r in raw], pa.int64())], names=["digest", "n_bytes"]
-    )
+    digests = pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())
+    checks = pa.array([hashlib.blake2b(r, digest_size=12).hexdigest() for r in raw], pa.string())
+    return pa.StructArray.from_arrays([digests, checks], names=["digest", "check"])
 
 
 def _merged(keep: str) -> list[Column]:
     best = F.max if keep == "max" else F.min
-    same = F.when(F.max("_most") == F.min("_least"), F.max("_most")).otherwise(F.raise_error(F.lit("texts of one digest differ in length")))
-    return [best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), same.cast("long").alias("_most"), F.min("_least").alias("_least")]
+    same = F.when(F.max("_most") == F.min("_least"), F.max("_most")).otherwise(F.raise_error(F.lit("texts of one digest differ")))
+    return [best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), same.cast("string").alias("_most"), F.min("_least").alias("_least")]
 
 
 def annotate(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text", leaves: int = LEAVES, radix: int = RADIX) -> DataFrame:
-    """Per row: id, keep_id, group_size, kept, text_sha256, n_bytes.
+    """Per row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical after lower-casing A-Z. ``keep`` says whether the largest or the
     smallest identifier stays. Null texts equal empty ones. Null identifiers lose to all others; a group of
@@ -48,12 +49,12 @@ def annotate(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_co
     count each. An empty table gives an empty one. Other columns are not read, so none can clash.
     """
     digests = docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_d"))
-    rows = materialize(digests.select("_id", "_d.digest", "_d.n_bytes", salt_of("_id", leaves).alias("_salt")), "digests")
-    runs = rows.select("digest", "_salt", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("n_bytes").alias("_most"), F.col("n_bytes").alias("_least"))
+    rows = materialize(digests.select("_id", "_d.digest", "_d.check", salt_of("_id", leaves).alias("_salt")), "digests")
+    runs = rows.select("digest", "_salt", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("check").alias("_most"), F.col("check").alias("_least"))
     first, last = merge_levels(runs, "digest", lambda: _merged(keep), leaves, radix)
     down = first.select("digest", "_salt").join(last.select("digest", "keep_id", "group_size"), "digest")
     out = rows.join(down, ["digest", "_salt"])
-    return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "n_bytes")
+    return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
