@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, exactdedup, langid, licenses, mixing, neardup, quality, secrets, warc
+from loomtext.llm import bpe, exactdedup, fingerprint, langid, licenses, mixing, neardup, quality, secrets, warc
 from loomtext.llm.common import table
 
 
@@ -49,6 +49,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.compare(table(spark, sf_dir, "documents"))
+    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.annotate(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -57,7 +63,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_secrets": op6_secrets, "op7_near_dedup": op7_near_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_secrets": op6_secrets, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses}
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
