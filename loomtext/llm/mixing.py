@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 GOLDEN = 2654435769  # 2**32 over the golden ratio
 POINTS = 1 << 32
 CHUNK = 1 << 12
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 MOST_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
