@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import materialize, merge_levels, salt_of
@@ -63,7 +63,9 @@ def deduplicate(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text
     Same rules as :func:`annotate`; of rows that repeat the identifier to keep, one stays.
     """
     marked = annotate(docs, keep, id_col, text_col)
-    winners = marked.filter("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_digest")).distinct()
-    rows = docs.withColumn("_row_digest", text_digest(F.col(text_col))["digest"])
-    joined = rows.join(winners, rows[id_col].eqNullSafe(winners["_keep_id"]) & (rows["_row_digest"] == winners["_keep_digest"]))
-    return joined.dropDuplicates(["_keep_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = lambda digest, i: F.concat_ws(":", digest, F.coalesce(F.col(i).cast("string"), F.lit("null")))
+    winners = marked.filter("kept").select(one(F.col("text_sha256"), id_col).alias("_winner")).distinct()
+    rows = docs.withColumn("_row", one(text_digest(F.col(text_col))["digest"], id_col))
+    first = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))  # the join has dealt and sorted by it
+    joined = rows.join(winners, F.col("_row") == F.col("_winner"), "left_semi").withColumn("_nth", first)
+    return joined.filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
