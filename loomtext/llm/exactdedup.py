@@ -18,6 +18,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtext.llm.common import materialize, merge_levels, salt_of
 
@@ -25,7 +26,7 @@ LEAVES = 64
 RADIX = 8
 
 
-@F.arrow_udf("struct<digest string, check string>")
+@F.arrow_udf(T.StructType([T.StructField("digest", T.StringType()), T.StructField("check", T.StringType())]))
 def text_digest(texts: pa.Array) -> pa.Array:
     """SHA-256 of each whole text after lower-casing A-Z only; null counts as empty."""
     raw = [(t or "").encode().lower() for t in texts.to_pylist()]  # bytes.lower() changes ASCII letters only
