@@ -6,10 +6,10 @@ most ``ERRORS`` differing values; here one error is allowed, so enumerating each
 left out gives keys of which every such pair shares one. That guarantee is for the signature distance; a pair
 of Jaccard similarity 0.8 misses all twelve chunks with a probability of 3 in a million.
 
-Work per group of copies stays linear. Equal sets are one vertex. Within a key, each vertex is first compared
-with the key's smallest vertex only; exactly confirmed links are contracted to components. Only keys that
-still hold several components are looked at again, in blocks of bounded size whose tasks compare signatures
-and return just the pairs across components that are close enough. Every link is confirmed on full sets.
+No group's pairs are ever listed. Equal sets are one vertex. Each key's smallest vertex leads it, and each
+other vertex of the key is compared, on full sets, with the leader only; links found so are contracted to
+components. Where a leader's vertices are not all of one component then, they are dealt in blocks of bounded
+size, and tasks compare two blocks exactly, from each vertex's difference to the leader, and return links only.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from loomtext.llm.common import materialize, merge_levels, salt_of
 
 CHUNKS, CHUNK, ERRORS = 12, 6, 1
 VALUES = CHUNKS * CHUNK
-FAR = 34  # differing values of 72; at similarity 0.8 this many are 6 standard deviations off
 BLOCK = 256
 CACHE_WORDS = 400_000
 SALTS, RADIX = 64, 8
@@ -121,7 +120,7 @@ def _keys(vertices: DataFrame, kind: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, kind: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(wanted, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(wanted.hint("merge"), "id")  # one plan at every size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -136,13 +135,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
     return rows.select("id", "_text").mapInArrow(run, f"id {kind}, members array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
+def _compared(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n, lost, added): the size of a's set, and what b's lacks and has beyond it."""
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("_x")), sets.select(F.col("id").alias("b"), F.col("members").alias("_y"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("_n", F.size("_x") + F.size("_y"))
-    sized = both.filter(100 * F.least(F.size("_x"), F.size("_y")) >= percent * F.greatest(F.size("_x"), F.size("_y")))
-    common = F.size(F.array_intersect("_x", "_y"))
-    return sized.withColumn("_common", common).filter(100 * F.col("_common") >= percent * (F.col("_n") - F.col("_common"))).select("a", "b").distinct()
+    both = star.join(right, "b").join(left, "a")
+    return both.select("a", "b", F.size("_x").alias("n"), F.array_except("_x", "_y").alias("lost"), F.array_except("_y", "_x").alias("added"))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -168,52 +165,74 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _close_pairs(members: DataFrame, vertices: DataFrame, labels: DataFrame, kind: str) -> DataFrame:
-    """Pairs across components within a key of three or more, near enough by signature; none with the leader."""
-    rows = members.filter("n >= 3").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = materialize(rows, "members")
-    torn = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rows = rows.join(torn, "key").filter("id <> leader").join(vertices.select("id", "sig"), "id")
-    rows = rows.withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component", "sig")
-
-    def pairs(group: list[tuple]) -> tuple[list, list]:
-        x, y, block, ids, comps, sigs = zip(*group)
-        sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, VALUES)
-        comp, blk = np.unique(np.array(comps, dtype=object), return_inverse=True)[1], np.array(block)
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            rest = np.arange(i + 1, len(ids))
-            ok = (comp[rest] != comp[i]) & ((blk[rest] != blk[i]) | (x[0] == y[0]))
-            rest = rest[ok]
-            near = rest[(sig[rest] != sig[i]).sum(axis=1) <= FAR]
-            a += [ids[i]] * len(near)
-            b += [ids[j] for j in near]
-        return a, b
+def _linked(group: list[tuple], percent: int) -> tuple[list, list]:
+    """Links across components in one block or pair of blocks around a leader, exactly, from the differences.
+
+    With L the leader's set, |x and y| = |L| - |lost_x or lost_y| + |added_x and added_y|. Elements that only
+    one of them has add nothing to an intersection and take no column.
+    """
+    same_block, blocks, ids, comps, n, lost, added = group[0][0], *zip(*(r[1:] for r in group))
+    comp, blk = np.unique(np.array(comps, dtype=object), return_inverse=True)[1], np.array(blocks)
+
+    def shared(parts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in parts])
+        rows, total = np.repeat(np.arange(len(parts)), sizes), np.zeros((len(parts), len(parts)), np.float32)
+        _, cols, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        often = counts[cols] > 1
+        rows, cols = rows[often], np.unique(cols[often], return_inverse=True)[1]
+        for at in range(0, int(cols.max(initial=-1)) + 1, 4096):
+            dense = np.zeros((len(parts), 4096), np.float32)
+            here = (cols >= at) & (cols < at + 4096)
+            dense[rows[here], cols[here] - at] = 1
+            total += dense @ dense.T
+        np.fill_diagonal(total, sizes)
+        return sizes, total
+
+    (n_lost, both_lost), (n_added, both_added) = shared(lost), shared(added)
+    size = np.array(n) - n_lost + n_added
+    common = np.array(n)[:, None] - (n_lost[:, None] + n_lost[None, :] - both_lost) + both_added
+    link = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    link &= (comp[:, None] != comp[None, :]) & ((blk[:, None] != blk[None, :]) | same_block)
+    i, j = np.nonzero(np.triu(link, 1))
+    return [ids[k] for k in i], [ids[k] for k in j]
+
+
+def _links_across(compared: DataFrame, labels: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links between members of a leader whose members are not yet of one component.
+
+    Any two vertices that share a key are both compared with that key's leader, so the members of each leader
+    hold every candidate pair once per leader. A leader's members are dealt in blocks; a task gets two of them.
+    """
+    rows = compared.join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    torn = rows.groupBy("a").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("a", "m")
+    rows = rows.join(torn, "a").withColumn("blocks", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(b), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    rows = rows.select("a", "x", "y", "block", "b", "component", "n", "lost", "added")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at = [], None
-        ids_type = None
+        group, at, kinds = [], None, None
 
         def out() -> pa.RecordBatch:
-            a, b = pairs(group)
-            return pa.RecordBatch.from_arrays([pa.array(a, ids_type), pa.array(b, ids_type)], names=["a", "b"])
+            a, b = _linked(group, percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, kinds), pa.array(b, kinds)], names=["a", "b"])
 
         for batch in batches:
-            ids_type = batch.schema.field("id").type
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != at:
+            kinds = batch.schema.field("b").type
+            plain = [batch.column(i).to_pylist() for i in range(7)]
+            ends = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(7), batch.column(8))]
+            for r in range(batch.num_rows):
+                key = (plain[0][r], plain[1][r], plain[2][r])
+                if key != at:
                     if len(group) > 1:
                         yield out()
-                    group, at = [], row[:3]
-                group.append(row[1:])
+                    group, at = [], key
+                group.append((key[1] == key[2], *(plain[i][r] for i in range(3, 7)), *(v[o[r] : o[r + 1]] for o, v in ends)))
         if len(group) > 1:
             yield out()
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = int(compared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "a", "x", "y").sortWithinPartitions("a", "x", "y")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,15 +254,16 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     # the signature of a class is that of any of its rows; its representative's row has one
     vertices = materialize(some.select("_id", "name", "sig").join(classes, (F.col("_id") == F.col("id")) & (some["name"] == classes["name"])).select("id", "sig").dropDuplicates(["id", "sig"]), "vertices")
     shared = _keys(vertices, kind).groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(shared, "keys")
-    members = materialize(_keys(vertices, kind).join(shared, "key"), "members")
-    star = materialize(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    shared = materialize(shared.select("key", "leader"), "keys")
+    star = _keys(vertices, kind).join(shared, "key").filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    star = materialize(star.distinct(), "pairs")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_sets(docs, wanted, id_col, text_col, words, kind).dropDuplicates(["id", "members"]), "sets")
-    links = materialize(_confirmed(star, sets, percent), "links")
+    sets = materialize(_sets(docs, wanted, id_col, text_col, words, kind).dropDuplicates(["id"]), "sets")
+    compared = materialize(_compared(star, sets), "compared")
+    alike = f"100 * (n - size(lost)) >= {percent} * (n + size(added))"
+    links = compared.filter(alike).select("a", "b")
     labels = components(links)
-    more = materialize(_close_pairs(members, vertices, labels, kind), "pairs")
-    found = materialize(_confirmed(more, sets, percent), "links")
+    found = materialize(_links_across(compared, labels, percent, kind), "links")
     if not found.isEmpty():
         labels = components(links.unionByName(found))
     rows = base.filter("name IS NOT NULL AND _id IS NOT NULL").join(of_row, ["name", "_salt"])
