@@ -70,12 +70,12 @@ class MergeTable:
         self.split = regex.compile(SPLIT_PATTERN)
 
     def _lookahead(self, merges: list[tuple[int, int, int]]) -> int:
-        made: dict[int, int] = {}
+        made, known = set(), set(self.base)
         spine_parent: dict[int, int] = {}
         chain: dict[int, int] = {}
         longest = 0
-        for rank, (a, b, c) in enumerate(merges):
-            if c in made or made.get(a, -1) >= rank or made.get(b, -1) >= rank:
+        for a, b, c in merges:
+            if c in made or not known.issuperset((a, b)):
                 raise ValueError("merges must make each token once, after its parts")
             reach, t = 0, b
             while t is not None:
@@ -83,9 +83,9 @@ class MergeTable:
             moved = len(self.bytes_of[a]) + reach
             chain[a] = max(chain.get(a, 0), moved)
             longest = max(longest, moved)
-            made[c], spine_parent[c] = rank, a
-        if any(m not in made and m not in set(self.base) for a, b, _ in merges for m in (a, b)):
-            raise ValueError("merges must be of tokens made before them")
+            made.add(c)
+            known.add(c)
+            spine_parent[c] = a
         return longest
 
     def merge(self, piece: bytes) -> list[int]:
