@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.plans import cleaning, corpus_profile
+from loomtext.plans import cleaning, corpus_profile, style
 
-MODULES = (corpus_profile, cleaning)
+MODULES = (corpus_profile, cleaning, style)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
