@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.plans import cleaning, corpus_profile, registers, retrieval, style
+from loomtext.plans import admission, cleaning, corpus_profile, registers, retrieval, style
 
-MODULES = (corpus_profile, cleaning, style, retrieval, registers)
+MODULES = (corpus_profile, cleaning, style, retrieval, registers, admission)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
