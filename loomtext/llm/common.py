@@ -42,6 +42,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dictionary that one operator keeps between the tasks of a Python worker.
+
+    Workers outlive stages, so another operator's dictionary is let go of: a worker holds one at a time.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = {}
+    return _HELD[owner]
+
+
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """Whole texts of 10,000 rows make batches of tens of MB on both sides of every Python worker; unless the
+    session says otherwise, batches of texts are smaller."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows))
+    return df
+
+
 def salt_of(column: Column | str, salts: int) -> Column:
     """A stable salt in [0, salts): recomputed tasks deal the same rows alike."""
     return F.pmod(F.xxhash64(F.lit("salt"), column), F.lit(salts)).cast("int")

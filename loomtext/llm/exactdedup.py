@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import materialize, merge_levels, salt_of
+from loomtext.llm.common import materialize, merge_levels, salt_of, small_batches
 
 LEAVES = 64
 RADIX = 8
@@ -49,7 +49,7 @@ def annotate(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_co
     only null ones keeps null. Rows that repeat an identifier within a group are all marked as kept, and
     count each. An empty table gives an empty one. Other columns are not read, so none can clash.
     """
-    digests = docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_d"))
+    digests = small_batches(docs).select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_d"))
     rows = materialize(digests.select("_id", "_d.digest", "_d.check", salt_of("_id", leaves).alias("_salt")), "digests")
     runs = rows.select("digest", "_salt", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("check").alias("_most"), F.col("check").alias("_least"))
     first, last = merge_levels(runs, "digest", lambda: _merged(keep), leaves, radix)
@@ -66,7 +66,7 @@ def deduplicate(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text
     marked = annotate(docs, keep, id_col, text_col)
     one = lambda digest, i: F.concat_ws(":", digest, F.coalesce(F.col(i).cast("string"), F.lit("null")))
     winners = marked.filter("kept").select(one(F.col("text_sha256"), id_col).alias("_winner")).distinct()
-    rows = docs.withColumn("_row", one(text_digest(F.col(text_col))["digest"], id_col))
+    rows = small_batches(docs).withColumn("_row", one(text_digest(F.col(text_col))["digest"], id_col))
     first = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))  # the join has dealt and sorted by it
     joined = rows.join(winners, F.col("_row") == F.col("_winner"), "left_semi").withColumn("_nth", first)
     return joined.filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import small_batches
+
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}]+")
 UNKNOWN = "und"
@@ -110,4 +112,4 @@ def identify(docs: DataFrame, content: dict[str, bytes] | None = None, id_col: s
                 out = [part.column(0), part.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(out, names=[id_col, "held_out", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)

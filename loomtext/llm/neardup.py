@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize, merge_levels, salt_of
+from loomtext.llm.common import materialize, merge_levels, salt_of, small_batches, worker_cache
 
 CHUNKS, CHUNK, ERRORS = 12, 6, 1
 VALUES = CHUNKS * CHUNK
@@ -91,7 +91,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = worker_cache("shingles")
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part, n, name, sig = batch.slice(i, 1024), [], [], []
@@ -102,7 +102,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
                     sig.append(signature(found) if len(found) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(sig, pa.binary())], names=["_id", "n", "name", "sig"])
 
-    return rows.mapInArrow(run, f"_id {kind}, n long, name string, sig binary")
+    return small_batches(rows).mapInArrow(run, f"_id {kind}, n long, name string, sig binary")
 
 
 def _keys(vertices: DataFrame, kind: str) -> DataFrame:
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(wanted.hint("merge"), "id")  # one plan at every size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = worker_cache("shingles")
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -132,7 +132,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
                 values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["id", "members"])
 
-    return rows.select("id", "_text").mapInArrow(run, f"id {kind}, members array<long>")
+    return small_batches(rows).select("id", "_text").mapInArrow(run, f"id {kind}, members array<long>")
 
 
 def _compared(star: DataFrame, sets: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _links_across(compared: DataFrame, labels: DataFrame, percent: int, kind: st
 
     parts = int(compared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "a", "x", "y").sortWithinPartitions("a", "x", "y")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return small_batches(dealt).mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import small_batches, worker_cache
+
 TOKEN = regex.compile(r"\p{L}+|[^\p{L}\p{N}\s]+")
 CELLS = (1 << 40) - 1
 SAMPLE_ROWS = 10_000  # labelled rows that a fit sees, at most
@@ -138,12 +140,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = Non
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        cache = worker_cache("quality")
         for batch in batches:
             cells = [sorted(features(t, cache))[:SAMPLE_FEATURES] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cells, pa.list_(pa.int64()))], names=["_id", "_grade", "_cells"])
 
-    table = texts.select("_id", "_text", "_grade").mapInArrow(run, f"_id {kind}, _grade int, _cells array<long>").toArrow().to_pydict()
+    table = small_batches(texts).select("_id", "_text", "_grade").mapInArrow(run, f"_id {kind}, _grade int, _cells array<long>").toArrow().to_pydict()
     rows = {i: (g, c) for i, g, c in sorted(zip(table["_id"], table["_grade"], table["_cells"]), reverse=True)}
     return [rows[i] for i in sorted(rows)]
 
@@ -161,7 +163,7 @@ def grade(docs: DataFrame, model: Model, accept_grade: int = 2, accept: float =
     schema = f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, expected_grade double, tail_prob double, grade_pred int, kept boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = Model(*sent.value), {}
+        own, cache = Model(*sent.value), worker_cache("quality")
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -171,7 +173,7 @@ def grade(docs: DataFrame, model: Model, accept_grade: int = 2, accept: float =
                 out = [part.column(0), pa.array([sum(t) for t in tails], pa.float64()), pa.array(tail, pa.float64()), pa.array([p.index(max(p)) for p in probs], pa.int32()), pa.array([x >= accept for x in tail], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def accept_rows(docs: DataFrame, model: Model, accept_grade: int = 2, accept: float = ACCEPT, text_col: str = "text") -> DataFrame:
@@ -180,11 +182,8 @@ def accept_rows(docs: DataFrame, model: Model, accept_grade: int = 2, accept: fl
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
-        own, cache = Model(*sent.value), _CACHE
+        own, cache = Model(*sent.value), worker_cache("quality")
         tails = [own.tails(own.score(features(t, cache))) for t in texts.to_pylist()]
         return pa.array([(t[accept_grade - 1] if accept_grade <= len(t) else 0.0) >= accept for t in tails], pa.bool_())
 
-    return docs.filter(accepted(F.col(text_col)))
-
-
-_CACHE: dict[str, int] = {}
+    return small_batches(docs).filter(accepted(F.col(text_col)))
