@@ -145,6 +145,13 @@ def stale(results: DataFrame, current: DataFrame) -> DataFrame:
     return rows.withColumn("stale", old).withColumn("blocking", old & ~((F.col("kind") == "style") & (F.coalesce(F.trim("note"), F.lit("")) != ""))).drop("_now")
 
 
+def register_gates(gates: DataFrame, current: DataFrame) -> DataFrame:
+    """(gate, passed): discrimination and family gates need a current hash, masked passages, two samples and .7."""
+    rows = gates.join(current.select("target", F.col("hash").alias("_now")), "target", "left")
+    ok = F.coalesce(F.col("hash") == F.col("_now"), F.lit(False)) & F.coalesce(F.col("masked"), F.lit(False)) & (F.col("n") >= 2) & (F.col("score") >= SELECTION)
+    return rows.select("gate", F.coalesce(ok, F.lit(False)).alias("passed"))
+
+
 def conceal(text: Column, labels: list[str]) -> Column:
     """Literal labels replaced, longest first."""
     for label in sorted(set(labels), key=lambda s: (-len(s), s)):

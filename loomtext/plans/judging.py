@@ -133,6 +133,12 @@ def f12(spark, d):
     return J.selection_gate(cases, spark.createDataFrame([("R0",), ("R1",), ("R2",)], "family_id string"))
 
 
+def f13(spark, d):
+    i = F.col("doc_id")
+    gates = _docs(spark, d).select(i.alias("gate"), (i % 5).alias("target"), F.concat(F.lit("h"), (i % 7).cast("string")).alias("hash"), F.when(i % 11 == 0, None).otherwise(i % 3 != 0).alias("masked"), (i % 4).alias("n"), (i % 101 / F.lit(100.0)).alias("score"))
+    return J.register_gates(gates, spark.range(4).select(F.col("id").alias("target"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("hash")))
+
+
 def f14(spark, d):
     text, labels = F.col("text"), ["the", "the on", "ing"]
     return _docs(spark, d).select("doc_id", F.sha2(J.conceal(text, labels), 256).alias("concealed"), F.array_join(F.transform(J.conceal_counts(text, labels), lambda x: F.concat_ws("=", x["literal"], x["count"])), ",").alias("counts"))
@@ -178,7 +184,7 @@ def f19(spark, d):
 
 
 QUERIES = {"F1_recognition": f1, "F2_preference": f2, "F3_outcome": f3, "F4_citations": f4, "F5_delivery": f5, "F6_behavioral": f6, "F7_identity": f7, "F7_identity_gate": f7_gate, "F7_identity_problems": f7_problems, "F8_projection": f8, "F9_leakage": f9,
-           "F10_cost_problems": f10, "F11_matrix_problems": f11, "F12_selection": f12, "F14_concealment": f14, "F15_mixed_words": f15, "F16_agreement": f16, "F17_corrections": f17, "F17_unknown_corrections": f17_unknown, "F18_regroup": f18, "F19_staleness": f19}
+           "F10_cost_problems": f10, "F11_matrix_problems": f11, "F12_selection": f12, "F13_register_gates": f13, "F14_concealment": f14, "F15_mixed_words": f15, "F16_agreement": f16, "F17_corrections": f17, "F17_unknown_corrections": f17_unknown, "F18_regroup": f18, "F19_staleness": f19}
 
 GRID = "(SELECT doc_id AS run, j, c, s, k FROM documents, (SELECT unnest(range(2)) AS j), (SELECT unnest(range(3)) AS c), (SELECT unnest(range(2)) AS s), (SELECT unnest(range(5)) AS k))"
 SCORES = f"""(SELECT run, j + 1 AS judge, c + 1 AS case_id, j = s AS own, k, CASE WHEN (run * 3 + j + c * 5 + k) % 211 = 0 THEN NULL WHEN m = 0 THEN 1 WHEN m <= 2 THEN 2 WHEN m % 2 = 0 THEN 3 ELSE 4 END AS score
@@ -211,6 +217,7 @@ ORACLES = {
     "F10_cost_problems": """SELECT id, problem FROM (SELECT doc_id AS id, unnest([CASE WHEN doc_id % 37 = 0 THEN 'missing' END, CASE WHEN doc_id % 4 > doc_id % 7 OR doc_id % 7 > doc_id % 10 THEN 'inconsistent' END, CASE WHEN doc_id % 10 > 0 AND doc_id % 4 = 0 THEN 'no core refusal' END]) AS problem FROM documents) WHERE problem IS NOT NULL""",
     "F11_matrix_problems": f"SELECT 'unknown unit' AS problem, 'zz' AS i, 'src1' AS j UNION ALL SELECT 'diagonal', 'src3', 'src3' UNION ALL SELECT 'not symmetric', 'src1', unit_id FROM {register_plans.units()} WHERE unit_id > 'src1'",
     "F12_selection": "SELECT avg((doc_id % 9 <> 0 AND doc_id % 11 <> 0)::INT) AS score, true AS covers, avg((doc_id % 9 <> 0 AND doc_id % 11 <> 0)::INT) >= 0.7 AS passed FROM documents",
+    "F13_register_gates": "SELECT doc_id AS gate, doc_id % 5 < 4 AND doc_id % 5 = doc_id % 7 AND doc_id % 11 <> 0 AND doc_id % 3 <> 0 AND doc_id % 4 >= 2 AND doc_id % 101 >= 70 AS passed FROM documents",
     "F14_concealment": f"""SELECT doc_id, sha256(replace(replace(t1, 'ing', '[identity concealed]'), 'the', '[identity concealed]')) AS concealed, concat_ws(',', CASE WHEN a > 0 THEN 'the on=' || a END, CASE WHEN b > 0 THEN 'ing=' || b END, CASE WHEN c > 0 THEN 'the=' || c END) AS counts
         FROM (SELECT *, {sql.n_literal('t0', 'the on')} AS a, {sql.n_literal('t1', 'ing')} AS b, {sql.n_literal("replace(t1, 'ing', '[identity concealed]')", 'the')} AS c FROM {_fixed})""",
     "F15_mixed_words": "SELECT doc_id, len(regexp_extract_all(text, '[㐀-鿿]|[\\p{L}\\p{N}]+([’''-][\\p{L}\\p{N}]+)*')) AS n_words FROM documents",

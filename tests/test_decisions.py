@@ -150,3 +150,31 @@ def test_digest_is_canonical():
     assert ledger.digest({"b": 1, "a": "é"}) == ledger.digest({"a": "é", "b": 1})
     with pytest.raises(ValueError):
         ledger.encoded(float("nan"))
+
+
+def test_chinese_features_equal_plain_counting(spark):
+    import re
+    import statistics
+
+    from loomtext.functions import lexicons as L
+    from loomtext.plans.style import CHINESE
+
+    got = {(r.unit_id, r.dim): r.value for r in registers.features_zh(spark.createDataFrame([(str(i), t) for i, t in CHINESE], "unit_id string, text string"), ("北京",), ("大学",)).collect()}
+    for i, text in CHINESE:
+        n = len(re.findall(L.HAN, text))
+        lengths = sorted(x for x in (len(re.findall(L.HAN, s)) for s in re.split(L.SENTENCE_END_ZH, text)) if x)
+        rate = lambda words: 10000 * sum(text.count(w) for w in words) / n if n else 0.0
+        want = {"mean_sentence_len": statistics.mean(lengths) if lengths else 0, "median_sentence_len": statistics.median(lengths) if lengths else 0, "p90_sentence_len": lengths[min(len(lengths) - 1, int(0.9 * len(lengths)))] if lengths else 0,
+                "long_sentence_share": sum(x > 40 for x in lengths) / len(lengths) if lengths else 0, "hedge_rate": rate(L.HEDGES_ZH), "booster_rate": rate(L.BOOSTERS_ZH), "connective_rate": rate(L.SCAFFOLDING_ZH), "first_person_rate": rate(L.FIRST_ZH), "second_person_rate": rate(L.SECOND_ZH),
+                "question_rate": rate("？?"), "title_mark_rate": rate("《"), "core_term_density": rate(["北京"]), "flagship_term_density": rate(["大学"])}
+        assert {d: got[str(i), d] for d in want} == pytest.approx(want) and len(want) == 13
+
+
+def test_blind_sample_offsets(spark):
+    rows = [("a", " ".join(f"w{k}" for k in range(1000))), ("b", "only three words"), ("c", "")]
+    got = registers.blind_sample(spark.createDataFrame(rows, "cluster_id string, text string"), per_cluster=3, length=50).collect()
+    assert sorted(r.passage_id for r in got) == list(range(1, 10))
+    for r in got:
+        n = {"a": 1000, "b": 3, "c": 0}[r.cluster_id]
+        lo = min(n // 10, 500, max(0, n - 50))
+        assert lo <= r.start < max(lo + 1, n - 50 + 1) and r.passage.split() == dict(rows)[r.cluster_id].split()[r.start : r.start + 50]
