@@ -26,6 +26,7 @@ HELD_OUT = 2  # crc32(id as text) mod 4
 BUCKETS = 256  # training documents per language, at most
 DOC_BYTES = 4096  # of each of them, at most
 BLOCK_BYTES = 4096
+LEAST_BYTES = 1 << 16
 LEVEL = 6
 REJECT_MARGIN = 0.01
 SCALE = 0.05  # relative margin at which the score is 1
@@ -58,8 +59,9 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out: dict[str, list[tuple[int, bytes]]] = {}
     for r in sorted(picked, key=lambda r: (r["_lang"], r["_bucket"])):
         out.setdefault(r["_lang"], []).append(letters(r["_piece"])[:DOC_BYTES])
-    size = min((sum(map(len, v)) for v in out.values()), default=0)
-    return {k: b"\n".join(v)[: max(size, 1)] for k, v in out.items()}  # equal sizes: a larger dictionary is no advantage
+    # equal sizes, so that a larger dictionary is no advantage; but a rare language does not shrink the others' below LEAST_BYTES
+    size = max(LEAST_BYTES, min((sum(map(len, v)) for v in out.values()), default=0))
+    return {k: b"\n".join(v)[:size] for k, v in out.items()}
 
 
 def letters(text: str) -> bytes:

@@ -52,6 +52,13 @@ def test_language_held_out_accuracy(spark):
     assert {r.doc_id: r.lang_pred for r in langid.identify(shuffled).collect()} == {i: r.lang_pred for i, r in out.items()}
 
 
+def test_a_rare_language_does_not_shrink_the_others(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["the", "and", "whence"]) + rng.choice("abc") for _ in range(200)), "en") for i in range(200)] + [(900, "zq", "xx"), (901, "qz", "xx")]
+    content = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(content["en"]) > 50_000 and set(content) == {"en", "xx"}
+
+
 def test_language_edge_rows(spark):
     docs = spark.createDataFrame([(1, "hello there friend", "en", 0.1), (2, None, "en", 0.1), (3, "12 !?", None, 0.1), (None, "hello", None, 0.1), (3, "", "fr", 0.1)], "doc_id long, text string, lang string, score double")
     out = sorted((str(r.doc_id), r.lang_pred) for r in langid.identify(docs).collect())
