@@ -30,7 +30,7 @@ LEAST_BYTES = 1 << 16
 LEVEL = 6
 REJECT_MARGIN = 0.01
 SCALE = 0.05  # relative margin at which the score is 1
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 200
 
 
 def held_out(id_col: str) -> F.Column:
@@ -101,7 +101,7 @@ def identify(docs: DataFrame, content: dict[str, bytes] | None = None, id_col: s
     rows are predicted alike; an empty table gives an empty one. Other columns are not read, so none can clash.
     """
     content = training_sample(docs, id_col, text_col, lang_col) if content is None else content
-    sent = docs.sparkSession.sparkContext.broadcast(content)  # at most 1,000 languages of BUCKETS * DOC_BYTES each
+    sent = docs.sparkSession.sparkContext.broadcast(content)  # at most MOST_LANGUAGES languages of BUCKETS * DOC_BYTES each
     rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("_held"), F.col(text_col).alias("_text"))
     schema = f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean"
 
