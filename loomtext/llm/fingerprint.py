@@ -57,7 +57,7 @@ def fingerprint(text: Column) -> Column:
 
     A text of fewer than five words is one shingle. Null gives what an empty text gives.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
     shingles = lambda w: (
         F.when(F.size(w) == 0, F.expr("cast(array() as array<bigint>)"))
         .when(F.size(w) < SHINGLE, F.array(F.xxhash64(w)))
@@ -77,8 +77,19 @@ def fingerprint(text: Column) -> Column:
 
         return F.transform(d, lambda x, k: F.when(full(x), x).otherwise(donor(k)))
 
-    digits = lambda d: F.lower(F.array_join(F.transform(d, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
-    packed = lambda h: F.when(F.size(h) == 0, F.lit("")).otherwise(_let(F.sort_array(F.concat(h, sentinels)), lambda s: _let(firsts(s), lambda d: digits(filled(d)))))
+
+    def digits(d: Column) -> Column:
+        """Eight bins to a long, and each long to 16 digits."""
+
+        def eight(j: Column) -> Column:
+            out = F.lit(0).cast("long")
+            for k in range(8):
+                out = F.shiftleft(out, 8).bitwiseOR(d[j * 8 + k].bitwiseAND(F.lit(255)))
+            return F.lpad(F.hex(out), 16, "0")
+
+        return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS // 8 - 1)), eight), ""))
+
+    packed = lambda h: F.when(F.size(h) == 0, F.lit("")).otherwise(_let(F.sort_array(F.concat(h, sentinels)), lambda s: _let(firsts(s), lambda d: _let(filled(d), digits))))
     return _let(words, lambda w: _let(shingles(w), packed))
 
 
