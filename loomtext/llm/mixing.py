@@ -16,9 +16,9 @@ no task sees a whole source. Only per-source totals reach the driver.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,7 +74,7 @@ def schedule(spark, blocks: list[int]) -> DataFrame:
 
     @F.pandas_udf("int")
     def source_at(points: pd.Series) -> pd.Series:
-        return points.map(lambda p: min(bisect_right(edges, p), last)).astype("int32")
+        return pd.Series(np.minimum(np.searchsorted(edges, points.to_numpy(), side="right"), last).astype("int32"))
 
     slots = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"id div {CHUNK}").alias("chunk"), source_at(F.expr(f"pmod(pmod(id, {POINTS >> 1}) * {GOLDEN}, {POINTS})")).alias("source_no"))
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
