@@ -36,9 +36,11 @@ def text_digest(texts: pa.Array) -> pa.Array:
 
 
 def _merged(keep: str) -> list[Column]:
-    best = F.max if keep == "max" else F.min
-    same = F.when(F.max("_most") == F.min("_least"), F.max("_most")).otherwise(F.raise_error(F.lit("texts of one digest differ")))
-    return [best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), same.cast("string").alias("_most"), F.min("_least").alias("_least")]
+    """One level's columns. The identifier passes only if the checks agree, so that no plan can leave them out."""
+    best = (F.max if keep == "max" else F.min)("keep_id")
+    agree = F.max("_most") == F.min("_least")
+    checked = F.when(agree, best).otherwise(F.raise_error(F.lit("texts of one digest differ")))
+    return [checked.alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("_most").alias("_most"), F.min("_least").alias("_least")]
 
 
 def annotate(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text", leaves: int = LEAVES, radix: int = RADIX) -> DataFrame:

@@ -32,6 +32,21 @@ def test_exact_smallest_null_ids_repeats_and_clashing_columns(spark):
     assert exactdedup.annotate(docs.limit(0)).count() == 0 and exactdedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_a_level_fails_where_texts_of_one_digest_differ(spark):
+    from loomtext.llm.common import merge_levels
+
+    columns = "digest string, _salt int, keep_id long, group_size long, _most string, _least string"
+    for other, fails in (("x", False), ("y", True)):
+        runs = spark.createDataFrame([("d", 0, 1, 1, "x", "x"), ("d", 9, 2, 1, other, other)], columns)
+        last = merge_levels(runs, "digest", lambda: exactdedup._merged("max"), 64, 8)[1].select("digest", "keep_id")
+        assert "SortAggregate" in last._jdf.queryExecution().executedPlan().toString()
+        if fails:
+            with pytest.raises(Exception, match="differ"):
+                last.collect()
+        else:
+            assert last.collect() == [("d", 2)]
+
+
 def near_brute(rows, words, percent=80):
     sets = {}
     for i, t in rows:
