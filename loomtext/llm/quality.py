@@ -81,7 +81,7 @@ class Model:
         return float(sum(sorted(w for w in map(get, cells) if w is not None)))
 
 
-def fit(rows: list[tuple[int, list[int]]], rounds: int = 400, l1: float = 1e-4, rate: float = 0.5, grades: int | None = None) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], rounds: int = 400, l1: float = 1e-4, rate: float = 0.5, grades: int | None = None) -> Model:
     """Proximal gradient with L1, cells seen in at least ``LEAST_DOCS`` rows only; thresholds stay ordered.
 
     Without rows, or with one grade only, the model has no weights and accepts everything.
@@ -125,7 +125,7 @@ def fit(rows: list[tuple[int, list[int]]], rounds: int = 400, l1: float = 1e-4,
     return Model({int(c): float(x) for c, x in zip(cells, w) if x}, [float(t) for t in theta])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, list[int]]]:
+def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, np.ndarray]]:
     """Grade and cells of at most ``sample_rows`` labelled documents: those of smallest hashed identifier.
 
     A document labelled more than once has its lowest grade; rows that repeat it are one.
@@ -149,8 +149,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = Non
             cells = [sorted(features(t, cache))[:SAMPLE_FEATURES] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cells, pa.list_(pa.int64()))], names=["_id", "_grade", "_cells"])
 
-    table = small_batches(texts).select("_id", "_text", "_grade").mapInArrow(run, f"_id {kind}, _grade int, _cells array<long>").toArrow().to_pydict()
-    rows = {i: (g, c) for i, g, c in sorted(zip(table["_id"], table["_grade"], table["_cells"]), reverse=True)}
+    table = small_batches(texts).select("_id", "_text", "_grade").mapInArrow(run, f"_id {kind}, _grade int, _cells array<long>").toArrow().combine_chunks()
+    cells = table["_cells"].combine_chunks()
+    values, ends = cells.values.to_numpy(), cells.offsets.to_numpy()  # not as Python integers: a sample has millions
+    rows: dict = {}
+    for k, (i, g) in enumerate(zip(table["_id"].to_pylist(), table["_grade"].to_pylist())):
+        own = values[ends[k] : ends[k + 1]]
+        if i not in rows or own.tobytes() < rows[i][1].tobytes():
+            rows[i] = (g, own)
     return [rows[i] for i in sorted(rows)]
 
 
