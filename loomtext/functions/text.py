@@ -89,7 +89,8 @@ def distribution(values: Column) -> Column:
         n = F.size(s)
         total = F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
         mean = F.try_divide(total, n)
-        squares = F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        # bound to a variable: as an expression the mean would be taken again for every element
+        squares = F.transform(F.array(mean), lambda m: F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))[0]
         at = lambda i: F.get(s, i).cast("double")
         return F.when(n > 0, F.struct(
             n.cast("long").alias("n"), mean.alias("mean"), ((at(F.floor((n - 1) / 2).cast("int")) + at(F.floor(n / 2).cast("int"))) / 2).alias("median"),
