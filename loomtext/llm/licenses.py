@@ -1,13 +1,15 @@
 """License scans with DataFrame functions only.
 
-Texts are cut into words (runs of letters and digits, lower-cased) and hashed word shingles. For every
-template length T, windows of T + T // 2 words start every T // 2 + 1 words, so any run of T words lies whole
-in one of them. A window's MinHash values, one a band, retrieve templates; exact shingle containment decides.
-
-Band settings: a window that holds at least 80 % of a template's shingles has a resemblance of at least 0.4
-with it at any T, and one with the whole template at least 1/3 (T = 5). With 40 bands of one row the chance
-that none agrees is below 1 in 10 million. Windows without any shingle of any template have resemblance 0 with
-all of them; they are left out before their MinHash values are taken, which changes no result.
+Texts are cut into words (runs of letters and digits, lower-cased) and hashed word shingles. A template of T
+words is found where a run of at most 2 T words, at any word, holds ``CONTAINED`` of its shingles, so an edited
+copy may be up to twice as long. For every length T, windows of 2 T + T // 2 words start every T // 2 + 1 words:
+any such run lies whole in one of them. A window's MinHash values, one a band, retrieve templates; exact
+containment of every run in the window decides.
+
+Band settings: of a window only shingles of templates of its length are kept, since no others can match. A run
+that holds 80 % of a template's shingles then has a resemblance of at least 0.8 where no other template of that
+length is near. With 40 bands of one row the chance that none agrees is below 1 in 10 to the 27th; it is below
+1 in a million while the window holds at most twice the template's shingles of others of the same length.
 """
 
 from __future__ import annotations
@@ -60,33 +62,39 @@ def _templates(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> D
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and template found: id, license, template, containment, n_windows, start_word, end_word.
 
-    containment is the largest share of the template's shingles in one window, start_word and end_word bound the
-    first such window, counted in words. Null texts and those of under five words match nothing. Rows that repeat
-    an identifier count as one document. An empty table gives an empty one. Only identifier and text are read, so
+    containment is the largest share of the template's shingles in a run of twice its words, wherever the run
+    starts; n_windows counts the windows that hold a run of enough, start_word and end_word bound the first such
+    window, counted in words. Null texts and those of under five words match nothing. Rows that repeat an
+    identifier count as one document. An empty table gives an empty one. Only identifier and text are read, so
     other columns cannot clash. ``templates`` is a fixed list: its table is broadcast.
     """
     spark = docs.sparkSession
     known = [r.asDict() for r in _templates(spark, templates).collect()]
     every = sorted({h for t in known for h in t["wanted"]})
-    lengths = sorted({t["length"] for t in known})
     table = spark.createDataFrame([(t["template"], t["license"], t["length"], t["wanted"]) for t in known], "template int, license string, length int, wanted array<bigint>")
     # one row for each band value of each template
     bands = table.withColumn("_b", F.explode(_bands("wanted"))).select("template", "length", F.col("_b.band").alias("band"), F.col("_b.value").alias("value"))
     hashes = F.split(F.lit(",".join(map(str, every))), ",").cast("array<bigint>") if every else F.expr("cast(array() as array<bigint>)")
     rows = docs.select(F.col(id_col).alias("_id"), _shingles(text_col).alias("_shingles")).filter(F.arrays_overlap("_shingles", hashes))
-    # where the hits are; they too are bound, so that the intersection is taken once a text
-    at = lambda hits: F.filter(F.sequence(F.lit(0), F.size("_shingles") - 1), lambda i: F.array_contains(hits, F.col("_shingles")[i]))
-    rows = rows.withColumn("_at", F.transform(F.array(F.array_intersect("_shingles", hashes)), at)[0])
-    classes = F.array(*[F.struct(F.lit(t).alias("length"), F.lit(t // 2 + 1).alias("step"), F.lit(t + t // 2).alias("width")) for t in lengths])
-    rows = rows.withColumn("_class", F.explode(classes))
+    # where the hits are, and their hashes; all is bound, so that text and intersection are taken once a text
+    at = lambda s: lambda hits: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.array_contains(hits, s[i]))
+    hits = lambda s: F.transform(F.transform(F.array(F.array_intersect(s, hashes)), at(s))[0], lambda i: F.struct(i.alias("at"), s[i].alias("hash")))
+    rows = rows.select("_id", F.transform(F.array("_shingles"), hits)[0].alias("_every"))
+    own = {n: sorted({h for t in known if t["length"] == n for h in t["wanted"]}) for n in sorted({t["length"] for t in known})}
+    classes = [F.struct(F.lit(n).alias("length"), F.lit(n // 2 + 1).alias("step"), F.lit(2 * n + n // 2).alias("width"), F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>").alias("own")) for n, x in own.items()]
+    none = F.expr("cast(array() as array<struct<length:int,step:int,width:int,own:array<bigint>>>)")
+    rows = rows.withColumn("_class", F.explode(F.array(*classes) if classes else none))
+    rows = rows.select("_id", F.col("_class.length").alias("length"), F.col("_class.step").alias("_step"), F.col("_class.width").alias("_width"), F.expr("filter(_every, x -> array_contains(_class.own, x.hash))").alias("_hits"))
     # windows k * step .. k * step + width that hold a hit: a hit at h needs k * step <= h <= k * step + width - SHINGLE
-    first = f"greatest(0, h - _class.width + {SHINGLE} + _class.step - 1) div _class.step"
-    rows = rows.withColumn("_k", F.explode(F.expr(f"array_distinct(flatten(transform(_at, h -> sequence({first}, greatest(h div _class.step, {first})))))")))
-    rows = rows.withColumn("_start", F.expr("cast(_k * _class.step as int)")).withColumn("_held", F.expr(f"array_distinct(slice(_shingles, _start + 1, _class.width - {SHINGLE} + 1))"))
-    rows = rows.select("_id", "_start", F.col("_class.width").alias("_width"), F.col("_class.length").alias("length"), "_held").filter(F.size("_held") > 0)
-    rows = rows.withColumn("_b", F.explode(_bands("_held"))).select("*", F.col("_b.band").alias("band"), F.col("_b.value").alias("value"))
-    near = rows.join(F.broadcast(bands), ["length", "band", "value"]).select("_id", "_start", "_width", "_held", "template").distinct()
-    checked = near.join(F.broadcast(table.select("template", "license", "wanted")), "template")
-    checked = checked.withColumn("_share", F.size(F.array_intersect("_held", "wanted")) / F.size("wanted")).filter(F.col("_share") >= contained)
+    first = f"greatest(0, x.at - _width + {SHINGLE} + _step - 1) div _step"
+    rows = rows.withColumn("_k", F.explode(F.expr(f"array_distinct(flatten(transform(_hits, x -> sequence({first}, greatest(x.at div _step, {first})))))")))
+    rows = rows.withColumn("_start", F.expr("cast(_k * _step as int)"))
+    rows = rows.select("_id", "_start", "_width", "length", F.expr(f"filter(_hits, x -> x.at >= _start AND x.at <= _start + _width - {SHINGLE})").alias("_held")).filter(F.size("_held") > 0)
+    banded = rows.withColumn("_set", F.array_distinct("_held.hash")).withColumn("_b", F.explode(_bands("_set"))).select("*", F.col("_b.band").alias("band"), F.col("_b.value").alias("value"))
+    near = banded.join(F.broadcast(bands), ["length", "band", "value"]).select("_id", "_start", "_width", "_held", "template", "length").distinct()
+    checked = near.join(F.broadcast(table.select("template", "license", "wanted")), "template").withColumn("_held", F.expr("filter(_held, x -> array_contains(wanted, x.hash))"))
+    # a best run starts at a hit
+    run = f"size(array_distinct(transform(filter(_held, y -> y.at >= x.at AND y.at <= x.at + 2 * length - {SHINGLE}), y -> y.hash)))"
+    checked = checked.withColumn("_share", F.expr(f"array_max(transform(_held, x -> {run}))") / F.size("wanted")).filter(F.col("_share") >= contained)
     best = checked.groupBy("_id", "license", "template").agg(F.max("_share").alias("containment"), F.countDistinct("_start").alias("n_windows"), F.min(F.struct("_start", "_width")).alias("_w"))
     return best.select(F.col("_id").alias(id_col), "license", "template", "containment", "n_windows", F.col("_w._start").alias("start_word"), (F.col("_w._start") + F.col("_w._width")).alias("end_word"))

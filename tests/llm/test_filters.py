@@ -128,3 +128,30 @@ def test_licenses_equal_brute_force(spark):
     got = {(r.doc_id, r.template): r.containment for r in licenses.scan(docs).collect()}
     assert got == want and len(want) > 30
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_licenses_do_not_depend_on_the_word_position(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    rng, cut = random.Random(9), lambda x: [w for w in re.split(r"[\W_]+", x.lower()) if w]
+    texts = [" ".join(["filler"] * k + [mit] + ["tail"] * 40) for k in range(28)]
+    for _ in range(150):
+        out = [rng.choice(["alpha", "under", "beta"]) for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(1, 4)):
+            t = licenses.TEMPLATES[rng.randrange(len(licenses.TEMPLATES))][1].split()
+            for _ in range(rng.randrange(2)):
+                at = rng.randrange(len(t))
+                t[at:at] = ["inserted"] * rng.randrange(1, len(t) + 2)
+            out += t + ["gamma"] * rng.randrange(9)
+        texts.append(" ".join(out))
+    want = {}
+    for d, text in enumerate(texts):
+        w = cut(text)
+        found = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        for i, (_, t) in enumerate(licenses.TEMPLATES):
+            t = cut(t)
+            need = {tuple(t[j : j + 5]) for j in range(len(t) - 4)}
+            best = max(len(need & set(found[k : k + 2 * len(t) - 4])) / len(need) for k in range(len(w)))
+            if best >= licenses.CONTAINED:
+                want[d, i] = best
+    got = {(r.doc_id, r.template): r.containment for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and all((d, 1) in got for d in range(28))
