@@ -70,7 +70,7 @@ def h6(spark, d):
 
 def h6_documents(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Keep the token budget\nin /home/me. "), "text")).otherwise(F.concat(F.lit("Zz "), "text")).alias("text"))
-    return P.text_issues(docs).filter("issue <> 'imperative line' OR path % 5 = 0")
+    return P.text_issues(docs)
 
 
 def h7(spark, d):
