@@ -1,6 +1,7 @@
 """Queries against plain Python over every row of the tables at sf0.01."""
 
 import re
+from collections import defaultdict
 
 from __spark_entry__ import queries
 from loomtext.operators import package
@@ -17,3 +18,13 @@ def test_document_issues_list_the_imperative_lines_of_every_document(spark):
             want.add(str(r.doc_id))
     got = queries()["H6_document_issues"](spark, DATA).filter("issue = 'imperative line'").collect()
     assert sorted(r.path for r in got) == sorted(want) and any(int(i) % 5 for i in want)
+
+
+def test_replacements_cover_every_call(spark):
+    groups = defaultdict(list)
+    for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id").orderBy("event_id").collect():
+        usable = r.event_id % 7 != 0 or r.event_id % 2 == 0
+        groups[str(r.user_id % 50), str(r.event_id % 40)].append((usable, r.event_id % 2 == 0))
+    want = {k: (len(v), len(v) > 1, len(v) == 1 or (len(v) == 2 and not v[0][0] and v[1][1])) for k, v in groups.items()}
+    got = {(r["item"], r["fingerprint"]): (r["attempts"], r["replaced"], r["allowed"]) for r in queries()["G7_replacements"](spark, DATA).collect()}
+    assert got == want and sum(n for n, *_ in got.values()) == spark.read.parquet(f"{DATA}/events.parquet").count()
