@@ -18,6 +18,7 @@ CITATION = r"(?i)\bc\d{2}\b"
 BANNED = ("provenance", "episodic.md", "extraction", "holdout", "Stage ", "token budget", "composite score", "probe")
 AUDIT_WORDS = ("token", "budget", "cluster", "probe", "corpus", "distill", "score")
 IMPERATIVES = ("add", "avoid", "choose", "consider", "do", "ensure", "keep", "make", "note", "prefer", "remove", "remember", "use", "write")
+SECOND_PERSON = r"(?iU)\byou\b|你"
 LOCAL_PATH = r"(?:/Users/|/home/|/private/tmp/|[A-Z]:\\Users\\)"
 RAW_FILE = r"(?i)\.(pdf|epub|docx)$"
 SCORE = r"(?i)(?:composite|projectibility|cost_refusal|expressive_match|interactional|preoccupation)\s*(?:score)?\s*[:=]?\s*[-+]?\d+(?:\.\d+)?"
@@ -98,10 +99,13 @@ def dead_citations(files: DataFrame, modules: DataFrame) -> DataFrame:
     return cited.join(named.unionByName(stated).distinct(), "citation", "left_anti")
 
 
+FRONT, FRONT_BODY = r"(?s)\A---[ \t]*\r?\n.*?^?---", r"(?s)\A---[ \t]*\r?\n(.*?)(?:\r?\n)?^?---[ \t]*(?:\r?\n|\z)"
+FRONT_LINE = r"^[^:#][^:]*:"
+
+
 def frontmatter(files: DataFrame) -> DataFrame:
     """(path, key, value) of key: value lines between a leading --- and the next; the last of a key counts."""
-    body = F.regexp_extract("text", r"(?s)\A---[ \t]*\r?\n(.*?)(?:\r?\n)?^?---[ \t]*(?:\r?\n|\z)", 1)
-    lines = files.filter(F.col("text").rlike(r"(?s)\A---[ \t]*\r?\n.*?^?---")).select("path", F.posexplode(F.split(body, r"\r?\n", -1)).alias("i", "line")).filter(F.col("line").rlike(r"^[^:#][^:]*:"))
+    lines = files.filter(F.col("text").rlike(FRONT)).select("path", F.posexplode(F.split(F.regexp_extract("text", FRONT_BODY, 1), r"\r?\n", -1)).alias("i", "line")).filter(F.col("line").rlike(FRONT_LINE))
     pair = lines.select("path", "i", F.trim(F.regexp_extract("line", r"^([^:#][^:]*):", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_extract("line", r"^[^:#][^:]*:(.*)$", 1)), r"^['\"]+|['\"]+$", "").alias("value"))
     return pair.groupBy("path", "key").agg(F.max(F.struct("i", "value")).alias("m")).select("path", "key", F.col("m.value").alias("value"))
 
@@ -113,12 +117,21 @@ def first_heading(files: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.coalesce(F.min_by(F.when(F.col("depth") >= 2, F.col("title")), F.when(F.col("depth") >= 2, F.col("i"))), F.min_by("title", "i")).alias("heading"))
 
 
+def _description(text: Column) -> Column:
+    """The description of the front matter, empty if there is none; as in :func:`frontmatter`, the last counts."""
+    lines = F.filter(F.split(F.regexp_extract(text, FRONT_BODY, 1), r"\r?\n", -1), lambda x: x.rlike(FRONT_LINE) & (F.trim(F.regexp_extract(x, r"^([^:#][^:]*):", 1)) == "description"))
+    return F.coalesce(F.regexp_extract(F.get(F.reverse(lines), F.lit(0)), r"^[^:]*:(.*)$", 1), F.lit(""))
+
+
 def text_issues(files: DataFrame) -> DataFrame:
-    """(path, issue): banned strings, local paths, scores, imperative lines, raw files."""
+    """(path, issue): banned strings, audit words in a description, local paths, scores, imperative and
+    second-person lines, raw files."""
     low = F.lower("text")
     checks = [F.when(F.contains(low, F.lit(b.lower())), f"banned {b.strip()}") for b in BANNED] + [F.when(F.col("text").rlike(LOCAL_PATH), "local path"), F.when(F.col("text").rlike(SCORE), "score"), F.when(F.col("path").rlike(RAW_FILE), "raw file")]
+    audit = F.transform(F.array(_description(F.col("text"))), lambda d: F.array(*[F.when(d.rlike(rf"(?iU)\b{w}\b"), f"audit word {w}") for w in AUDIT_WORDS]))[0]
     imperative = F.exists(F.split("text", "\n"), lambda line: F.lower(F.regexp_extract(F.trim(line), r"^([A-Za-z]+)\b", 1)).isin(*IMPERATIVES))
-    return files.select("path", F.explode(F.array_compact(F.array(*checks, F.when(imperative, "imperative line")))).alias("issue"))
+    lines = [F.when(imperative, "imperative line"), F.when(F.col("text").rlike(SECOND_PERSON), "second person line")]
+    return files.select("path", F.explode(F.array_compact(F.concat(F.array(*checks, *lines), F.when(F.col("text").rlike(FRONT), audit).otherwise(F.expr("cast(array() as array<string>)"))))).alias("issue"))
 
 
 def roll_up(checks: DataFrame, strict: bool = False) -> DataFrame:

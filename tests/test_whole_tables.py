@@ -28,3 +28,15 @@ def test_replacements_cover_every_call(spark):
     want = {k: (len(v), len(v) > 1, len(v) == 1 or (len(v) == 2 and not v[0][0] and v[1][1])) for k, v in groups.items()}
     got = {(r["item"], r["fingerprint"]): (r["attempts"], r["replaced"], r["allowed"]) for r in queries()["G7_replacements"](spark, DATA).collect()}
     assert got == want and sum(n for n, *_ in got.values()) == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_text_issues_name_audit_words_and_second_person_lines(spark):
+    files = [
+        ("a.md", "---\nname: token\ndescription: plain\ndescription: 'A Token budget, scores'\n---\ncorpus of tokens\n"),
+        ("b.md", "---\nname: x\ndescription: budgets and tokens\n---\nIs it for You?\n"),
+        ("c.md", "description: a corpus\nyour youth\n"),
+        ("d.md", "---\nDescription: probed\n---\n给你看\n"),
+        ("e.pdf", None),
+    ]
+    got = {(r.path, r.issue) for r in package.text_issues(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {("a.md", "banned token budget"), ("a.md", "audit word token"), ("a.md", "audit word budget"), ("b.md", "second person line"), ("d.md", "second person line"), ("d.md", "banned probe"), ("e.pdf", "raw file")}
