@@ -19,12 +19,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import small_batches, worker_cache
+from loomtext.llm.common import materialize, small_batches, worker_cache
 
 TOKEN = regex.compile(r"\p{L}+|[^\p{L}\p{N}\s]+")
 CELLS = (1 << 40) - 1
 SAMPLE_ROWS = 10_000  # labelled rows that a fit sees, at most
-SAMPLE_FEATURES = 4_000  # features of each of them, at most: those of smallest hash
 LEAST_DOCS = 4
 CACHE_TOKENS = 400_000
 ACCEPT = 0.5
@@ -128,7 +127,8 @@ def fit(rows: list[tuple[int, np.ndarray]], rounds: int = 400, l1: float = 1e-4,
 def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, np.ndarray]]:
     """Grade and cells of at most ``sample_rows`` labelled documents: those of smallest hashed identifier.
 
-    A document labelled more than once has its lowest grade; rows that repeat it are one.
+    A document labelled more than once has its lowest grade; rows that repeat it are one. Only cells in at least
+    ``LEAST_DOCS`` rows are sent to the driver, since the fit uses no others.
     """
     spark = docs.sparkSession
     graded = labels.select(F.col(id_col).alias("_id"), (default_grade() if grade is None else grade).alias("_grade")).filter("_id IS NOT NULL AND _grade IS NOT NULL")
@@ -146,10 +146,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = Non
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache("quality")
         for batch in batches:
-            cells = [sorted(features(t, cache))[:SAMPLE_FEATURES] for t in batch.column(1).to_pylist()]
+            cells = [sorted(features(t, cache)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cells, pa.list_(pa.int64()))], names=["_id", "_grade", "_cells"])
 
-    table = small_batches(texts).select("_id", "_text", "_grade").mapInArrow(run, f"_id {kind}, _grade int, _cells array<long>").toArrow().combine_chunks()
+    schema = f"_id {kind}, _grade int, _cells array<long>"
+    sample = materialize(small_batches(texts).select("_id", "_text", "_grade").mapInArrow(run, schema), "sample")
+    often = sample.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    sent = spark.sparkContext.broadcast(np.sort(often.select("_cell").toArrow()["_cell"].to_numpy()))
+
+    def common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.intersect1d(x.values.to_numpy(), sent.value, assume_unique=True) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int64()))], names=["_id", "_grade", "_cells"])
+
+    table = sample.mapInArrow(common, schema).toArrow().combine_chunks()
     cells = table["_cells"].combine_chunks()
     values, ends = cells.values.to_numpy(), cells.offsets.to_numpy()  # not as Python integers: a sample has millions
     rows: dict = {}

@@ -155,3 +155,15 @@ def test_licenses_do_not_depend_on_the_word_position(spark):
                 want[d, i] = best
     got = {(r.doc_id, r.template): r.containment for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want and all((d, 1) in got for d in range(28))
+
+
+def test_quality_learns_from_every_feature_of_long_texts(spark):
+    ranked = sorted((f"{a}{b}{c}{d}" for a in "bcdfghjk" for b in "aeiouy" for c in "lmnpqrstvw" for d in "aeiouybcdf"), key=quality.cell)
+    last = ranked.pop()  # of all words the one of largest hash
+    text = " ".join(ranked)
+    docs = spark.createDataFrame([(i, f"{text} {last}" if i % 2 else text) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    rows = quality.training_rows(docs, labels)
+    assert len(ranked) > 4000 and {g: quality.cell(last) in x for g, x in rows} == {0: True, 2: False}
+    rare = spark.createDataFrame([(i, f"common {'w' * (i + 1)}") for i in range(20)], "doc_id long, text string")
+    assert all(quality.cell("common") in x and quality.cell("w" * (i + 1)) not in x for i, (_, x) in enumerate(quality.training_rows(rare, labels)))
