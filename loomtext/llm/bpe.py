@@ -27,7 +27,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomtext.llm.common import small_batches, worker_cache
 
 # Fixed value: the public pattern by which byte-level BPE splits text before merging.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -273,7 +272,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _table(raw.value)
-        cache = worker_cache(f"bpe-{hash(raw.value)}")
+        cache: dict[str, bytes] = {}
         for batch in batches:
             for part in _rows(batch):
                 packed = [encode_text(t, merges, cache) for t in part.column(len(keep)).to_pylist()]
@@ -282,7 +281,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple
 
     schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
     names = schema.fieldNames()
-    return small_batches(docs.select(*keep, docs[text_col].alias("_text"))).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -298,4 +297,4 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_
                 texts = [decode_ids(p, merges) for p in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
-    return small_batches(encoded).mapInArrow(run, schema)
+    return encoded.mapInArrow(run, schema)

@@ -19,13 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize, small_batches, worker_cache
+from loomtext.llm.common import materialize
 
 TOKEN = regex.compile(r"\p{L}+|[^\p{L}\p{N}\s]+")
 CELLS = (1 << 40) - 1
 SAMPLE_ROWS = 10_000  # labelled rows that a fit sees, at most
 LEAST_DOCS = 4
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 200_000
+BATCH_ROWS = 500
 ACCEPT = 0.5
 
 
@@ -144,13 +145,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = Non
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache("quality")
+        cache: dict[str, int] = {}
         for batch in batches:
             cells = [sorted(features(t, cache)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cells, pa.list_(pa.int64()))], names=["_id", "_grade", "_cells"])
 
     schema = f"_id {kind}, _grade int, _cells array<long>"
-    sample = materialize(small_batches(texts).select("_id", "_text", "_grade").mapInArrow(run, schema), "sample")
+    sample = materialize(texts.select("_id", "_text", "_grade").mapInArrow(run, schema), "sample", BATCH_ROWS)
     often = sample.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     sent = spark.sparkContext.broadcast(np.sort(often.select("_cell").toArrow()["_cell"].to_numpy()))
 
@@ -183,7 +184,7 @@ def grade(docs: DataFrame, model: Model, accept_grade: int = 2, accept: float =
     schema = f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, expected_grade double, tail_prob double, grade_pred int, kept boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = Model(*sent.value), worker_cache("quality")
+        own, cache = Model(*sent.value), {}
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -193,7 +194,7 @@ def grade(docs: DataFrame, model: Model, accept_grade: int = 2, accept: float =
                 out = [part.column(0), pa.array([sum(t) for t in tails], pa.float64()), pa.array(tail, pa.float64()), pa.array([p.index(max(p)) for p in probs], pa.int32()), pa.array([x >= accept for x in tail], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return small_batches(rows).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def accept_rows(docs: DataFrame, model: Model, accept_grade: int = 2, accept: float = ACCEPT, text_col: str = "text") -> DataFrame:
@@ -202,8 +203,8 @@ def accept_rows(docs: DataFrame, model: Model, accept_grade: int = 2, accept: fl
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
-        own, cache = Model(*sent.value), worker_cache("quality")
+        own, cache = Model(*sent.value), {}
         tails = [own.tails(own.score(features(t, cache))) for t in texts.to_pylist()]
         return pa.array([(t[accept_grade - 1] if accept_grade <= len(t) else 0.0) >= accept for t in tails], pa.bool_())
 
-    return small_batches(docs).filter(accepted(F.col(text_col)))
+    return docs.filter(accepted(F.col(text_col)))

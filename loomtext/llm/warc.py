@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize, merge_levels, salt_of, scratch, small_batches
+from loomtext.llm.common import materialize, merge_levels, salt_of, scratch
 
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 1 << 16
@@ -173,7 +173,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, dat
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], names=["archive", "n_records", "n_bytes"])
 
     marked = mark_revisits(pages, least_bytes, **columns)
-    return materialize(small_batches(marked).mapInArrow(run, "archive string, n_records long, n_bytes long"), "manifest")
+    return materialize(marked.mapInArrow(run, "archive string, n_records long, n_bytes long"), "manifest", 500)
 
 
 def read(spark: SparkSession, manifest: DataFrame, with_payload: bool = False, slices: int | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from loomtext.llm import exactdedup, neardup
+from loomtext.llm import common, exactdedup, neardup
 
 
 def exact_brute(rows):
@@ -79,7 +79,9 @@ def edited(rng, words, n):
 
 @pytest.mark.parametrize("words", [4, 5])
 def test_near_groups_equal_brute_force(spark, monkeypatch, words):
-    monkeypatch.setattr(neardup, "BLOCK", 32)  # several blocks a leader
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)  # several blocks a leader
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)  # several parts of a leader, a star's centre and a component
     rng, rows = random.Random(4), []
     shared = " ".join(f"p{k}" for k in range(60))
     for g in range(12):
@@ -103,6 +105,55 @@ def test_near_nulls_repeats_empty_and_clashing_columns(spark):
     assert neardup.group(docs.limit(0)).count() == 0
 
 
+def test_near_a_leader_outside_a_large_group_and_very_long_texts(spark, monkeypatch):
+    """The smallest id shares keys with a group whose members are alike, but is not alike enough itself."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(base[:290] + [f"own{k}" for k in range(60)]))]
+    rows += [(k, " ".join(base + [f"m{k}"])) for k in range(1, 90)]
+    rows += [(200 + k, " ".join(base[:300] + [f"far{k}_{j}" for j in range(40)])) for k in range(40)]
+    long = [f"l{rng.randrange(50_000)}" for _ in range(100_000)]
+    rows += [(1000, " ".join(long)), (1001, edited(rng, long, 1000)), (1002, edited(rng, long, 40_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = neardup.group(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == near_brute(rows, 5)
+
+
+def test_near_rows_of_one_identifier_with_different_texts_are_one_vertex(spark):
+    one, two = ([f"{x}{k}" for k in range(100)] for x in "ab")
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (9, " ".join(one[:99])), (3, " ".join(two[:99])), (4, " ".join(two)), (8, "else")]
+    out = neardup.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(7, 3), (9, 3), (3, 3), (4, 3), (8, 8)}
+
+
+def test_linked_components_come_back_as_a_forest():
+    import numpy as np
+
+    alike = [(k, 100, np.array([k]), np.array([1000 + k])) for k in range(40)]
+    apart = [(50, 100, np.arange(60), np.empty(0, np.int64))]
+    assert sorted(zip(*neardup._forest(alike + apart, 80))) == [(k, 0) for k in range(1, 40)]
+
+
+def test_hot_keys_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(200)], "key long, v long")
+    right = spark.createDataFrame([(k, str(k)) for k in range(6)], "key long, w string")
+    hot = common.Hot(left.groupBy("key").count().withColumnRenamed("count", "n"), ["key"])
+    parts = hot.deal(left, ["v"]).filter("key = 0").groupBy("_part").count().collect()
+    assert len(parts) == 12 and max(r["count"] for r in parts) < 30
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "key", how).collect()))
+        assert sorted(map(str, hot.join(left, right, ["v"], how).select("key", "v", "w").collect())) == want
+
+
+def test_the_sessions_settings_return(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    neardup.group(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    assert spark.conf.get(key) == before
+
+
 def test_chunk_keys_tolerate_one_error_per_chunk():
     import numpy as np
 
