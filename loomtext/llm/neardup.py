@@ -196,30 +196,34 @@ def _compared(star: DataFrame, counts: DataFrame, sets: DataFrame, kind: str) ->
     return dealt.mapInArrow(run, f"a {kind}, k int, b {kind}, n int, lost array<long>, added array<long>")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u of (u, v) has one v only, and none is a v."""
+    ends = edges.groupBy("u").agg(F.count("*").alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).cast("long").alias("n")).distinct())
+    return ends.groupBy("u").agg(F.sum("n").alias("n"), F.count("*").alias("sides")).filter("n > 1 OR sides > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest identifier reachable over links (a, b); only linked vertices are listed.
 
-    Alternating large-star and small-star contraction until nothing changes; every round is written to the
-    shared folder. The edges of a star's centre are dealt in parts, and its minimum is sent to each.
+    Alternating large-star and small-star contraction until the edges are stars, each vertex pointing at one
+    centre; every round is written to the shared folder. The edges of a hot vertex are dealt in parts, and its
+    minimum is sent to each.
     """
     work = Workspace(links.sparkSession, "components")
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    edges, last = work.write(links.filter("a <> b").select(u, v).distinct(), "edges"), None
-    while not edges.isEmpty():
+    edges = work.write(links.filter("a <> b").select(u, v).distinct(), "edges")
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = work.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         met = Hot(least, ["u"]).join(both, least.select("u", F.least("u", "m").alias("m")), ["v"])
-        large = work.write(met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least2 = work.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        met = Hot(least2, ["u"]).join(large, least2.select("u", "m"), ["v"])
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        done, large = edges, work.write(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = Hot(least, ["u"]).join(large, least.select("u", "m"), ["v"])
         both_ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         small = met.select(F.explode(both_ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        done, edges = edges, work.write(small, "edges")
-        work.drop(done, least, large, least2)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
+        edges = work.write(small, "edges")
+        work.drop(done, large)
     centres = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres)
 
@@ -330,17 +334,17 @@ def _across(compared: DataFrame, labels: DataFrame, percent: int, kind: str, wor
         ).filter("_comps > 1")
         reps = F.expr(_blocks("_comps", "_rep_bytes")).alias("_reps")
         pool = F.expr(_blocks("_pool_n", "_pool_bytes")).alias("_pool")
-        torn = work.write(torn.select(*star, "_comps", reps, pool), "torn")
+        torn = torn.select(*star, "_comps", reps, pool)
         total, most = torn.agg(F.coalesce(F.sum("_comps"), F.lit(0)), F.coalesce(F.max("_reps"), F.lit(0))).first()
         if not total:
             return labels
-        shared = work.write(groups.join(torn, star), "groups")
+        shared = groups.join(torn, star)
         if most > 1 and (before is None or 2 * total <= before):
             # one vertex for each component, dealt in blocks within which they are compared
             block = F.pmod(F.xxhash64("component", F.lit(total)), "_reps")
             dealt = shared.select(*star, F.col("_rep.b").alias("b"), "component", F.xxhash64(*star).alias("_x"), block.alias("_y"))
             found = work.write(_met(dealt.join(compared, [*star, "b"]), percent, kind), "joined", BATCH_ROWS)
-            work.drop(torn, groups, shared)
+            work.drop(groups)
             if found.isEmpty():
                 before = 0
             else:
@@ -368,8 +372,8 @@ def _paired(rows: DataFrame, groups: DataFrame, torn: DataFrame, compared: DataF
     x = blocks.select(*star, F.col("_whole").alias("_wx"), F.col("_no").alias("_x"))
     y = blocks.select(*star, F.col("_whole").alias("_wy"), F.col("_no").alias("_y"))
     pairs = per.join(x, y, ["_x"]).filter("_x <= _y AND coalesce(_wx <> _wy, true)")
-    pairs = work.write(pairs.select("_x", "_y"), "pairs")
-    sides = pairs.select("_x", "_y", F.col("_x").alias("_no")).unionByName(pairs.filter("_x <> _y").select("_x", "_y", F.col("_y").alias("_no")))
+    pairs = pairs.select("_x", "_y")
+    sides = pairs.select("_x", "_y", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_no"))
     placed = dealt.select(*star, "component", "b", whole, sub)
     same = [placed[c] == blocks[c] for c in star] + [placed["_sub"] == blocks["_sub"], placed["_whole"].eqNullSafe(blocks["_whole"])]
     placed = placed.join(blocks, same).select(*[placed[c] for c in star], placed["component"], placed["b"], "_no")
@@ -415,11 +419,11 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     star = Hot(leaders, ["key"]).join(keys, leaders.select("key", "leader"), ["id"]).filter("id <> leader")
     star = work.write(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     work.drop(keys, leaders)
-    counts = work.write(star.groupBy("a").agg(F.count("*").alias("n")), "counts")
+    counts = star.groupBy("a").agg(F.count("*").alias("n"))
     wanted = counts.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     sets = work.write(_sets(docs, wanted, id_col, text_col, words, kind), "sets", 64)
     compared = work.write(_compared(star, counts, sets, kind), "compared", 64)
-    work.drop(star, counts, sets)
+    work.drop(star, sets)
     links = compared.filter(f"100 * (n - size(lost)) >= {percent} * (n + size(added))").select("a", "b")
     twins = _twins(some, classes)
     labels = components(links if twins is None else links.unionByName(twins))
