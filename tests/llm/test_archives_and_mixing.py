@@ -2,9 +2,12 @@ import base64
 import hashlib
 import io
 import random
+import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from loomtext.llm import fingerprint, mixing, warc
 from pyspark.sql import functions as F
 
@@ -116,5 +119,53 @@ def test_fingerprints(spark):
 def test_densified_bins_keep_likeness(spark):
     words = [f"w{k}" for k in range(40)]
     rows = [(" ".join(words), " ".join(words[:-k])) for k in range(1, 20)]
-    out = spark.createDataFrame(rows, "a string, b string").select(fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))).alias("x")).collect()
+    prints = [fingerprint.packed(F.col(c)) for c in "ab"]
+    out = spark.createDataFrame(rows, "a string, b string").select(fingerprint.likeness(*prints).alias("x")).collect()
     assert all(abs(r.x - (36 - k) / 36) < 0.3 for k, r in enumerate(out, 1))
+
+
+def hashed(*longs, seed=42):
+    """Spark's xxhash64 of long columns: each is hashed with the hash before it as the seed."""
+    for x in longs:
+        seed = xxhash.xxh64_intdigest(struct.pack("<Q", x % 2**64), seed)
+    return seed
+
+
+def plain_print(text):
+    """One-permutation MinHash with densification, bin by bin."""
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[ \t-\r]+", text or "") if w]
+    if not words:
+        return []
+    shingles = [words[i : i + 5] for i in range(len(words) - 4)]
+    if shingles:
+        hashes = {hashed(*x) for x in shingles}
+    else:  # an array is hashed element by element
+        hashes = {hashed(*words)}
+    bins = {}
+    for h in hashes:
+        bins[h >> 56] = min(bins.get(h >> 56, h), h)
+    draws, out = fingerprint._draws(), []
+    for k in range(256):
+        tries = [k, *draws[k * 16 : k * 16 + 16]]
+        held = next((bins[b] for b in tries if b in bins), None)
+        if held is None:
+            order = {b: hashed(b, seed=xxhash.xxh64_intdigest(struct.pack("<i", k), 42)) for b in bins}
+            held = bins[min(bins, key=lambda b: order[b] - (order[b] >> 63 << 64))]
+        out.append(held & 255)
+    return out
+
+
+def test_fingerprint_bits_equal_a_plain_one_permutation_minhash(spark):
+    rng = random.Random(21)
+    sizes = [0, 1, 3, 4, 5, 6, 9, 40, 300, 2000, 60_000]
+    texts = [None, "", " \t", *(" ".join(f"w{rng.randrange(900)}é" for _ in range(n)) for n in sizes)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in docs.select("doc_id", fingerprint.fingerprint(F.col("text")).alias("x")).collect()}
+    plain = [plain_print(t) for t in texts]
+    assert [bytes.fromhex(rows[i].x) for i in range(len(texts))] == [bytes(p) for p in plain]
+    likely = {r.doc_id: r for r in fingerprint.compare(docs).collect()}
+    for i in range(1, len(texts)):
+        a, b = plain[i], plain[i - 1]
+        same = sum(x == y for x, y in zip(a, b)) / 256
+        want = 1.0 if a == b else 0.0 if not a or not b else min(1.0, max(0.0, (same - 1 / 256) / (1 - 1 / 256)))
+        assert abs(likely[i].near_next - want) < 1e-12
