@@ -143,13 +143,14 @@ def plain_print(text):
         hashes = {hashed(*words)}
     bins = {}
     for h in hashes:
-        bins[h >> 56] = min(bins.get(h >> 56, h), h)
+        at = h >> 56 ^ 128  # bins lie in the order of signed hashes
+        bins[at] = min(bins.get(at, h), h)
     draws, out = fingerprint._draws(), []
     for k in range(256):
         tries = [k, *draws[k * 16 : k * 16 + 16]]
         held = next((bins[b] for b in tries if b in bins), None)
         if held is None:
-            order = {b: hashed(b, seed=xxhash.xxh64_intdigest(struct.pack("<i", k), 42)) for b in bins}
+            order = {b: hashed(b ^ 128, seed=xxhash.xxh64_intdigest(struct.pack("<i", k), 42)) for b in bins}
             held = bins[min(bins, key=lambda b: order[b] - (order[b] >> 63 << 64))]
         out.append(held & 255)
     return out
