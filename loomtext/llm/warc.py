@@ -10,38 +10,42 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize, merge_levels, salt_of, scratch
+from loomtext.llm.common import Hot, Workspace, materialize, merge_levels, salt_of, salts_for, scratch
 
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-URN = "urn:page:"
 
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, revisit_of: int | None, is_revisit: bool, date: str) -> bytes:
+def record_id(page_id: object, is_revisit: bool, digest: str) -> str:
+    """The same for the same page, kind and payload, so that a revisit can name its response without seeing it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{is_revisit}|{digest}')}>"
+
+
+def record(page_id: object, url: str | None, payload: bytes, revisit_of: object, is_revisit: bool, date: str) -> bytes:
     """One record as one gzip member. A revisit keeps the HTTP head, and so the payload's length, but no body."""
     digest = base32_sha1(payload)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if is_revisit else head + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{is_revisit}|{digest}")
-    fields = [("WARC-Type", "revisit" if is_revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date)]
+    name = record_id(page_id, is_revisit, digest)
+    fields = [("WARC-Type", "revisit" if is_revisit else "response"), ("WARC-Record-ID", name), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]~")))
     if page_id is not None:
-        fields.append(("X-Page-Id", str(page_id)))
+        fields.append(("X-Page-Id", quote(str(page_id), safe="")))
     if is_revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{URN}{revisit_of}>")]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(revisit_of, False, digest))]
     fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}")]
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
@@ -114,7 +118,10 @@ def parse(pieces: Iterator[bytes]) -> Record:
 
 
 def verified(found: Record) -> tuple[int, str]:
-    """Length and digest of the full payload; of a revisit both are declared, of others computed and compared."""
+    """Length and digest of the full payload; of others than revisits both are computed and compared.
+
+    A revisit declares both; :func:`read` compares them with those of the response that it refers to.
+    """
     declared = found.fields["warc-payload-digest"].removeprefix("sha1:")
     if base32_sha1(found.block) != found.fields["warc-block-digest"].removeprefix("sha1:"):
         raise Broken("the block digest does not hold")
@@ -127,13 +134,20 @@ def verified(found: Record) -> tuple[int, str]:
     return length, declared
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = 0, salts: int = 64, radix: int = 8, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+def mark_revisits(
+    pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", html_col: str = "html", url_col: str = "url"
+) -> DataFrame:
     """page_id, url, payload, is_revisit, refers_to: of equal payloads the largest id is the response."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("_digest", F.concat(F.sha2("payload", 256), F.lit("/"), F.length("payload").cast("string"))).withColumn("_salt", salt_of("page_id", salts))
-    ids = materialize(rows.select("_digest", "_salt", F.col("page_id").alias("response_id")), "payloads")
-    first, last = merge_levels(ids, "_digest", lambda: [F.max("response_id").alias("response_id")], salts, radix)
-    known = rows.join(first.select("_digest", "_salt").join(last, "_digest"), ["_digest", "_salt"])
+    rows = pages.select(
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")
+    )
+    rows = rows.withColumn("_digest", F.concat_ws("/", F.sha2("payload", 256), F.length("payload").cast("string")))
+    ids = materialize(rows.select("_digest", F.col("page_id").alias("response_id")), "payloads")
+    salts = salts_for(ids.count())
+    ids = ids.withColumn("_salt", salt_of("response_id", salts))
+    first, last = merge_levels(ids, "_digest", lambda: [F.max("response_id").alias("response_id")], salts)
+    known = rows.withColumn("_salt", salt_of("page_id", salts))
+    known = known.join(first.select("_digest", "_salt").join(last, "_digest"), ["_digest", "_salt"])
     revisit = (F.length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return known.select("page_id", "url", "payload", revisit.alias("is_revisit"), F.when(revisit, F.col("response_id")).alias("refers_to"))
 
@@ -176,16 +190,20 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, dat
     return materialize(marked.mapInArrow(run, "archive string, n_records long, n_bytes long"), "manifest", 500)
 
 
-def read(spark: SparkSession, manifest: DataFrame, with_payload: bool = False, slices: int | None = None) -> DataFrame:
+def read(
+    spark: SparkSession, manifest: DataFrame, with_payload: bool = False, slices: int | None = None, id_type: str = "long"
+) -> DataFrame:
     """The records of the listed archives: page_id, url, record_type, payload_bytes, payload_digest, refers_to.
 
-    Archives are read front to back in pieces of 64 KB, one record in memory at a time. A framing error, a
-    digest that does not hold or a count that differs from the manifest fails the job.
+    Archives are read front to back in pieces of 64 KB, one record in memory at a time. refers_to is the page of
+    the record whose WARC-Record-ID a revisit's WARC-Refers-To names. A framing error, a digest that does not
+    hold, a count that differs from the manifest, a revisit whose response is in none of the archives, or one
+    whose payload digest or length differs from its response's fails the job.
     """
-    extra = ", payload binary" if with_payload else ""
-    schema = f"page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long{extra}"
-    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * with_payload
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names)]
+    names = ["page", "url", "record_type", "payload_bytes", "payload_digest", "record_id", "refers"] + ["payload"] * with_payload
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()][: len(names)]
+    schema = "page string, url string, record_type string, payload_bytes long, payload_digest string, record_id string, refers string"
+    schema += ", payload binary" * with_payload
 
     def rows(archive: str, n_records: int) -> Iterator[tuple]:
         from pyarrow import fs
@@ -196,8 +214,10 @@ def read(spark: SparkSession, manifest: DataFrame, with_payload: bool = False, s
             for member in members(stream):
                 found = parse(member)
                 length, digest = verified(found)
-                page, refers, seen = found.fields.get("x-page-id"), found.fields.get("warc-refers-to"), seen + 1
-                out = (int(page) if page else None, found.fields.get("warc-target-uri"), found.fields["warc-type"], length, digest, int(refers[len(URN) + 1 : -1]) if refers else None)
+                field, seen = found.fields.get, seen + 1
+                page = field("x-page-id")
+                out = (None if page is None else unquote(page), field("warc-target-uri"), field("warc-type"), length, digest)
+                out = (*out, field("warc-record-id"), field("warc-refers-to"))
                 yield (*out, found.payload) if with_payload else out
         if seen != n_records:
             raise Broken(f"{archive} holds {seen} records, not {n_records}")
@@ -215,7 +235,22 @@ def read(spark: SparkSession, manifest: DataFrame, with_payload: bool = False, s
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
     spread = manifest.repartition(slices or int(spark.conf.get("spark.sql.shuffle.partitions")), "archive")
-    return spread.select("archive", "n_records").mapInArrow(run, schema)
+    found = materialize(spread.select("archive", "n_records").mapInArrow(run, schema), "records")
+    out = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * with_payload
+    found = found.withColumn("page_id", F.col("page").cast(id_type))
+    plain = found.filter("refers IS NULL").withColumn("refers_to", F.lit(None).cast(id_type)).select(*out)
+    # pages that repeat an identifier and a payload are one record written twice
+    known = found.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"),
+        F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"),
+    ).dropDuplicates(["refers"])
+    again = found.filter("refers IS NOT NULL")
+    hot = Hot(again.groupBy("refers").agg(F.count("*").alias("n")), ["refers"])
+    met = hot.join(again, known, ["record_id"], "left")
+    same = F.col("_digest").eqNullSafe(F.col("payload_digest")) & F.col("_bytes").eqNullSafe(F.col("payload_bytes"))
+    said = F.concat(F.lit("no response with the payload of revisit "), F.col("record_id"))
+    met = met.withColumn("refers_to", F.when(same, F.col("refers_to")).otherwise(F.raise_error(said).cast(id_type)))
+    return plain.unionByName(met.select(*out))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, with_payload: bool = False) -> DataFrame:
@@ -224,6 +259,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, with_payload: bool = Fals
     A null page is an empty payload; null ids and urls are left out of the record and read back as null. A
     null id never is what others refer to, unless its group has only null ids, which then are all responses.
     Rows that repeat the largest id of a group are all responses. An empty table gives an empty one. Only the
-    three named columns are read, so others cannot clash.
+    three named columns are read, so others cannot clash. Identifiers may be of any type that casts to a string
+    and back.
     """
-    return read(pages.sparkSession, write(pages, least_bytes=least_bytes), with_payload)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return read(pages.sparkSession, write(pages, least_bytes=least_bytes), with_payload, id_type=kind)

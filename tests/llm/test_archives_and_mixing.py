@@ -39,6 +39,36 @@ def test_archives_null_and_repeated_ids(spark):
     assert got == Counter({(None, "revisit", 7): 1, (1, "revisit", 7): 1, (7, "response", None): 2, (None, "response", None): 1})
 
 
+def test_every_revisit_names_a_record_of_the_archives(spark):
+    rows = [(f"p {k}\r\né", "http://a/", f"<p>{k % 4}</p>") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    manifest, found = warc.write(pages), []
+    for r in manifest.collect():
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            found += [warc.parse(m).fields for m in warc.members(f)]
+    known = {x["warc-record-id"]: x for x in found}
+    again = [x for x in found if x["warc-type"] == "revisit"]
+    assert len(known) == 60 and len(again) == 56
+    assert all(known[x["warc-refers-to"]]["warc-type"] == "response" for x in again)
+    assert all(known[x["warc-refers-to"]]["warc-payload-digest"] == x["warc-payload-digest"] for x in again)
+    got = {r.page_id: r.refers_to for r in warc.read(spark, manifest, id_type="string").collect()}
+    best = {h: max(i for i, _, g in rows if g == h) for _, _, h in rows}
+    assert got == {i: None if best[h] == i else best[h] for i, _, h in rows}
+
+
+def test_a_revisit_without_its_response_fails(spark, tmp_path):
+    date = "2000-01-01T00:00:00Z"
+    for k, (payload, fails) in enumerate(((b"same", False), (b"other", True))):
+        path = tmp_path / f"{k}.warc.gz"
+        path.write_bytes(warc.record(2, "u", payload, None, False, date) + warc.record(1, "u", b"same", 2, True, date))
+        manifest = spark.createDataFrame([(f"file://{path}", 2)], "archive string, n_records long")
+        if fails:
+            with pytest.raises(Exception, match="no response"):
+                warc.read(spark, manifest).collect()
+        else:
+            assert {(r.page_id, r.refers_to) for r in warc.read(spark, manifest).collect()} == {(2, None), (1, 2)}
+
+
 def test_reader_finds_damage():
     good = warc.record(1, "u", b"hello", None, False, "2000-01-01T00:00:00Z")
     both = list(warc.members(io.BytesIO(good)))
