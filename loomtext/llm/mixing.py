@@ -7,8 +7,9 @@
    logarithmic, so any stretch of the schedule holds the sources close to their weights. Ranks that a source
    still lacks at the end follow as a short tail; surplus ranks are left out.
 3. Blocks: each source's documents, shuffled by hash and laid end to end once per pass, are cut into blocks
-   of equal words. Rank r takes block r. The last block ends at the target, so a source's words come out at
-   the whole number below its target, and no document is taken more often than ``cap`` times.
+   of equal words. Rank r takes block r, and so a document's place in the mix, once per pass, is the slot of
+   the block that it begins in. The last block ends at the target, so a source's words come out at the whole
+   number below its target, and no document is taken more often than ``cap`` times.
 
 Ranks and word offsets are prefix sums over two levels (within a chunk or hash range, then over those), so
 no task sees a whole source. Only per-source totals reach the driver.
@@ -52,7 +53,8 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 
 
 def _sources(rows: DataFrame, weights: tuple[int, ...], share: float, cap: int, block_words: int) -> list[tuple]:
-    found = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    totals = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n"))
+    found = totals.limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: their totals are held on the driver")
     goal = targets([(r["_source"], r["size"]) for r in found], weights, share, cap)
@@ -60,7 +62,8 @@ def _sources(rows: DataFrame, weights: tuple[int, ...], share: float, cap: int,
     out = []
     for no, r in enumerate(order):
         take = int(goal[r["_source"]])
-        out.append((no, r["_source"], r["size"], float(goal[r["_source"]]), take, -(-take // block_words), max(1, -(-r["n"] // RANGE_ROWS))))
+        blocks, ranges = -(-take // block_words), max(1, -(-r["n"] // RANGE_ROWS))
+        out.append((no, r["_source"], r["size"], float(goal[r["_source"]]), take, blocks, ranges))
     return out
 
 
@@ -76,7 +79,8 @@ def schedule(spark, blocks: list[int]) -> DataFrame:
     def source_at(points: pd.Series) -> pd.Series:
         return pd.Series(np.minimum(np.searchsorted(edges, points.to_numpy(), side="right"), last).astype("int32"))
 
-    slots = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"id div {CHUNK}").alias("chunk"), source_at(F.expr(f"pmod(pmod(id, {POINTS >> 1}) * {GOLDEN}, {POINTS})")).alias("source_no"))
+    point = F.expr(f"pmod(pmod(id, {POINTS >> 1}) * {GOLDEN}, {POINTS})")
+    slots = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"id div {CHUNK}").alias("chunk"), source_at(point).alias("source_no"))
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = slots.groupBy("chunk", "source_no").agg(F.count("*").alias("n"))
     offsets = counts.select("chunk", "source_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -89,34 +93,50 @@ def schedule(spark, blocks: list[int]) -> DataFrame:
     return ranked.join(F.broadcast(wanted), "source_no").filter("rank < wanted").select("slot", "source_no", "rank").unionByName(tail)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, block_words: int = 1024, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, taken.
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, block_words: int = 1024, seed: int = 17,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, taken, slots.
 
-    ``size`` counts runs of anything but space and \\t to \\r; null texts count 0 and are taken 0 times.
-    A null source is a source of its own. Equal identifiers are separate rows, ordered by size where their
-    hashes tie; rows alike in everything are interchangeable. An empty table gives an empty one. Other columns
+    ``size`` counts runs of anything but space and \\t to \\r; null texts count 0 and are taken 0 times. ``slots``
+    has, for each pass that takes the document, the first slot of the schedule that it fills: sorting by it
+    gives the mixed order; it is empty if the mix does not take the document. A null source is a source of its
+    own. Equal identifiers are separate rows, ordered by size where their hashes tie; rows alike in everything
+    are interchangeable. Very long texts fill several blocks. An empty table gives an empty one. Other columns
     are not read, so none can clash. The result depends on the rows alone, not on how they are partitioned.
     """
     spark = docs.sparkSession
-    rows = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("_size")), "sizes")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
+    rows = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size")), "sizes")
     found = _sources(rows, weights, share, cap, block_words)
-    info = spark.createDataFrame(found or [(0, None, 0, 0.0, 0, 0, 1)], "source_no int, _name string, source_size long, target double, take long, blocks long, ranges long")
+    columns = "source_no int, _name string, source_size long, target double, take long, blocks long, ranges long"
+    info = spark.createDataFrame(found or [(0, None, 0, 0.0, 0, 0, 1)], columns)
     known = rows.join(F.broadcast(info), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
-    known = known.withColumn("_order", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 31))).withColumn("_range", F.shiftright(F.col("_order") * F.col("ranges"), 31))
+    known = known.withColumn("_order", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 31)))
+    known = known.withColumn("_range", F.shiftright(F.col("_order") * F.col("ranges"), 31))
     total = Window.partitionBy("source_no").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = known.groupBy("source_no", "_range").agg(F.sum("_size").alias("n")).select("source_no", "_range", F.coalesce(F.sum("n").over(total), F.lit(0)).alias("_before"))
+    sums = known.groupBy("source_no", "_range").agg(F.sum("_size").alias("n"))
+    sums = sums.select("source_no", "_range", F.coalesce(F.sum("n").over(total), F.lit(0)).alias("_before"))
     within = Window.partitionBy("source_no", "_range").orderBy("_order", "_id", "_size")
+    so_far = F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     placed = known.join(sums, ["source_no", "_range"]).withColumn("_row", F.row_number().over(within))
-    placed = placed.withColumn("_start", F.col("_before") + F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
+    placed = placed.withColumn("_start", F.col("_before") + so_far)
+    start, end = "(_start + pass * source_size)", "least(_start + pass * source_size + _size, take)"
     pieces = F.expr(f"""
-        flatten(transform(sequence(0, {cap - 1}), pass -> if(_size > 0 and _start + pass * source_size < take,
-            transform(sequence((_start + pass * source_size) div {block_words}, (least(_start + pass * source_size + _size, take) - 1) div {block_words}),
-                block -> named_struct('rank', block, 'words',
-                    least(_start + pass * source_size + _size, take, (block + 1) * {block_words}) - greatest(_start + pass * source_size, block * {block_words}))),
+        flatten(transform(sequence(0, {cap - 1}), pass -> if(_size > 0 and {start} < take,
+            transform(sequence({start} div {block_words}, ({end} - 1) div {block_words}),
+                block -> named_struct('pass', pass, 'rank', block, 'words',
+                    least({end}, (block + 1) * {block_words}) - greatest({start}, block * {block_words}))),
             array())))""")
     key = ["source_no", "_range", "_row", "_id", "_source", "_size", "source_size", "target"]
-    cut = placed.select(*key, F.explode_outer(pieces).alias("_piece")).select(*key, "_piece.rank", "_piece.words")
-    slots = schedule(spark, [x[5] for x in found])
-    taken = cut.join(slots, ["source_no", "rank"], "left")
-    out = taken.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"))
-    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", "taken")
+    cut = placed.select(*key, pieces.alias("_pieces"))
+    # what no pass takes has no rank, and stays out of the join with the slots
+    alone = cut.filter(F.size("_pieces") == 0).select(*key, F.lit(0).cast("long").alias("taken"), F.expr("cast(array() as array<long>)").alias("slots"))
+    cut = cut.filter(F.size("_pieces") > 0).select(*key, F.explode("_pieces").alias("_piece")).select(*key, "_piece.*")
+    taken = cut.join(schedule(spark, [x[5] for x in found]), ["source_no", "rank"])
+    first = [F.min(F.when(F.col("pass") == p, F.struct("rank", "slot"))) for p in range(cap)]
+    slots = F.array_compact(F.array(*[x["slot"] for x in first])).alias("slots")
+    out = taken.groupBy(*key).agg(F.sum("words").alias("taken"), slots).unionByName(alone)
+    names = [F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size")]
+    return out.select(*names, "source_size", "target", "taken", "slots")

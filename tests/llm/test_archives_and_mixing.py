@@ -112,6 +112,51 @@ def test_mix_reaches_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def mixed_brute(rows, hashes, block, cap=2):
+    """Words taken and first slots of every row, document by document."""
+    sizes = Counter()
+    for _, source, n in rows:
+        sizes[source] += n
+    goals = mixing.targets(list(sizes.items()))
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    take = [int(goals[s]) for s in order]
+    blocks = [-(-t // block) for t in take]
+    edges = [sum(blocks[: i + 1]) * 2**32 // max(sum(blocks), 1) for i in range(len(blocks))]
+    rank, slots, total = Counter(), {}, sum(blocks)
+    for slot in range(total):
+        point = slot % 2**31 * mixing.GOLDEN % 2**32
+        source = min(next((i for i, e in enumerate(edges) if point < e), len(blocks) - 1), max(i for i, n in enumerate(blocks) if n))
+        slots[source, rank[source]] = slot
+        rank[source] += 1
+    out = {}
+    for no, source in enumerate(order):
+        at = 0
+        own = sorted((hashes[i], i, n) for i, s, n in rows if s == source)
+        for _, i, n in own:
+            taken, first = 0, []
+            for p in range(cap):
+                a = at + p * sizes[source]
+                b = min(a + n, take[no])
+                if n and a < take[no]:
+                    taken += b - a
+                    first.append(slots.get((no, a // block), total + no))
+            out[i] = (n, taken, first)
+            at += n
+    return out
+
+
+def test_mix_equals_a_plain_version_and_follows_the_schedule(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(i, rng.choice(["hot"] * 5 + ["b", "c", None]), rng.choice([0, 1, 7, 90, 800])) for i in range(300)]
+    docs = spark.createDataFrame([(i, s, "w " * n if n else rng.choice(["", None])) for i, s, n in rows], "doc_id long, source string, text string")
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.expr("pmod(xxhash64(17, doc_id), 2147483648)").alias("h")).collect()}
+    got = {r.doc_id: (r["size"], r.taken, r.slots) for r in mixing.mix(docs, block_words=64).collect()}
+    assert got == mixed_brute(rows, hashes, 64)
+    monkeypatch.setattr(mixing, "GOLDEN", 1)  # another schedule
+    other = {r.doc_id: (r["size"], r.taken, r.slots) for r in mixing.mix(docs, block_words=64).collect()}
+    assert other != got and {i: x[:2] for i, x in other.items()} == {i: x[:2] for i, x in got.items()}
+
+
 def test_any_stretch_of_the_schedule_is_near_the_weights(spark):
     blocks = [500, 300, 150, 49, 1]
     slots = [r.source_no for r in mixing.schedule(spark, blocks).orderBy("slot").collect()]
