@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, exactdedup, mixing, neardup, quality
-from loomtext.llm.common import materialize, table
+from loomtext.llm.common import Workspace, table
 from loomtext.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,18 +34,28 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole documents, so the number of times is rounded, and one
-    that the mix takes a word of stays. One without words, which no mix can weigh, stays once."""
-    times = F.when(F.col("size") == 0, 1).otherwise(F.greatest(F.signum("taken"), F.round(F.col("taken") / F.col("size")))).cast("int")
-    mix = mixing.mix(docs).select("doc_id", times.alias("_times")).groupBy("doc_id").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    return docs.join(mix, docs["doc_id"].eqNullSafe(mix["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1, _times)")).alias("_pass")).drop("_pass")
+    """Each document as often as the mix takes it, in the order of the mix's slots.
+
+    The mix takes whole documents, so the number of times is rounded, and one that it takes a word of stays. One
+    without words, which no mix can weigh, stays once, at the end.
+    """
+    whole = F.round(F.col("taken") / F.col("size"))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.greatest(F.signum("taken"), whole)).cast("int")
+    mix = mixing.mix(docs).select("doc_id", times.alias("_times"), "slots")
+    mix = mix.groupBy("doc_id").agg(F.max(F.struct("_times", "slots")).alias("_mix")).filter("_mix._times > 0")
+    slot = F.expr("transform(sequence(1, _mix._times), k -> coalesce(get(_mix.slots, k - 1), element_at(_mix.slots, -1)))")
+    slot = F.when(F.size("_mix.slots") > 0, slot).otherwise(F.expr("array(cast(null as long))"))
+    copies = mix.select(F.col("doc_id").alias("_id"), F.explode(slot).alias("_slot"))
+    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return mixed.orderBy(F.col("_slot").asc_nulls_last(), "_id").select(*[docs[c] for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; decoding them gives the text back, or the job fails."""
     path = vocabulary_path()
     out = bpe.decode(bpe.encode(docs, path, keep=("doc_id", "source", "text")), path)
-    same = F.when(F.col("decoded") == F.coalesce("text", F.lit("")), F.col("token_ids")).otherwise(F.raise_error(F.lit("decoding does not give the text back")))
+    differs = F.raise_error(F.lit("decoding does not give the text back"))
+    same = F.when(F.col("decoded") == F.coalesce("text", F.lit("")), F.col("token_ids")).otherwise(differs)
     return out.select("doc_id", "source", "n_tokens", same.cast("binary").alias("token_ids"))
 
 
@@ -62,9 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, work, before = table(spark, sf_dir, "documents").select(*COLUMNS), Workspace(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
+            docs = work.write(docs, name)
+            if before is not None:
+                work.drop(before)
+            before = docs
     return docs
