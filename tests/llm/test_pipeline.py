@@ -68,6 +68,18 @@ def test_mix_takes_documents_as_often_as_their_words(stages):
         assert abs(words[s] - float(target)) <= 2 * most[s]
 
 
+def test_mixed_documents_come_in_the_order_of_their_slots(spark, stages):
+    before = stages["mixing"][0]
+    want = []
+    for r in mixing.mix(before).collect():
+        times = 1 if not r["size"] else max(int(r.taken > 0), int(r.taken / r["size"] + 0.5))
+        for k in range(times):
+            slot = r.slots[min(k, len(r.slots) - 1)] if r.slots else None
+            want.append((slot is None, slot or 0, r.doc_id))
+    got = [r.doc_id for r in corpus_pipeline.mixing_stage(spark, before, DATA).collect()]
+    assert got == [i for *_, i in sorted(want)] and got != sorted(got)
+
+
 def test_tokens_are_the_library_s(stages):
     before, after = stages["bpe"]
     theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
