@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from loomtext.llm import common, exactdedup, neardup
+from pyspark.sql import functions as F
 
 
 def exact_brute(rows):
@@ -32,19 +33,32 @@ def test_exact_smallest_null_ids_repeats_and_clashing_columns(spark):
     assert exactdedup.annotate(docs.limit(0)).count() == 0 and exactdedup.deduplicate(docs.limit(0)).count() == 0
 
 
-def test_a_level_fails_where_texts_of_one_digest_differ(spark):
-    from loomtext.llm.common import merge_levels
-
-    columns = "digest string, _salt int, keep_id long, group_size long, _most string, _least string"
-    for other, fails in (("x", False), ("y", True)):
-        runs = spark.createDataFrame([("d", 0, 1, 1, "x", "x"), ("d", 9, 2, 1, other, other)], columns)
-        last = merge_levels(runs, "digest", lambda: exactdedup._merged("max"), 64, 8)[1].select("digest", "keep_id")
-        assert "SortAggregate" in last._jdf.queryExecution().executedPlan().toString()
-        if fails:
-            with pytest.raises(Exception, match="differ"):
-                last.collect()
-        else:
-            assert last.collect() == [("d", 2)]
+def test_a_round_merges_sorted_runs_and_verifies_them(spark):
+    columns = "node int, lane int, digest string, keep_id long, group_size long, check string"
+    entries = [(k % 4 // 2, 0, f"d{k % 3}", k, 1, f"c{k % 3}") for k in range(60)]
+    out = exactdedup.merge(spark.createDataFrame(entries, columns)).collect()
+    want = {(node, d): (max(k for n, _, e, k, _, _ in entries if (n, e) == (node, d)), 10) for node in (0, 1) for d in ("d0", "d1", "d2")}
+    assert {(r.node, r.digest): (r.keep_id, r.group_size) for r in out} == want and len(out) == 6
+    for node in (0, 1):
+        assert [r.digest for r in out if r.node == node] == ["d0", "d1", "d2"]
+    with pytest.raises(Exception, match="differ"):
+        exactdedup.merge(spark.createDataFrame([*entries, (0, 0, "d1", 3, 1, "other")], columns)).collect()
+
+
+def test_runs_are_the_input_s_partitions_and_any_radix_gives_the_same(spark):
+    rows = [(i, f"text {i % 37}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    work = common.Workspace(spark, "test")
+    for radix in (2, 3, 8):
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exactdedup.annotate(docs, radix=radix).collect()) == exact_brute(rows)
+    found = docs.select(F.col("doc_id").alias("_id"), exactdedup.digest(F.col("text")).alias("digest"), exactdedup.check(F.col("text")).alias("check"), F.spark_partition_id().alias("run"))
+    found = work.write(found, "rows")
+    first, last = exactdedup.tree(found, 11, "min", 2, work)
+    runs = {r.run for r in found.select("run").distinct().collect()}
+    assert {r.node for r in first.collect()} == runs and len(runs) > 5
+    assert first.count() == found.select("run", "digest").distinct().count()
+    assert {r.digest: r.keep_id for r in last.collect()} == {r.digest: r.best for r in found.groupBy("digest").agg(F.min("_id").alias("best")).collect()}
+    assert {r.node for r in last.collect()} == {0}
 
 
 def near_brute(rows, words, percent=80):
