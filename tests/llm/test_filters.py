@@ -120,8 +120,8 @@ def test_licenses_equal_brute_force(spark):
         found = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         for i, (_, t) in enumerate(licenses.TEMPLATES):
             t = cut(t)
-            need, step, width = {tuple(t[j : j + 5]) for j in range(len(t) - 4)}, len(t) // 2 + 1, len(t) + len(t) // 2
-            best = max((len(need & set(found[k : k + width - 4])) / len(need) for k in range(0, max(len(w), 1), step)), default=0)
+            need = {tuple(t[j : j + 5]) for j in range(len(t) - 4)}
+            best = max((len(need & set(found[k : k + 2 * len(t) - 4])) / len(need) for k in range(len(w))), default=0)
             if best >= licenses.CONTAINED:
                 want[d, i] = best
     docs = spark.createDataFrame([(d, t, "x") for d, t in enumerate(texts)], "doc_id long, text string, license string")
@@ -157,6 +157,23 @@ def test_licenses_do_not_depend_on_the_word_position(spark):
     assert got == want and all((d, 1) in got for d in range(28))
 
 
+def test_licenses_are_what_the_bands_retrieve(spark, monkeypatch):
+    """Crowded windows: with one band most copies are lost, with all of them none is."""
+    parts = [t.split() for _, t in licenses.TEMPLATES]
+    rows = [(k, " ".join(" ".join(parts[(k * 7 + j) % len(parts)]) for j in range(6))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.scan(docs).count()
+    monkeypatch.setattr(licenses, "BANDS", 1)
+    assert licenses.scan(docs).count() < found
+
+
+def test_licenses_null_and_repeated_ids_and_long_texts(spark):
+    line = "Released under the MIT License."
+    rows = [(None, line), (1, line), (1, line), (2, "word " * 100_000 + line), (3, (line + " ") * 2_000)]
+    got = {r.doc_id: (r.license, r.containment) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ("MIT", 1.0) for i in (None, 1, 2, 3)}
+
+
 def test_quality_learns_from_every_feature_of_long_texts(spark):
     ranked = sorted((f"{a}{b}{c}{d}" for a in "bcdfghjk" for b in "aeiouy" for c in "lmnpqrstvw" for d in "aeiouybcdf"), key=quality.cell)
     last = ranked.pop()  # of all words the one of largest hash
