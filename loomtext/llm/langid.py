@@ -22,8 +22,7 @@ LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}]+")
 UNKNOWN = "und"
 HELD_OUT = 2  # crc32(id as text) mod 4
-BUCKETS = 256  # training documents per language, at most
-DOC_BYTES = 4096  # of each of them, at most
+BUCKETS = 256  # training documents per language, at most; each is learned whole
 BLOCK_BYTES = 4096
 LEAST_BYTES = 1 << 16
 LEVEL = 6
@@ -41,26 +40,29 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of the rows that are not held out and have text and language, each language gives at most one per bucket
     of hashed identifiers: that with the smallest hash. Only (language, bucket, hash) is shuffled, combined
-    before; the texts of the at most ``buckets`` winners a language then come from a second scan.
+    before; the whole texts of the at most ``buckets`` winners a language then come from a second scan. Each
+    language takes as many of them, whole, as bring it to the size of the smallest (but ``LEAST_BYTES``), so that
+    a larger dictionary is no advantage.
     """
     rows = docs.filter(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_hash"), F.col(text_col).alias("_text")).filter(F.length("_text") > 0)
+    rows = rows.select(F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_hash"), F.col(text_col).alias("_text"))
+    rows = rows.filter(F.length("_text") > 0)
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     best = rows.groupBy("_lang", "_bucket").agg(F.min("_hash").alias("_hash"))
     if best.select("_lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    chosen = rows.join(F.broadcast(best), ["_lang", "_bucket", "_hash"])  # at most MOST_LANGUAGES * buckets rows of 24 bytes and a name
-    # a dictionary wants the middle of a long document as much as its start: pieces from all over it, up to the bound
-    piece = F.when(F.length("_text") <= DOC_BYTES // 2, F.col("_text")).otherwise(
-        F.concat(*[F.substring("_text", F.expr(f"1 + cast((length(_text) - {DOC_BYTES // 8}) * {k} / 3 as int)"), F.lit(DOC_BYTES // 8)) for k in range(4)])
-    )
-    picked = chosen.groupBy("_lang", "_bucket").agg(F.min(piece).alias("_piece")).collect()
-    out: dict[str, list[tuple[int, bytes]]] = {}
+    # at most MOST_LANGUAGES * buckets rows of 24 bytes and a name
+    chosen = rows.join(F.broadcast(best), ["_lang", "_bucket", "_hash"])
+    picked = chosen.groupBy("_lang", "_bucket").agg(F.min("_text").alias("_text")).collect()
+    texts: dict[str, list[bytes]] = {}
     for r in sorted(picked, key=lambda r: (r["_lang"], r["_bucket"])):
-        out.setdefault(r["_lang"], []).append(letters(r["_piece"])[:DOC_BYTES])
-    # equal sizes, so that a larger dictionary is no advantage; but a rare language does not shrink the others' below LEAST_BYTES
-    size = max(LEAST_BYTES, min((sum(map(len, v)) for v in out.values()), default=0))
-    return {k: b"\n".join(v)[:size] for k, v in out.items()}
+        texts.setdefault(r["_lang"], []).append(letters(r["_text"]))
+    # a rare language does not shrink the others' below LEAST_BYTES
+    size, out = max(LEAST_BYTES, min((sum(map(len, v)) for v in texts.values()), default=0)), {}
+    for lang, held in texts.items():
+        before = [sum(map(len, held[:k])) for k in range(len(held))]
+        out[lang] = b"\n".join(x for x, n in zip(held, before) if n < size)
+    return out
 
 
 def letters(text: str) -> bytes:
@@ -75,7 +77,8 @@ class Models:
         for name in self.names:
             known = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(level=LEVEL)
-            self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False))
+            plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+            self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, **plain))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not self.names or not text or not LETTER.search(text):
@@ -100,7 +103,7 @@ def identify(docs: DataFrame, content: dict[str, bytes] | None = None, id_col: s
     rows are predicted alike; an empty table gives an empty one. Other columns are not read, so none can clash.
     """
     content = training_sample(docs, id_col, text_col, lang_col) if content is None else content
-    sent = docs.sparkSession.sparkContext.broadcast(content)  # at most MOST_LANGUAGES languages of BUCKETS * DOC_BYTES each
+    sent = docs.sparkSession.sparkContext.broadcast(content)  # at most MOST_LANGUAGES languages of BUCKETS documents each
     rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("_held"), F.col(text_col).alias("_text"))
     schema = f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean"
 
