@@ -3,7 +3,9 @@
 Three base kinds are patterns. The method adds spans: in candidate strings of a character class, a window
 slides over the characters; per step one character's count goes up and one's goes down, and the Shannon
 entropy follows from the running sum of c * log2(c). Windows at or above the class's limit, merged, make a
-span, unless an allow-list pattern suppresses the candidate or a base span covers it.
+span, unless an allow-list pattern suppresses the candidate or a base span covers it. Placeholder words are
+allowed wherever they stand: they cut a candidate, so only windows that overlap one are suppressed, not the key
+around it.
 
 Positions come from lengths: what splitting by a pattern leaves, and what it matched, alternate. Their prefix
 sums are taken over two levels, so a text with n matches costs n ** 1.5 small steps, not n ** 2.
@@ -26,7 +28,7 @@ CLASSES = (
     ("entropy_hex", "0123456789abcdefABCDEF", r"[0-9a-fA-F]", 3.0),
     ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"[A-Za-z0-9+/_=-]", 3.9),
 )
-# Candidates that are not secrets: plain words, numbers, rules, paths, and placeholders.
+# Candidates that are not secrets: plain words, numbers, rules and paths.
 ALLOW = (
     r"^[A-Z]?[a-z]+$",
     r"^[A-Z]+$",
@@ -34,8 +36,9 @@ ALLOW = (
     r"^(.)\1*$",
     r"^[A-Za-z]+([-_/+=]+[A-Za-z]+)*$",
     r"^[a-z0-9_-]*(/[a-z0-9_-]+)+/?$",
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxxxx|0123456789|abcdefgh",
 )
+# Words, in either case, that no window of a secret overlaps.
+PLACEHOLDERS = ("example", "sample", "dummy", "placeholder", "changeme", "xxxxxx", "0123456789", "abcdefgh")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -45,11 +48,21 @@ def _least(pattern: str, least: int) -> str:
     return pattern[:-1] + "{%d,}" % (least if plain else least - 4)
 
 
-def _positions(rows: DataFrame, name: str, pattern: str) -> DataFrame:
+def _masked(text: Column, words: tuple[str, ...]) -> Column:
+    """The text with each placeholder, in turn, as so many blanks: every position stays."""
+    if not words:
+        return text
+    out = text
+    for w in words:
+        out = F.regexp_replace(out, rf"(?i)\Q{w}\E", " " * len(w))
+    return F.when(text.rlike("(?i)" + "|".join(rf"\Q{w}\E" for w in words)), out).otherwise(text)
+
+
+def _positions(rows: DataFrame, name: str, pattern: str, text: str = "_text") -> DataFrame:
     """Adds ``name``: array of (start, end, text) of every match, leftmost and non-overlapping, in code points."""
     m, gaps, size, blocks, offs = (f"_{name}_{x}" for x in ("m", "gaps", "size", "blocks", "offs"))
-    rows = rows.withColumn(m, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
-    rows = rows.withColumn(gaps, F.when(F.size(m) > 0, F.transform(F.split("_text", pattern, -1), F.length)).otherwise(F.expr("cast(array() as array<int>)")))
+    rows = rows.withColumn(m, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    rows = rows.withColumn(gaps, F.when(F.size(m) > 0, F.transform(F.split(text, pattern, -1), F.length)).otherwise(F.expr("cast(array() as array<int>)")))
     rows = rows.withColumn(size, F.ceil(F.sqrt(F.size(m))).cast("int"))
     rows = rows.withColumn(blocks, F.expr(f"""
         if({size} = 0, cast(array() as array<array<int>>), transform(sequence(0, {size} - 1),
@@ -94,12 +107,17 @@ def _joined(spans: str) -> Column:
     return F.expr(f"array_join(transform(array_sort({spans}), x -> concat(array({names})[x.kind], ':', x.start, ':', x.end)), ',')")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW,
+    placeholders: tuple[str, ...] = PLACEHOLDERS,
+) -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, n_entropy, base_spans, spans (arrays of start, kind, end), base, all.
 
     Offsets are code points, ends are exclusive. ``base`` and ``all`` are the spans as kind:start:end, by start
-    and then kind. Null texts count as empty and have no spans. Repeated rows are scanned alike, an empty table
-    gives an empty one; only identifier and text are read, so other columns cannot clash.
+    and then kind; spans of equal start are in the order in which the kinds are listed, so there are no ties.
+    Null texts count as empty and have no spans; very long texts and candidates are read whole. Repeated rows
+    and null identifiers are scanned like others, an empty table gives an empty one; only identifier and text
+    are read, so other columns cannot clash.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     for kind, (name, pattern, part, least) in enumerate(BASE):
@@ -109,8 +127,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
             held = F.filter(held, lambda x: F.length(F.regexp_extract(x["text"], pattern, part)) >= least)
         rows = rows.withColumn(f"_{name}", F.transform(held, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"))))
     rows = rows.withColumn("base_spans", F.concat(*[F.col(f"_{name}") for name, *_ in BASE]))
+    rows = rows.withColumn("_plain", _masked(F.col("_text"), placeholders))
     for kind, (name, alphabet, letter, limit) in enumerate(CLASSES, len(BASE)):
-        rows = _positions(rows, f"_{name}", letter + "{%d,}" % WINDOW)
+        rows = _positions(rows, f"_{name}", letter + "{%d,}" % WINDOW, "_plain")
         rows = rows.withColumn(f"_{name}", F.filter(f"_{name}", lambda x: ~F.greatest(F.lit(False), *[x["text"].rlike(p) for p in allow])))
         rows = rows.withColumn(f"_{name}", F.when(F.size(f"_{name}") > 0, _windows(kind, f"_{name}", alphabet, limit)).otherwise(F.expr(f"cast(array() as {SPAN})")))
         rows = rows.withColumn(f"_{name}", F.expr(f"filter(_{name}, x -> not exists(base_spans, b -> b.start <= x.start and b.end >= x.end))"))
