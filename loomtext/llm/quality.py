@@ -24,6 +24,7 @@ from loomtext.llm.common import materialize
 TOKEN = regex.compile(r"\p{L}+|[^\p{L}\p{N}\s]+")
 CELLS = (1 << 40) - 1
 SAMPLE_ROWS = 10_000  # labelled rows that a fit sees, at most
+SAMPLE_CELLS = 16_000_000  # cells of these rows together, at most: 128 MB on the driver
 LEAST_DOCS = 4
 CACHE_TOKENS = 200_000
 BATCH_ROWS = 500
@@ -128,8 +129,9 @@ def fit(rows: list[tuple[int, np.ndarray]], rounds: int = 400, l1: float = 1e-4,
 def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, np.ndarray]]:
     """Grade and cells of at most ``sample_rows`` labelled documents: those of smallest hashed identifier.
 
-    A document labelled more than once has its lowest grade; rows that repeat it are one. Only cells in at least
-    ``LEAST_DOCS`` rows are sent to the driver, since the fit uses no others.
+    Rows are whole: where the cells of so many rows exceed ``SAMPLE_CELLS``, fewer rows are taken, in the same
+    order. A document labelled more than once has its lowest grade; rows that repeat it are one. Only cells in
+    at least ``LEAST_DOCS`` rows are sent to the driver, since the fit uses no others.
     """
     spark = docs.sparkSession
     graded = labels.select(F.col(id_col).alias("_id"), (default_grade() if grade is None else grade).alias("_grade")).filter("_id IS NOT NULL AND _grade IS NOT NULL")
@@ -152,6 +154,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = Non
 
     schema = f"_id {kind}, _grade int, _cells array<long>"
     sample = materialize(texts.select("_id", "_text", "_grade").mapInArrow(run, schema), "sample", BATCH_ROWS)
+    sizes = {r["_id"]: r["n"] for r in sample.groupBy("_id").agg(F.max(F.size("_cells")).alias("n")).collect()}
+    total, fits = 0, []  # at most sample_rows of them
+    for r in chosen:
+        total += sizes.get(r["_id"], 0)
+        if total <= SAMPLE_CELLS:
+            fits.append((r["_id"],))
+    if total > SAMPLE_CELLS:
+        sample = sample.join(F.broadcast(spark.createDataFrame(fits, f"_id {kind}")), "_id").select(*sample.columns)
     often = sample.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     sent = spark.sparkContext.broadcast(np.sort(often.select("_cell").toArrow()["_cell"].to_numpy()))
 
