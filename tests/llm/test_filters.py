@@ -29,6 +29,62 @@ def test_quality_separates_grades(spark):
     assert {r.doc_id for r in quality.accept_rows(docs, model).collect()} == {i for i, r in out.items() if r.kept}
 
 
+def test_grades_equal_a_plain_reading_of_the_model(spark):
+    rng = random.Random(15)
+    weights = {quality.cell(f"w{k}"): rng.uniform(-2, 2) for k in range(50)}
+    texts = [None, "", " ".join(f"w{rng.randrange(60)}" for _ in range(100_000)), "w1 W2, w3", "absent"]
+    model = quality.Model(weights, [-0.5, 0.5])
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 2)]
+    out = quality.grade(spark.createDataFrame(rows, "doc_id long, text string, tail_prob int"), model).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        score = sum(w for c, w in weights.items() if c in quality.features(texts[r.doc_id], {}))
+        at_most = [1 / (1 + math.exp(-(t - score))) for t in model.thresholds] + [1.0]
+        share = [b - a for a, b in zip([0.0, *at_most], at_most)]
+        assert abs(r.expected_grade - sum(k * p for k, p in enumerate(share))) < 1e-9
+        assert abs(r.tail_prob - share[2]) < 1e-9 and r.grade_pred == share.index(max(share)) and r.kept == (share[2] >= 0.5)
+    even = quality.grade(spark.createDataFrame([(1, "absent")], "doc_id long, text string"), quality.Model({}, [0.0]), accept_grade=1).first()
+    assert (even.grade_pred, even.tail_prob, even.kept) == (0, 0.5, True)
+
+
+def test_a_fit_climbs_the_likelihood_of_the_cumulative_link(spark):
+    import numpy as np
+
+    rng = random.Random(16)
+    rows = []
+    for _ in range(400):
+        cells = sorted(rng.sample(range(30), 6))
+        score = sum(1 if c < 10 else -1 if c >= 20 else 0 for c in cells) + rng.gauss(0, 1)
+        rows.append((0 if score < -1 else 1 if score < 1 else 2, np.array(cells)))
+
+    def loss(model):
+        out = 0.0
+        for g, cells in rows:
+            s = model.score(cells.tolist())
+            at_most = [0.0] + [1 / (1 + math.exp(s - t)) for t in model.thresholds] + [1.0]
+            out -= math.log(max(at_most[g + 1] - at_most[g], 1e-12))
+        return out / len(rows) + 1e-4 * sum(abs(w) for w in model.weights.values())
+
+    model = quality.fit(rows, rounds=2000)
+    best = loss(model)
+    assert best < loss(quality.fit(rows, rounds=5)) < loss(quality.fit(rows, rounds=1))
+    for c in list(model.weights)[:10]:  # no small step of a weight or a threshold does better
+        for d in (-0.05, 0.05):
+            assert loss(quality.Model({**model.weights, c: model.weights[c] + d}, model.thresholds)) > best - 1e-5
+    for d in (-0.05, 0.05):
+        assert loss(quality.Model(model.weights, [model.thresholds[0] + d, model.thresholds[1]])) > best - 1e-5
+
+
+def test_a_sample_is_bounded_in_rows_and_cells_by_whole_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"v{chr(97 + j)}" for j in range(20))) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    every = quality.training_rows(docs, labels)
+    assert len(every) == 100 and len(quality.training_rows(docs, labels, sample_rows=30)) == 30
+    monkeypatch.setattr(quality, "SAMPLE_CELLS", 10 * len(every[0][1]))
+    some = quality.training_rows(docs, labels)
+    assert len(some) == 10 and all(len(x) == len(every[0][1]) for _, x in some)
+
+
 def test_quality_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (2, "", 5), (None, "x", 5)], "doc_id long, text string, kept int")
     none = spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
@@ -59,6 +115,44 @@ def test_a_rare_language_does_not_shrink_the_others(spark):
     assert len(content["en"]) > 50_000 and set(content) == {"en", "xx"}
 
 
+def plain_language(text, content):
+    """Blocks one by one, with a dictionary each time anew; the reading that the operator is held to."""
+    import zstandard
+
+    if not text or not re.search(r"[^\W\d_]", text):
+        return "und"
+    raw = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+    sizes = {}
+    for name in sorted(content):
+        sizes[name] = 0
+        for i in range(0, len(raw), langid.BLOCK_BYTES):
+            known = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=langid.LEVEL)
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[name] += len(packer.compress(raw[i : i + langid.BLOCK_BYTES]))
+    return min(sizes, key=lambda k: (sizes[k], k))
+
+
+def test_language_of_long_texts_ties_and_whole_training_texts(spark):
+    rng = random.Random(14)
+    parts = {"aa": ["the", "ing", "tion"], "bb": ["eau", "ment", "que"], "cc": ["sch", "ung", "lich"]}
+
+    def text(k, n):
+        return " ".join("".join(rng.choice(parts[k]) for _ in range(3)) for _ in range(n))
+
+    rows = [(i, text(k, rng.choice([1, 30, 900])), k) for i in range(300) for k in [rng.choice(sorted(parts))]]
+    rows += [(1000, text("aa", 200) + " " + text("bb", 9_000), None), (1001, text("cc", 30_000), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = langid.training_sample(docs)
+    out = {r.doc_id: r for r in langid.identify(docs, content).collect()}
+    assert (out[1000].lang_pred, out[1001].lang_pred) == ("bb", "cc")
+    assert {i: r.lang_pred for i, r in out.items()} == {i: plain_language(t, content) for i, t, _ in rows}
+    learned = {langid.letters(t) for _, t, _ in rows}
+    assert all(set(x.split(b"\n")) <= learned for x in content.values())
+    twins = {"one": content["aa"], "two": content["aa"]}
+    assert {(r.lang_pred, r.score, r.rejected) for r in langid.identify(docs, twins).collect()} == {("one", 0.0, True)}
+
+
 def test_language_edge_rows(spark):
     docs = spark.createDataFrame([(1, "hello there friend", "en", 0.1), (2, None, "en", 0.1), (3, "12 !?", None, 0.1), (None, "hello", None, 0.1), (3, "", "fr", 0.1)], "doc_id long, text string, lang string, score double")
     out = sorted((str(r.doc_id), r.lang_pred) for r in langid.identify(docs).collect())
@@ -74,8 +168,11 @@ def secrets_brute(text):
     base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    plain = text
+    for w in secrets.PLACEHOLDERS:
+        plain = re.sub(w, " " * len(w), plain, flags=re.IGNORECASE | re.ASCII)
     for kind, (_, _, letter, limit) in enumerate(secrets.CLASSES, 3):
-        for m in re.finditer(letter + "{20,}", text):
+        for m in re.finditer(letter + "{20,}", plain):
             if any(re.search(p, m[0]) for p in secrets.ALLOW):
                 continue
             spans = []
@@ -103,6 +200,17 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_around_placeholders_long_candidates_and_odd_rows(spark):
+    rng = random.Random(17)
+    key = "".join(rng.choice(secrets.CLASSES[1][1]) for _ in range(200))
+    texts = [key[:100] + "sAmple" + key[100:], "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "my-example-key-0123456789abcdefgh", "".join(rng.choice("ABCDEFghijkl0123456789+/") for _ in range(30_000)), None]
+    rows = [(i if i != 1 else None, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = Counter((r.doc_id, r["base"], r["all"]) for r in secrets.scan(docs).collect())
+    assert got == Counter((i, *secrets_brute(t)) for i, t, _ in rows)
+    assert secrets_brute(texts[0])[1].count(":") == 4 and secrets_brute(texts[1])[1] == ""
+
+
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(8)
     texts = [None, "", "four words only here", "released UNDER the mit-license!"]
