@@ -20,19 +20,19 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomtext.llm.common import tidy
 
 # Fixed value: the public pattern by which byte-level BPE splits text before merging.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 TEXT_WINDOW = 1 << 16
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 CACHED_BYTES = 64
 
 
@@ -250,36 +250,37 @@ def decode_ids(packed: bytes | None, merges: MergeTable, step: int = 1 << 14) ->
     return "".join([decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)] + [decoder.finish()])
 
 
-@lru_cache(maxsize=2)
-def _table(raw: bytes) -> MergeTable:
-    return MergeTable(raw)
-
-
 def _rows(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, step):
         yield batch.slice(i, step)
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: str | None = None
+) -> DataFrame:
     """Columns ``keep``, n_tokens and token_ids (little-endian unsigned 32-bit integers) of every row.
 
-    Null and empty texts give no tokens. Repeated rows stay repeated, ties do not occur, an empty table
-    gives an empty one, and only the named columns are read, so others cannot clash. ``vocabulary`` is a
-    path on the driver; its bytes (a few MB) travel with the tasks.
+    Null and empty texts give no tokens. Repeated rows stay repeated, ties do not occur, very long texts pass
+    through a window, an empty table gives an empty one, and only the named columns are read, so others cannot
+    clash. ``vocabulary`` is a path on the driver; its bytes (a few MB) travel with the tasks. ``decoded`` names
+    a further column with the text that the ids decode to, made in the same pass.
     """
     raw = docs.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
     kept = docs.select(*keep)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _table(raw.value)
-        cache: dict[str, bytes] = {}
+        merges, cache = MergeTable(raw.value), {}
         for batch in batches:
             for part in _rows(batch):
-                packed = [encode_text(t, merges, cache) for t in part.column(len(keep)).to_pylist()]
+                packed = [encode_text(t.as_py(), merges, cache) for t in part.column(len(keep))]
                 out = [*part.columns[: len(keep)], pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+                if decoded:
+                    out.append(pa.array([decode_ids(p, merges) for p in packed], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
+    fields = [*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
+    schema = T.StructType(fields + ([T.StructField(decoded, T.StringType())] if decoded else []))
     names = schema.fieldNames()
     return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(run, schema)
 
@@ -290,8 +291,9 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
     at, names = encoded.columns.index(ids_col), schema.fieldNames()
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _table(raw.value)
+        merges = MergeTable(raw.value)
         for batch in batches:
             for part in _rows(batch):
                 texts = [decode_ids(p, merges) for p in part.column(at).to_pylist()]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ LEAST_SALTS = 64
 RADIX = 64
 HOT_KEYS = 10_000
 HOT_ROWS = 1_000
+ROWS_PER_FILE = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,17 +58,22 @@ class Workspace:
     """Tables that one call writes to the shared folder and reads back.
 
     Lineage ends at each of them, so lost executors cost nothing. ``drop`` removes those that nothing reads
-    any more; what a lazy result still needs stays until :func:`clean`.
+    any more; what a lazy result still needs stays until :func:`clean`. Once ``sized`` by the rows of the
+    input, tables of its order are not written by more tasks than those rows are worth.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths, self.written = spark, scratch(spark, name), {}, 0
+        self.spark, self.root, self.paths, self.written, self.tasks = spark, scratch(spark, name), {}, 0, None
+
+    def sized(self, rows: int) -> Workspace:
+        self.tasks = max(self.spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE)
+        return self
 
     def write(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
         """``batch_rows`` bounds the rows of an Arrow batch while this table is made."""
         path, self.written = f"{self.root}/{name}-{self.written}", self.written + 1
         with batches(self.spark, batch_rows):
-            df.write.parquet(path)
+            (df.coalesce(self.tasks) if self.tasks else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -98,6 +107,21 @@ def batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, held)
 
 
+def tidy(run: Callable) -> Callable:
+    """For functions of mapInArrow: a worker outlives its tasks, so what a task took is given back when it ends."""
+
+    @functools.wraps(run)
+    def wrapped(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(given)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def salts_for(rows: int) -> int:
     """As many salts as leave ROWS_PER_SALT rows of one key to a task, however many there are."""
     return max(LEAST_SALTS, -(-rows // ROWS_PER_SALT))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import Hot, Workspace
+from loomtext.llm.common import Hot, Workspace, tidy
 
 RADIX = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,6 +49,7 @@ def merge(runs: DataFrame, keep: str = "max") -> DataFrame:
     columns = ["node", "lane", "digest", "keep_id", "group_size", "check"]
     better = (lambda a, b: a > b) if keep == "max" else (lambda a, b: a < b)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, kinds = None, None, None
         for batch in batches:
@@ -102,8 +103,8 @@ def annotate(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_co
     text = F.col(text_col)
     run = F.spark_partition_id().alias("run")  # written, so that every later read sees the same
     rows = work.write(docs.select(F.col(id_col).alias("_id"), digest(text).alias("digest"), check(text).alias("check"), run), "digests")
-    n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    first, last = tree(rows, n_runs, keep, radix, work)
+    n_runs, n_rows = rows.agg(F.coalesce(F.max("run"), F.lit(0)) + 1, F.count("*")).first()
+    first, last = tree(rows, n_runs, keep, radix, work.sized(n_rows))
     last = last.select("digest", "keep_id", "group_size")
     down = first.select(F.col("node").alias("run"), "digest").join(last, "digest")
     counts = first.select(F.col("node").alias("run"), "digest", F.col("group_size").alias("n"))

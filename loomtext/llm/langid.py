@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import tidy
+
 
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}]+")
@@ -107,6 +109,7 @@ def identify(docs: DataFrame, content: dict[str, bytes] | None = None, id_col: s
     rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("_held"), F.col(text_col).alias("_text"))
     schema = f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean"
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = Models(sent.value, reject_margin)
         for batch in batches:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import Hot, Workspace, merge_levels, salt_of, salts_for
+from loomtext.llm.common import Hot, Workspace, merge_levels, salt_of, salts_for, tidy
 
 CHUNKS, CHUNK, ERRORS = 12, 6, 1
 VALUES = CHUNKS * CHUNK
@@ -97,6 +97,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", "n", "name", "sig"]
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in batches:
@@ -118,6 +119,7 @@ def _name(found: np.ndarray) -> str:
 
 
 def _keys(vertices: DataFrame, kind: str) -> DataFrame:
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH_ROWS):
@@ -134,6 +136,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     rows = rows.join(wanted.hint("merge"), "id")  # one plan at every size
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in batches:
@@ -168,6 +171,7 @@ def _compared(star: DataFrame, counts: DataFrame, sets: DataFrame, kind: str) ->
     )
     dealt = stream.repartition("a", "_part").sortWithinPartitions(*order)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
@@ -202,14 +206,14 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("n").alias("n"), F.count("*").alias("sides")).filter("n > 1 OR sides > 1").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(id, component): the smallest identifier reachable over links (a, b); only linked vertices are listed.
 
     Alternating large-star and small-star contraction until the edges are stars, each vertex pointing at one
     centre; every round is written to the shared folder. The edges of a hot vertex are dealt in parts, and its
     minimum is sent to each.
     """
-    work = Workspace(links.sparkSession, "components")
+    work = work or Workspace(links.sparkSession, "components")
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = work.write(links.filter("a <> b").select(u, v).distinct(), "edges")
     while not _stars(edges):
@@ -230,7 +234,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, joined: DataFrame, work: Workspace) -> DataFrame:
     """``labels`` after components were linked: ``joined`` has (a, b), both components or lone vertices."""
-    moved = components(joined).withColumnRenamed("component", "_to")
+    moved = components(joined, work).withColumnRenamed("component", "_to")
     counts = labels.groupBy("component").agg(F.count("*").alias("n"))
     moved_c = moved.withColumnRenamed("id", "component")
     out = Hot(counts, ["component"]).join(labels, moved_c, ["id"], "left")
@@ -284,6 +288,7 @@ def _met(dealt: DataFrame, percent: int, kind: str) -> DataFrame:
     """Links (a, b) of components that meet in the same ``_x``, ``_y`` of ``dealt``."""
     columns = ["_x", "_y", "component", "n", "lost", "added"]
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, at, kinds = [], None, None
 
@@ -350,11 +355,11 @@ def _across(compared: DataFrame, labels: DataFrame, percent: int, kind: str, wor
             else:
                 labels, before = _relabelled(labels, found, work), total
             continue
-        found = work.write(_met(_paired(rows, shared, torn, compared, star), percent, kind), "joined", BATCH_ROWS)
+        found = work.write(_met(_paired(rows, shared, torn, compared, star, work), percent, kind), "joined", BATCH_ROWS)
         return labels if found.isEmpty() else _relabelled(labels, found, work)
 
 
-def _paired(rows: DataFrame, groups: DataFrame, torn: DataFrame, compared: DataFrame, star: list[str]) -> DataFrame:
+def _paired(rows: DataFrame, groups: DataFrame, torn: DataFrame, compared: DataFrame, star: list[str], work: Workspace) -> DataFrame:
     """The members of torn leaders, once per pair of blocks (_x, _y) that may hold links across components."""
     large = F.col("n") > BLOCK_ROWS // 2
     own = F.when(large, F.expr(_blocks("n", "_bytes"))).alias("_own")
@@ -366,7 +371,6 @@ def _paired(rows: DataFrame, groups: DataFrame, torn: DataFrame, compared: DataF
     pooled = torn.filter("_pool > 0").select(*star, F.explode(F.expr("sequence(0, _pool - 1)")).alias("_sub"))
     nothing = F.lit(None).cast(numbers.schema["_whole"].dataType).alias("_whole")
     every = numbers.unionByName(pooled.select(*star, nothing, "_sub"))
-    work = Workspace(rows.sparkSession, "blocks")
     blocks = work.write(every.withColumn("_no", F.monotonically_increasing_id()), "blocks")
     per = Hot(blocks.groupBy(*star).agg(F.count("*").alias("n")), star)
     x = blocks.select(*star, F.col("_whole").alias("_wx"), F.col("_no").alias("_x"))
@@ -403,7 +407,8 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     work = Workspace(docs.sparkSession, "near")
     base = work.write(_signed(docs, id_col, text_col, words), "signatures", BATCH_ROWS)
     kind = base.schema["_id"].dataType.simpleString()
-    salts = salts_for(base.count())
+    rows = base.count()
+    salts, work = salts_for(rows), work.sized(rows)
     base = base.withColumn("_salt", salt_of("_id", salts))
     some = base.filter("name IS NOT NULL AND _id IS NOT NULL")
     runs = some.select("name", "_salt", F.col("_id").alias("id"), F.lit(1).cast("long").alias("members"))
@@ -413,12 +418,15 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     # the signature of a class is that of any of its rows; its representative's row has one
     first_row = (F.col("_id") == F.col("id")) & (some["name"] == classes["name"])
     vertices = some.select("_id", "name", "sig").join(classes, first_row).select("id", some["name"], "sig")
-    keys = work.write(_keys(vertices.dropDuplicates(["id", "name"]), kind), "keys", BATCH_ROWS)
+    vertices = vertices.dropDuplicates(["id", "name"])
+    keys = Workspace(docs.sparkSession, "near-keys").sized(VALUES * rows)
+    held, keys = keys, keys.write(_keys(vertices, kind), "keys", BATCH_ROWS)
     leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     leaders = work.write(leaders, "leaders")
     star = Hot(leaders, ["key"]).join(keys, leaders.select("key", "leader"), ["id"]).filter("id <> leader")
     star = work.write(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    work.drop(keys, leaders)
+    held.drop(keys)
+    work.drop(leaders)
     counts = star.groupBy("a").agg(F.count("*").alias("n"))
     wanted = counts.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     sets = work.write(_sets(docs, wanted, id_col, text_col, words, kind), "sets", 64)
@@ -426,7 +434,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     work.drop(star, sets)
     links = compared.filter(f"100 * (n - size(lost)) >= {percent} * (n + size(added))").select("a", "b")
     twins = _twins(some, classes)
-    labels = components(links if twins is None else links.unionByName(twins))
+    labels = components(links if twins is None else links.unionByName(twins), work)
     labels = _across(compared, labels, percent, kind, work)
     marked = classes.join(labels, "id", "left").select("name", "members", F.coalesce("component", "id").alias("component_id"))
     rows = some.join(first.select("name", "_salt").join(marked, "name"), ["name", "_salt"])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize
+from loomtext.llm.common import materialize, tidy
 
 TOKEN = regex.compile(r"\p{L}+|[^\p{L}\p{N}\s]+")
 CELLS = (1 << 40) - 1
@@ -146,6 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = Non
     wanted = spark.createDataFrame([(r["_id"], r["_grade"]) for r in chosen], f"_id {kind}, _grade int")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
@@ -165,6 +166,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column | None = Non
     often = sample.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     sent = spark.sparkContext.broadcast(np.sort(often.select("_cell").toArrow()["_cell"].to_numpy()))
 
+    @tidy
     def common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [np.intersect1d(x.values.to_numpy(), sent.value, assume_unique=True) for x in batch.column(2)]
@@ -193,6 +195,7 @@ def grade(docs: DataFrame, model: Model, accept_grade: int = 2, accept: float =
     names = [id_col, "expected_grade", "tail_prob", "grade_pred", "kept"]
     schema = f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, expected_grade double, tail_prob double, grade_pred int, kept boolean"
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = Model(*sent.value), {}
         for batch in batches:
@@ -214,7 +217,7 @@ def accept_rows(docs: DataFrame, model: Model, accept_grade: int = 2, accept: fl
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
         own, cache = Model(*sent.value), {}
-        tails = [own.tails(own.score(features(t, cache))) for t in texts.to_pylist()]
+        tails = [own.tails(own.score(features(t.as_py(), cache))) for t in texts]
         return pa.array([(t[accept_grade - 1] if accept_grade <= len(t) else 0.0) >= accept for t in tails], pa.bool_())
 
     return docs.filter(accepted(F.col(text_col)))

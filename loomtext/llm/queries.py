@@ -16,9 +16,9 @@ def vocabulary_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), decoded="decoded")
+    digests = [F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+    return out.select("doc_id", "n_tokens", *digests)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import Hot, Workspace, materialize, merge_levels, salt_of, salts_for, scratch
+from loomtext.llm.common import Hot, Workspace, materialize, merge_levels, salt_of, salts_for, scratch, tidy
 
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 1 << 16
@@ -162,6 +162,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, dat
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -222,6 +223,7 @@ def read(
         if seen != n_records:
             raise Broken(f"{archive} holds {seen} records, not {n_records}")
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
