@@ -52,8 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; decoding them gives the text back, or the job fails."""
-    path = vocabulary_path()
-    out = bpe.decode(bpe.encode(docs, path, keep=("doc_id", "source", "text")), path)
+    out = bpe.encode(docs, vocabulary_path(), keep=("doc_id", "source", "text"), decoded="decoded")
     differs = F.raise_error(F.lit("decoding does not give the text back"))
     same = F.when(F.col("decoded") == F.coalesce("text", F.lit("")), F.col("token_ids")).otherwise(differs)
     return out.select("doc_id", "source", "n_tokens", same.cast("binary").alias("token_ids"))
