@@ -181,7 +181,7 @@ ORACLES = {
     "G6_latest_checks": f"SELECT call_id, arg_max(usable, seq) AS usable, list_last(list(reason ORDER BY seq)) AS reason FROM {CHECKS} GROUP BY 1",
     "G6_check_events": f"SELECT call_id, seq, usable, reason FROM (SELECT *, lag(usable) OVER w AS u, lag(reason) OVER w AS r, row_number() OVER w AS n FROM {CHECKS} WINDOW w AS (PARTITION BY call_id ORDER BY seq)) WHERE n = 1 OR usable IS DISTINCT FROM u OR reason IS DISTINCT FROM r",
     "G7_replacements": f"""SELECT item, fingerprint, count(*) AS attempts, count(*) > 1 AS replaced, bool_and(n = 1 OR (n = 2 AND NOT coalesce(b, true) AND call_id % 2 = 0)) AS allowed
-        FROM (SELECT *, lag(coalesce(usable, true)) OVER w AS b, row_number() OVER w AS n FROM {CALLS} WHERE call_id % 97 < 3 WINDOW w AS (PARTITION BY item, fingerprint ORDER BY call_id)) GROUP BY 1, 2""",
+        FROM (SELECT *, lag(coalesce(usable, true)) OVER w AS b, row_number() OVER w AS n FROM {CALLS} WINDOW w AS (PARTITION BY item, fingerprint ORDER BY call_id)) GROUP BY 1, 2""",
     "G8_current_evidence": "SELECT doc_id AS record, doc_id % 10 = 0 OR list_bool_and([k <> 5 AND k % 4 <> 0 FOR k IN [doc_id % 30, (doc_id + 7) % 30]]) AS current FROM documents",
     "G9_manifest": "SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'added' ELSE 'changed' END AS problem FROM documents WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0)",
     "G10_sections": """SELECT * FROM (VALUES ('references/a.md', 3, 9, 2, 'Decision rules'), ('references/a.md', 5, 9, 3, 'Deep'), ('references/a.md', 10, 11, 2, 'Second'), ('references/b.md', 1, 9, 2, 'Mental models'), ('references/b.md', 4, 7, 3, 'Sub one'),

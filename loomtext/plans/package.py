@@ -135,6 +135,24 @@ def _hash() -> str:
     return "SELECT 'sha256:' || sha256(" + " || chr(10) || ".join("'{}:' || sha256('{}')".format(p, t.replace("'", "''")) for p, t in ordered) + ") AS hash"
 
 
+def _document_issues() -> str:
+    """Every rule over every document; RE2 has no Unicode word boundary, so the character after a word is named."""
+    edge = r"[^\p{L}\p{N}\p{M}_]"
+    banned = [f"CASE WHEN contains(lower(t), '{b.lower()}') THEN 'banned {b.strip()}' END" for b in P.BANNED]
+    first = rf"lower(regexp_extract(trim(x), '^([A-Za-z]+)(?:{edge}|$)', 1))"
+    verbs = ", ".join(f"'{v}'" for v in P.IMPERATIVES)
+    rules = [
+        *banned,
+        f"CASE WHEN regexp_matches(t, '{P.LOCAL_PATH}') THEN 'local path' END",
+        f"CASE WHEN regexp_matches(t, '{P.SCORE}') THEN 'score' END",
+        f"CASE WHEN len([x FOR x IN string_split(t, E'\\n') IF {first} IN ({verbs})]) > 0 THEN 'imperative line' END",
+        f"CASE WHEN regexp_matches(t, '(?i)(?:^|{edge})you(?:$|{edge})|你') THEN 'second person line' END",
+    ]
+    text = "CASE WHEN doc_id % 5 = 0 THEN E'Keep the token budget\\nin /home/me. ' ELSE 'Zz ' END || text"
+    return f"""SELECT path, issue FROM (SELECT doc_id::VARCHAR AS path, unnest([{', '.join(rules)}]) AS issue
+        FROM (SELECT doc_id, {text} AS t FROM documents)) WHERE issue IS NOT NULL"""
+
+
 ORACLES = {
     "H1_links": _rows("path, target", ("SKILL.md", "references/clusters/c01_topic.md"), ("SKILL.md", "references/no file.md"), ("SKILL.md", "references/voice.md"), ("SKILL.md", "voice.md"), ("references/voice.md", "../SKILL.md"), ("references/voice.md", "references/frameworks.md"),
                       ("references/frameworks.md", "../../outside.md"), ("references/clusters/c01_topic.md", "references/frameworks.md"), ("AGENTS.md", "SKILL.md")),
@@ -147,7 +165,7 @@ ORACLES = {
     "H5_frontmatter": _rows("path, key, value", ("SKILL.md", "name", "demo"), ("SKILL.md", "description", "a demo: of links")),
     "H5_first_heading": _rows("path, heading", ("SKILL.md", "Use `voice.md` and [topic](references/clusters/c01_topic.md#part 'x')"), ("references/voice.md", "Voice"), ("references/frameworks.md", "Deep")),
     "H6_text_issues": _rows("path, issue", ("SKILL.md", "imperative line"), ("references/voice.md", "banned composite score"), ("references/voice.md", "score"), ("references/frameworks.md", "local path"), ("references/clusters/c01_topic.md", "banned provenance"), ("raw/book.PDF", "raw file")),
-    "H6_document_issues": "SELECT doc_id::VARCHAR AS path, unnest(['banned token budget', 'local path', 'imperative line']) AS issue FROM documents WHERE doc_id % 5 = 0",
+    "H6_document_issues": _document_issues(),
     "H7_roll_up": """WITH c AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'warn' ELSE 'error' END AS level FROM documents WHERE doc_id % 7 = 0), n AS (SELECT count(*) FILTER (level = 'error') AS e, count(*) FILTER (level = 'warn') AS w FROM c)
         SELECT e AS errors, w AS warnings, CASE WHEN e > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, false AS strict FROM n UNION ALL SELECT e + w, 0, CASE WHEN e + w > 0 THEN 'FAIL' ELSE 'PASS' END, true FROM n UNION ALL SELECT 0, w, 'PASS', NULL FROM n""",
     "H8_tree_conflicts": """SELECT 't/' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 'added' WHEN doc_id % 13 = 0 THEN 'removed' WHEN doc_id % 29 IN (0, 2) THEN 'file and folder' ELSE 'changed' END AS problem FROM documents
