@@ -68,7 +68,29 @@ QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_l
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Words as op7's contract cuts them, and a text's distinct shingles (or its whole sequence, if it is shorter).
+NEAR_WORDS = r"[w FOR w IN regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')]"
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
 ORACLES = {
+    # SHA-1 in base32: five hex digits are 20 bits, and those are four letters
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+             r AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS best, sha1(payload) AS hex FROM p),
+             d AS (SELECT *, array_to_string([substr('{BASE32}', 1 + ((('0x' || substr(hex, 1 + 5 * (k // 4), 5))::INT >> (15 - 5 * (k % 4))) & 31), 1)
+                   FOR k IN range(32)], '') AS payload_digest FROM r)
+        SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to FROM d""",
+    "op7_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {NEAR_WORDS} AS w FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+             e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+             l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+                   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+             c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+             m AS (SELECT a, min(b) AS component_id FROM c GROUP BY 1)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM s JOIN m ON a = doc_id""",
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWER_AZ}) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
