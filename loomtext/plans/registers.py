@@ -8,7 +8,7 @@ from loomtext.functions import lexicons as L
 from loomtext.operators import registers as R
 from loomtext.operators import style
 from loomtext.plans import sql
-from loomtext.plans.style import CHINESE
+from loomtext.plans.style import CHINESE, ZH, chinese
 
 TERMS, FLAGSHIP = ("the of", "And "), ("tion",)
 
@@ -42,8 +42,12 @@ def d2(spark, d):
     return _features(spark, d)
 
 
+ZH_TERMS, ZH_FLAGSHIP = ("北京", "不是"), ("大学",)
+
+
 def d3(spark, d):
-    return R.features_zh(spark.createDataFrame([(f"u{i}", t) for i, t in CHINESE], "unit_id string, text string"), ("北京",), ("大学",)).filter("unit_id <> 'u2'")
+    units = chinese(spark, d).withColumn("unit_id", F.concat(F.lit("u"), "doc_id"))
+    return R.features_zh(units.select("unit_id", "text"), ZH_TERMS, ZH_FLAGSHIP)
 
 
 def d5(spark, d):
@@ -189,6 +193,21 @@ def features(rows: str, terms=(), flagship=()) -> str:
     return "(" + " UNION ALL ".join(f"SELECT unit_id, '{k}' AS dim, coalesce({v}, 0)::DOUBLE AS value FROM {base}" for k, v in dims.items()) + ")"
 
 
+def features_zh() -> str:
+    """Long features of the Chinese texts, one unit each."""
+    han = f"len(regexp_extract_all(text, '{L.HAN}'))"
+    rate = lambda words: "10000.0::DOUBLE * (" + " + ".join(sql.n_literal("text", w) for w in words) + ") / nn"
+    dims = {
+        "mean_sentence_len": "list_avg(s)", "median_sentence_len": "list_median(s)", "p90_sentence_len": "s[least(len(s) - 1, len(s) * 9 // 10) + 1]",
+        "long_sentence_share": "len([x for x in s if x > 40]) / nullif(len(s), 0)::DOUBLE", "question_rate": rate(("？", "?")), "connective_rate": rate(L.SCAFFOLDING_ZH),
+        "hedge_rate": rate(L.HEDGES_ZH), "booster_rate": rate(L.BOOSTERS_ZH), "second_person_rate": rate(L.SECOND_ZH), "first_person_rate": rate(L.FIRST_ZH),
+        "title_mark_rate": rate(("《",)), "core_term_density": rate(ZH_TERMS), "flagship_term_density": rate(ZH_FLAGSHIP),
+    }
+    lengths = f"list_sort([n for n in [len(regexp_extract_all(x, '{L.HAN}')) for x in regexp_split_to_array(text, '{L.SENTENCE_END_ZH}')] if n > 0])"
+    base = f"(SELECT 'u' || doc_id AS unit_id, text, nullif({han}, 0) AS nn, {lengths} AS s FROM {ZH})"
+    return " UNION ALL ".join(f"SELECT unit_id, '{k}' AS dim, coalesce({v}, 0)::DOUBLE AS value FROM {base}" for k, v in dims.items())
+
+
 FEATURES = features(units(), TERMS, FLAGSHIP)
 WITH = f"WITH f AS MATERIALIZED (SELECT * FROM {FEATURES}) "
 Z = "(SELECT unit_id, dim, CASE WHEN sd > 1e-12 THEN (v - m) / sd ELSE 0 END AS z FROM (SELECT unit_id, dim, v, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd FROM (SELECT unit_id, dim, round(value, 6) AS v FROM f) WINDOW w AS (PARTITION BY dim)))"
@@ -205,6 +224,7 @@ CLUSTERED = "(SELECT DISTINCT source AS unit_id, s FROM (SELECT source, unnest([
 ORACLES = {
     "D1_language": "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) / nullif(len(regexp_extract_all(text, '\\S')), 0)::DOUBLE > 0.3 THEN 'zh' ELSE 'en' END AS lang FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(-i, t.replace("'", "''")) for i, t in CHINESE) + "))",
     "D2_features_en": f"SELECT * FROM {FEATURES}",
+    "D3_features_zh": features_zh(),
     "D5_unit_problems": f"SELECT 'src1' AS unit_id, 'repeated unit' AS problem UNION ALL SELECT 'zz', 'too short' UNION ALL SELECT 'zz', 'mixed languages' UNION ALL SELECT unit_id, 'too short' FROM {units()} WHERE length(text) < 20",
     "D6_pair_ratios": WITH + "SELECT a.unit_id AS a, b.unit_id AS b, dim, a.value AS x, b.value AS y, CASE WHEN a.value = 0 AND b.value = 0 THEN 1 WHEN least(a.value, b.value) > 0 THEN greatest(a.value, b.value) / least(a.value, b.value) END AS ratio FROM f a JOIN f b USING (dim) WHERE a.unit_id < b.unit_id",
     "D7_z_scores": WITH + f"SELECT unit_id, dim, round(z, 6) AS z FROM {Z}",

@@ -15,7 +15,7 @@ def _docs(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-# Literal texts: the test tables have no Han characters and no blank lines.
+# Literal texts beside the tables, which have no Han characters, no markup and no blank lines.
 CHINESE = (
     (1, "---\ntitle: x\n---\n# 标题一\n也许我们可能要去北京大学。你们觉得呢？首先，他们一定来；其次，北京大学很大！——《红楼梦》\n\n北京大学的图书馆（新）很好，图书馆“老”也好。"),
     (2, "no han here at all"),
@@ -28,8 +28,16 @@ ENGLISH = (
 )
 
 
-def _chinese(spark):
-    return spark.createDataFrame(list(CHINESE), "doc_id long, text string")
+#: Documents as Chinese texts: letters and marks become characters of the lists, and one in seven gets each markup.
+LATIN, HAN_FOR = "eatioEnurs.,?;l", "我你不是的他北京大学。，？；—"
+MARKUP_FOR = ("# 标题一\n", "> 引文", "- 一项\n* 二项\n", "---\ntitle: 天气\n---\n", "```\n代码\n```\n", "[链接文字](http://x) | 表格 ", "")
+
+
+def chinese(spark, d):
+    """(doc_id, text): the documents as Chinese texts, and the literal ones under negative identifiers."""
+    markup = F.array(*map(F.lit, MARKUP_FOR))[(F.col("doc_id") % 7).cast("int")]
+    docs = _docs(spark, d).select("doc_id", F.concat(markup, F.translate("text", LATIN, HAN_FOR)).alias("text"))
+    return docs.unionByName(spark.createDataFrame([(-i, t) for i, t in CHINESE], "doc_id long, text string"))
 
 
 def _english(spark):
@@ -104,31 +112,31 @@ def b14(spark, d):
 
 
 def b15(spark, d):
-    return _chinese(spark).select("doc_id", style_zh.strip_markup(F.col("text")).alias("stripped"))
+    return chinese(spark, d).select("doc_id", style_zh.strip_markup(F.col("text")).alias("stripped"))
 
 
 def b16(spark, d):
-    return _chinese(spark).select("doc_id", style_zh.han(F.col("text")).alias("han")).filter("han > 0")
+    return chinese(spark, d).select("doc_id", style_zh.han(F.col("text")).alias("han")).filter("han > 0")
 
 
 def b17(spark, d):
-    return style_zh.lengths(_chinese(spark), L.SENTENCE_END_ZH)
+    return style_zh.lengths(chinese(spark, d), L.SENTENCE_END_ZH)
 
 
 def b17_clauses(spark, d):
-    return style_zh.lengths(_chinese(spark), L.CLAUSE_END_ZH)
+    return style_zh.lengths(chinese(spark, d), L.CLAUSE_END_ZH)
 
 
 def b18(spark, d):
-    return style_zh.measured(_chinese(spark))
+    return style_zh.measured(chinese(spark, d))
 
 
 def b19(spark, d):
-    return style_zh.phrase_rates(_chinese(spark), L.SCAFFOLDING_ZH).filter("per_10k < 0.05").select("doc_id", "term")
+    return style_zh.phrase_rates(chinese(spark, d), L.SCAFFOLDING_ZH).filter("per_10k < 0.05").select("doc_id", "term")
 
 
 def b20(spark, d):
-    parts = [style_zh.ngrams(_chinese(spark), n).withColumn("n", F.lit(n)) for n in (2, 3, 4)]
+    parts = [style_zh.ngrams(chinese(spark, d), n).withColumn("n", F.lit(n)) for n in (2, 3, 4)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -136,16 +144,17 @@ TERMS = ("北京大学", "人工智能", "图书馆", "天气")
 
 
 def b21(spark, d):
-    return style_zh.phrase_rates(_chinese(spark), TERMS)
+    return style_zh.phrase_rates(chinese(spark, d), TERMS)
 
 
 def s12(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", html.text_of(F.col("html")).alias("text"))
 
 
-ZH = _values(CHINESE)
+_markup = "[" + ", ".join("E'" + m.replace("\n", "\\n") + "'" for m in MARKUP_FOR) + "][doc_id % 7 + 1]"
+_literal = ", ".join("({}, '{}')".format(-i, t.replace("'", "''")) for i, t in CHINESE)
+ZH = f"(SELECT doc_id, {_markup} || translate(text, '{LATIN}', '{HAN_FOR}') AS text FROM documents UNION ALL SELECT * FROM (VALUES {_literal}))"
 EN = _values(ENGLISH)
-STRIPPED = ("regexp_replace(" * 6) + "text, '^---\\n.*?\\n---\\n', '', 's'), '```.*?```', '', 'gs'), '^\\s*#{1,6}\\s.*$', '', 'gn'), '^\\s*>\\s?', '', 'gn'), '^\\s*[-*+]\\s+', '', 'gn'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
 W = sql.WORDS
 NW = f"len({W})"
 
@@ -157,17 +166,13 @@ def _zh_lengths(ends: str) -> str:
         FROM (SELECT doc_id, list_sort([n for n in [len(regexp_extract_all(x, '{L.HAN}')) for x in regexp_split_to_array(t, '{ends}')] if n > 0]) AS s FROM {PLAIN_ZH})"""
 
 
-#: The stripped texts as literals: their markup removal is checked by test, as RE2 lacks one of the anchors.
-def _plain(text: str) -> str:
-    import re
-
+def _stripped(text: str) -> str:
     for pattern, new in style_zh.MARKUP:
-        flags = (re.S if pattern.startswith("(?s)") else 0) | (re.M if pattern.startswith("(?m)") else 0)
-        text = re.sub(re.sub(r"^\(\?[sm]\)", "", pattern), new.replace("$1", r"\1"), text, flags=flags)
+        text = f"regexp_replace({text}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
     return text
 
 
-PLAIN_ZH = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{_plain(t).replace(chr(39), chr(39) * 2)}')" for i, t in CHINESE) + f") documents(doc_id, t) WHERE len(regexp_extract_all(t, '{L.HAN}')) > 0)"
+PLAIN_ZH = f"(SELECT * FROM (SELECT doc_id, {_stripped('text')} AS t FROM {ZH}) WHERE len(regexp_extract_all(t, '{L.HAN}')) > 0)"
 N_HAN = f"len(regexp_extract_all(t, '{L.HAN}'))"
 _sum = lambda words: "(" + " + ".join(sql.n_literal("t", w) for w in words) + ")"
 _people = f"greatest(1, {_sum(L.FIRST_ZH)} + {_sum(L.SECOND_ZH)} + {_sum(L.THIRD_ZH)})"
@@ -217,7 +222,7 @@ ORACLES = {
         SELECT doc_id, word || ' ' || nxt AS bigram, count(*) AS hits, min(i) AS f FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM {CONTENT}) WHERE nxt IS NOT NULL GROUP BY 1, 2)) WHERE place <= 15""",
     "B13_absent_common": f"SELECT doc_id, word FROM (SELECT doc_id, {W} AS w FROM documents), (SELECT unnest([{sql.quoted(L.COMMON_CONTENT)}]) AS word) WHERE coalesce(1000.0::DOUBLE * len([x for x in w if x = word]) / nullif(len(w), 0), 0) < 0.2",
     "B14_corpus_sentences": "SELECT doc_id, n, mean, low, high FROM (" + sql.distribution(sql.SENTENCES).replace("FROM documents", r"FROM (SELECT source AS doc_id, string_agg(text, E'\n\n' ORDER BY doc_id) AS text FROM documents GROUP BY 1)") + ")",
-    "B15_strip_markup": "SELECT doc_id, stripped FROM (VALUES " + ", ".join(f"({i}, '{_plain(t).replace(chr(39), chr(39) * 2)}')" for i, t in CHINESE) + ") d(doc_id, stripped)",
+    "B15_strip_markup": f"SELECT doc_id, {_stripped('text')} AS stripped FROM {ZH}",
     "B16_han": f"SELECT doc_id, len(regexp_extract_all(text, '{L.HAN}')) AS han FROM {ZH} WHERE han > 0",
     "B17_sentence_han": _zh_lengths(L.SENTENCE_END_ZH),
     "B17_clause_han": _zh_lengths(L.CLAUSE_END_ZH),
