@@ -161,23 +161,46 @@ def standing_budgets(rows: DataFrame) -> DataFrame:
     return rows.withColumn("frameworks_budget", _clamp(_supply(700, FRAMEWORKS), 2000, 7000)).withColumn("voice_budget", _clamp(_supply(600, VOICE), 2000, 7000))
 
 
-def cluster_budgets(clusters: DataFrame, terms: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Adds siblings, mass, supply, budget, verdict. Siblings default to all others, first-hand words to the sum.
+#: The scalar prices and limits of a module's budget, by the name under which they can be overridden.
+COEFFICIENTS = {
+    "frame": FRAME, "prohibitions": PROHIBITIONS, "sibling": SIBLING, "siblings": SIBLINGS, "mass": MASS, "register": REGISTER,
+    "registers": REGISTERS, "floor": CLUSTER_RANGE[0], "ceiling": CLUSTER_RANGE[1],
+}
+
+
+def with_defaults(clusters: DataFrame) -> DataFrame:
+    """Siblings default to all other modules, first-hand words to the sum of all words.
+
+    Both totals are scalar subqueries, so no task holds a package's modules.
+    """
+    others = clusters.agg(F.count("*") - 1).scalar()
+    words = clusters.agg(F.sum("words")).scalar()
+    return clusters.withColumns({"siblings": F.coalesce("siblings", others), "words_firsthand": F.coalesce("words_firsthand", words)})
+
+
+def cluster_budgets(
+    clusters: DataFrame, terms: dict[str, tuple[int, int]] | None = None, scalars: dict[str, float] | None = None
+) -> DataFrame:
+    """Adds siblings, mass, supply, budget, verdict, with the defaults of :func:`with_defaults`.
 
-    ``terms`` overrides prices and caps; unknown names are refused.
+    ``terms`` overrides prices and caps, ``scalars`` those of ``COEFFICIENTS``; unknown names are refused.
     """
-    if terms and set(terms) - set(CLUSTER):
-        raise ValueError(f"unknown terms: {sorted(set(terms) - set(CLUSTER))}")
-    prices = CLUSTER | (terms or {})
-    whole = Window.partitionBy(F.lit(0))  # modules of one package
-    rows = clusters.withColumn("siblings", F.coalesce("siblings", F.count("*").over(whole) - 1)).withColumn("_all", F.coalesce("words_firsthand", F.sum("words").over(whole)))
-    registers = F.greatest(F.lit(1), F.least(F.coalesce("registers", F.lit(1)), F.lit(REGISTERS)))
-    rows = rows.withColumn("mass", F.bround(MASS * F.sqrt(F.try_divide(F.greatest(F.lit(0), F.col("words")).cast("double"), F.col("_all"))), 0).cast("long"))
-    fixed = _supply(FRAME, [(k, *v) for k, v in prices.items()]) + PROHIBITIONS + SIBLING * F.least("siblings", F.lit(SIBLINGS)) + REGISTER * (registers - 1)
-    rows = rows.withColumn("supply", (fixed + F.col("mass")).cast("long")).withColumn("budget", _clamp(F.col("supply"), *CLUSTER_RANGE))
+    for given, known in ((terms, CLUSTER), (scalars, COEFFICIENTS)):
+        if unknown := set(given or ()) - set(known):
+            raise ValueError(f"unknown names: {sorted(unknown)}")
+    prices, c = CLUSTER | (terms or {}), COEFFICIENTS | (scalars or {})
+    rows = with_defaults(clusters)
+    registers = F.greatest(F.lit(1), F.least(F.coalesce("registers", F.lit(1)), F.lit(c["registers"])))
+    share = F.try_divide(F.greatest(F.lit(0), F.col("words")).cast("double"), F.col("words_firsthand"))
+    rows = rows.withColumn("mass", F.bround(c["mass"] * F.sqrt(share), 0).cast("long"))
+    fixed = _supply(c["frame"], [(k, *v) for k, v in prices.items()]) + c["prohibitions"]
+    fixed = fixed + c["sibling"] * F.least("siblings", F.lit(c["siblings"])) + c["register"] * (registers - 1)
+    rows = rows.withColumn("supply", (fixed + F.col("mass")).cast("long"))
+    rows = rows.withColumn("budget", _clamp(F.col("supply"), c["floor"], c["ceiling"]))
     recut = (F.col("apparatus") > prices["apparatus"][1]) | (F.col("moves") > prices["moves"][1])
-    said = F.when(recut & (registers > 1) & F.coalesce("shared_domain", F.lit(False)), "SPLIT_IN_MODULE").when(recut, "RECUT").when(F.col("supply") < CLUSTER_RANGE[0], "FLOOR").otherwise("OK")
-    return rows.withColumn("verdict", said).drop("_all")
+    split = recut & (registers > 1) & F.coalesce("shared_domain", F.lit(False))
+    said = F.when(split, "SPLIT_IN_MODULE").when(recut, "RECUT").when(F.col("supply") < c["floor"], "FLOOR").otherwise("OK")
+    return rows.withColumn("verdict", said)
 
 
 def worst_case_load(modules: DataFrame, core: int, voice: int, frameworks: int) -> DataFrame:

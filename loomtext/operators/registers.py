@@ -100,14 +100,20 @@ def z_distances(z: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("distance"))
 
 
+def events(features: DataFrame, tokens: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``features`` with the events that each rate stands for: rate * tokens / 10000, halves to even; none for
+    lengths and shares."""
+    counted = features.join(tokens, ["unit_id", *by])
+    rate = F.bround(F.col("value") * F.col("tokens") / 10000, 0)
+    return counted.withColumn("events", F.when(F.col("dim").isin(*L.ABSOLUTE_MINIMA), F.lit(0)).otherwise(rate))
+
+
 def supported(features: DataFrame, tokens: DataFrame, by: tuple[str, ...] = (), ratio: float = RATIO, least_events: int = LEAST_EVENTS, least_delta: float = LEAST_DELTA) -> DataFrame:
     """(a, b, [by], dim) where two units differ by enough, on enough events.
 
     Event counts are rate * tokens / 10000, halves to even. Dimensions of lengths and shares need no events.
     """
-    counted = features.join(tokens, ["unit_id", *by])
-    events = F.when(F.col("dim").isin(*L.ABSOLUTE_MINIMA), F.lit(0)).otherwise(F.bround(F.col("value") * F.col("tokens") / 10000, 0))
-    counted = counted.withColumn("events", events)
+    counted = events(features, tokens, by)
     left = counted.select(F.col("unit_id").alias("a"), *by, "dim", F.col("value").alias("x"), F.col("events").alias("ex"))
     right = counted.select(F.col("unit_id").alias("b"), *by, "dim", F.col("value").alias("y"), F.col("events").alias("ey"))
     rows = left.join(right, ["dim", *by]).filter("a < b")

@@ -24,6 +24,11 @@ def bad_alternation(pattern: str) -> bool:
     return r"\|" in pattern
 
 
+def bad_patterns(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose pattern has such a pipe."""
+    return rows.filter(F.contains(F.col(column), F.lit("\\|")))
+
+
 def kwic(docs: DataFrame, pattern: str, before: int = BEFORE, after: int = AFTER, shown: int = SHOWN, case_sensitive: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, offset, match, window of the first hits of a text, white space collapsed; the pattern is Python's.
 

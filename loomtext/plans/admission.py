@@ -104,6 +104,17 @@ def e10(spark, d):
     return A.cluster_budgets(_modules(spark, d), {"moves": (40, 5)}).select("cluster_id", "budget", "verdict")
 
 
+SCALARS = {"frame": 500, "prohibitions": 60, "sibling": 10, "siblings": 5, "mass": 900, "register": 150, "registers": 2, "floor": 1500, "ceiling": 3000}
+
+
+def e10_scalars(spark, d):
+    return A.cluster_budgets(_modules(spark, d), scalars=SCALARS).select("cluster_id", "mass", "budget", "verdict")
+
+
+def e9(spark, d):
+    return A.with_defaults(_modules(spark, d)).select("cluster_id", "siblings", "words_firsthand")
+
+
 def e11(spark, d):
     return A.standing_budgets(_counts(spark, d)).select("source", "frameworks_budget", "voice_budget")
 
@@ -126,7 +137,7 @@ def e15(spark, d):
     return A.element_problems(_elements(spark, d))
 
 
-QUERIES = {"E1_grouped_split": e1, "E1_stratified_split": e1_stratified, "E1_passages": e1_passages, "E2_split_problems": e2, "E3_admission": e3, "E4_conflicts": e4, "E5_ranking": e5, "E6_core_budget": e6, "E7_cluster_budget": e7, "E8_budget_verdict": e8, "E10_coefficients": e10, "E11_standing_budgets": e11, "E12_worst_case_load": e12, "E13_style_cap": e13, "E14_relocation": e14, "E15_element_problems": e15}
+QUERIES = {"E1_grouped_split": e1, "E1_stratified_split": e1_stratified, "E1_passages": e1_passages, "E2_split_problems": e2, "E3_admission": e3, "E4_conflicts": e4, "E5_ranking": e5, "E6_core_budget": e6, "E7_cluster_budget": e7, "E8_budget_verdict": e8, "E9_defaults": e9, "E10_coefficients": e10, "E10_scalars": e10_scalars, "E11_standing_budgets": e11, "E12_worst_case_load": e12, "E13_style_cap": e13, "E14_relocation": e14, "E15_element_problems": e15}
 
 
 def _split(stratum: str) -> str:
@@ -157,11 +168,16 @@ COUNTS = "(SELECT source, " + ", ".join(f"count(*) FILTER (doc_id % {j % 5 + 1}
 _sum = lambda base, terms: str(base) + "".join(f" + {p} * least({n}, {c})" for n, p, c in terms)
 
 
-def _modules_sql(moves=(90, 12)) -> str:
-    return f"""(SELECT *, greatest(1800, least(supply, 6000)) AS budget, CASE WHEN (apparatus > 12 OR moves > {moves[1]}) AND r > 1 AND shared THEN 'SPLIT_IN_MODULE' WHEN apparatus > 12 OR moves > {moves[1]} THEN 'RECUT' WHEN supply < 1800 THEN 'FLOOR' ELSE 'OK' END AS verdict FROM (
-        SELECT *, 600 + 90 * least(apparatus, 12) + {moves[0]} * least(moves, {moves[1]}) + 85 * least(applications, 8) + 30 * least(fragments, 24) + 80 + 15 * least(siblings, 9) + 220 * (r - 1) + mass AS supply FROM (
-        SELECT doc_id AS cluster_id, doc_id % 16 AS apparatus, doc_id % 15 AS moves, doc_id % 11 AS applications, doc_id % 30 AS fragments, CASE WHEN doc_id % 4 = 0 THEN doc_id % 12 ELSE count(*) OVER () - 1 END AS siblings, greatest(1, least(doc_id % 5, 3)) AS r, doc_id % 2 = 0 AS shared,
-            round_even(400 * sqrt(length(text) / sum(length(text)) OVER ()), 0)::BIGINT AS mass FROM documents)))"""
+def _modules_sql(moves=(90, 12), scalars=None) -> str:
+    c = A.COEFFICIENTS | (scalars or {})
+    recut = f"(apparatus > 12 OR moves > {moves[1]})"
+    return f"""(SELECT *, greatest({c['floor']}, least(supply, {c['ceiling']})) AS budget,
+            CASE WHEN {recut} AND r > 1 AND shared THEN 'SPLIT_IN_MODULE' WHEN {recut} THEN 'RECUT' WHEN supply < {c['floor']} THEN 'FLOOR' ELSE 'OK' END AS verdict FROM (
+        SELECT *, {c['frame']} + 90 * least(apparatus, 12) + {moves[0]} * least(moves, {moves[1]}) + 85 * least(applications, 8) + 30 * least(fragments, 24)
+            + {c['prohibitions']} + {c['sibling']} * least(siblings, {c['siblings']}) + {c['register']} * (r - 1) + mass AS supply FROM (
+        SELECT doc_id AS cluster_id, doc_id % 16 AS apparatus, doc_id % 15 AS moves, doc_id % 11 AS applications, doc_id % 30 AS fragments,
+            CASE WHEN doc_id % 4 = 0 THEN doc_id % 12 ELSE count(*) OVER () - 1 END AS siblings, greatest(1, least(doc_id % 5, {c['registers']})) AS r,
+            doc_id % 2 = 0 AS shared, round_even({c['mass']} * sqrt(length(text) / sum(length(text)) OVER ()), 0)::BIGINT AS mass FROM documents)))"""
 
 
 ORACLES = {
@@ -177,6 +193,8 @@ ORACLES = {
     "E7_cluster_budget": f"SELECT cluster_id, siblings, mass, supply, budget FROM {_modules_sql()}",
     "E8_budget_verdict": f"SELECT cluster_id, verdict FROM {_modules_sql()}",
     "E10_coefficients": f"SELECT cluster_id, budget, verdict FROM {_modules_sql((40, 5))}",
+    "E9_defaults": "SELECT doc_id AS cluster_id, CASE WHEN doc_id % 4 = 0 THEN doc_id % 12 ELSE count(*) OVER () - 1 END AS siblings, sum(length(text)) OVER ()::BIGINT AS words_firsthand FROM documents",
+    "E10_scalars": f"SELECT cluster_id, mass, budget, verdict FROM {_modules_sql(scalars=SCALARS)}",
     "E11_standing_budgets": f"SELECT source, greatest(2000, least({_sum(700, A.FRAMEWORKS)}, 7000)) AS frameworks_budget, greatest(2000, least({_sum(600, A.VOICE)}, 7000)) AS voice_budget FROM {COUNTS}",
     "E12_worst_case_load": f"SELECT 12510 + 2 * max(budget) AS loaded_worst_case FROM {_modules_sql()}",
     "E13_style_cap": f"SELECT id, place, place <= floor(n * 0.2) AS in_core FROM (SELECT id, class, row_number() OVER (PARTITION BY class ORDER BY score DESC, id) AS place, count(*) OVER () AS n FROM {RANKED}) WHERE class = 'stable_style'",

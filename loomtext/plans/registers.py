@@ -50,6 +50,12 @@ def d3(spark, d):
     return R.features_zh(units.select("unit_id", "text"), ZH_TERMS, ZH_FLAGSHIP)
 
 
+def d4(spark, d):
+    """The 90th percentile of each document's sentence lengths."""
+    units = _docs(spark, d).select(F.col("doc_id").alias("unit_id"), "text")
+    return R.features_en(units).filter("dim = 'p90_sentence_len'").select(F.col("unit_id").alias("doc_id"), F.col("value").alias("p90"))
+
+
 def d5(spark, d):
     units = _units(spark, d)
     return R.unit_problems(units.unionByName(units.filter("unit_id = 'src1'")).unionByName(spark.createDataFrame([("zz", "他们都是大学的人")], "unit_id string, text string")), least_chars=20)
@@ -71,6 +77,10 @@ def d9(spark, d):
     return R.supported(_features(spark, d), _tokens(spark, d), ratio=1.5, least_events=2)
 
 
+def d10(spark, d):
+    return R.events(_features(spark, d), _tokens(spark, d)).select("unit_id", "dim", F.col("events").cast("double").alias("events"))
+
+
 def d11(spark, d):
     return R.adequacy(R.observations(_units(spark, d)))
 
@@ -169,7 +179,7 @@ def d27(spark, d):
 
 
 QUERIES = {
-    "D1_language": d1, "D2_features_en": d2, "D3_features_zh": d3, "D5_unit_problems": d5, "D6_pair_ratios": d6, "D7_z_scores": d7, "D8_z_distances": d8, "D9_supported_dimensions": d9, "D11_adequacy": d11, "D12_windows": d12,
+    "D1_language": d1, "D2_features_en": d2, "D3_features_zh": d3, "D4_p90": d4, "D5_unit_problems": d5, "D6_pair_ratios": d6, "D7_z_scores": d7, "D8_z_distances": d8, "D9_supported_dimensions": d9, "D10_event_counts": d10, "D11_adequacy": d11, "D12_windows": d12,
     "D13_forced_splits": d13, "D14_pair_stability": d14, "D15_families": d15, "D17_centroids": d17, "D18_spearman": d18, "D19_gradients": d19, "D20_gap_table": d20, "D21_verdict": d21, "D22_family_mapping": d22, "D23_denoise": d23, "D23_mask_names": d23_mask,
     "D24_blind_sample": d24, "D25_discrimination": d25, "D25_confusions": d25_confusions, "D26_divergence": d26, "D27_conflicts": d27,
 }
@@ -225,6 +235,8 @@ ORACLES = {
     "D1_language": "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) / nullif(len(regexp_extract_all(text, '\\S')), 0)::DOUBLE > 0.3 THEN 'zh' ELSE 'en' END AS lang FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(-i, t.replace("'", "''")) for i, t in CHINESE) + "))",
     "D2_features_en": f"SELECT * FROM {FEATURES}",
     "D3_features_zh": features_zh(),
+    "D4_p90": f"SELECT unit_id AS doc_id, value AS p90 FROM {features('(SELECT doc_id AS unit_id, text FROM documents)')} WHERE dim = 'p90_sentence_len'",
+    "D10_event_counts": EVENTS + "SELECT unit_id, dim, e::DOUBLE AS events FROM e",
     "D5_unit_problems": f"SELECT 'src1' AS unit_id, 'repeated unit' AS problem UNION ALL SELECT 'zz', 'too short' UNION ALL SELECT 'zz', 'mixed languages' UNION ALL SELECT unit_id, 'too short' FROM {units()} WHERE length(text) < 20",
     "D6_pair_ratios": WITH + "SELECT a.unit_id AS a, b.unit_id AS b, dim, a.value AS x, b.value AS y, CASE WHEN a.value = 0 AND b.value = 0 THEN 1 WHEN least(a.value, b.value) > 0 THEN greatest(a.value, b.value) / least(a.value, b.value) END AS ratio FROM f a JOIN f b USING (dim) WHERE a.unit_id < b.unit_id",
     "D7_z_scores": WITH + f"SELECT unit_id, dim, round(z, 6) AS z FROM {Z}",

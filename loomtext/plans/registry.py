@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.plans import admission, cleaning, corpus_profile, judging, ledger, package, registers, retrieval, style
+from loomtext.plans import admission, cleaning, corpus_profile, judging, ledger, package, registers, retrieval, sources, style
 
-MODULES = (corpus_profile, cleaning, style, retrieval, registers, admission, judging, ledger, package)
+MODULES = (corpus_profile, sources, cleaning, style, retrieval, registers, admission, judging, ledger, package)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

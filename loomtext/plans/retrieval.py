@@ -79,7 +79,13 @@ def c8(spark, d):
     return retrieval.first_contexts(_docs(spark, d), _hits(spark, d)).select("name", "doc_id", "position", F.sha2("context", 256).alias("context"))
 
 
-QUERIES = {"C1_kwic": c1, "C2_hit_counts": c2, "C2_corroboration": c2_corroboration, "C4_harvest_names": c4, "C5_occurrences": c5, "C6_headings": c6, "C7_attestation": c7, "C7_attestation_fixture": c7_fixture, "C7_audit_verdict": c7_verdict, "C8_first_context": c8}
+def c3(spark, d):
+    pipe = F.when(F.col("doc_id") % 3 == 0, "\\|").otherwise("|")
+    patterns = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat("source", pipe, F.left("text", F.lit(40))).alias("pattern"))
+    return retrieval.bad_patterns(patterns, "pattern").select("doc_id")
+
+
+QUERIES = {"C3_bad_patterns": c3, "C1_kwic": c1, "C2_hit_counts": c2, "C2_corroboration": c2_corroboration, "C4_harvest_names": c4, "C5_occurrences": c5, "C6_headings": c6, "C7_attestation": c7, "C7_attestation_fixture": c7_fixture, "C7_audit_verdict": c7_verdict, "C8_first_context": c8}
 
 FLAT = r"regexp_replace(text, '\s+', ' ', 'g')"
 NAMES = "(SELECT DISTINCT name FROM (SELECT string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS name FROM benchmark UNION ALL VALUES ('Zzyzx Qqq'), ('of the')))"
@@ -90,6 +96,7 @@ _verdict = "CASE WHEN hits = 0 THEN 'UNATTESTED' WHEN hits = heading_hits THEN '
 ATTESTED = f"SELECT *, {_verdict} AS verdict FROM (SELECT name, count(p) AS hits, 0::BIGINT AS heading_hits, count(DISTINCT doc_id) AS files, count(DISTINCT doc_id) AS prose_files FROM {NAMES} LEFT JOIN {HITS} h USING (name) GROUP BY 1)"
 
 ORACLES = {
+    "C3_bad_patterns": r"SELECT doc_id FROM documents WHERE text IS NOT NULL AND (doc_id % 3 = 0 OR contains(left(text, 40), '\|'))",
     "C1_kwic": f"""SELECT doc_id, p AS "offset", 'the' AS match, length(w) AS n, sha256(w) AS "window" FROM (SELECT doc_id, p, substr(t, greatest(0, p - 250) + 1, p + 3 + 900 - greatest(0, p - 250)) AS w
         FROM (SELECT doc_id, t, unnest({_starts('lower(t)', "'the'", 3)}[1:2]) AS p FROM (SELECT doc_id, {FLAT} AS t FROM documents)))""",
     "C2_hit_counts": f"SELECT doc_id, {sql.n_matches(FLAT, '(?i)the')} AS hits FROM documents WHERE hits > 0",

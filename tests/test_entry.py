@@ -30,7 +30,7 @@ def plain(value):
 CHECKED = [q for q in entry.oracle_sql() if not q.startswith(("op", "pipeline"))]
 
 
-@pytest.mark.parametrize("name", CHECKED[::3])
+@pytest.mark.parametrize("name", CHECKED)
 def test_queries_equal_duckdb(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     found = duck.execute(entry.oracle_sql()[name])

@@ -97,8 +97,11 @@ def test_file_readers_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_once(df.withColumn("s", F.lit("b")), str(tmp_path / "once"))
     lines = spark.createDataFrame([("c01", 1, "x"), ("c01", 0, "w"), ("c02", 0, "y")], "id string, line_no int, line string")
-    sinks.cluster_texts(lines, str(tmp_path / "clusters"))
-    assert [p.read_text() for p in (tmp_path / "clusters" / "id=c01").glob("part*")] == ["w\nx\n"]
+    told = sinks.cluster_texts(lines, str(tmp_path / "out")).collect()
+    assert [p.read_text() for p in (tmp_path / "out" / "clusters" / "id=c01").glob("part*")] == ["w\nx\n"]
+    assert sorted((r.id, r.source, r.n_lines, r.words, r.small) for r in told) == [("c01", "clusters/id=c01", 2, 2, True), ("c02", "clusters/id=c02", 1, 1, True)]
+    sinks.json_artifact(df, str(tmp_path / "artifact"))
+    assert [p.read_text() for p in (tmp_path / "artifact").glob("part*")] == ['{"i":1,"s":"a"}\n']
 
 
 def test_strict_json(spark):
