@@ -32,8 +32,9 @@ from loomtext.llm.common import tidy
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 TEXT_WINDOW = 1 << 16
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000  # of each generation
 CACHED_BYTES = 64
+NO_MERGE, ID_BITS = 1 << 60, (1 << 20) - 1
 
 
 def byte_symbols() -> dict[str, int]:
@@ -61,10 +62,10 @@ class MergeTable:
         self.base = [0] * 256
         for s, b in symbols.items():
             self.base[b] = vocab[s]
-        self.merged: dict[int, tuple[int, int]] = {}
+        self.merged: dict[int, int] = {}  # pair of ids to rank and new id, 20 bits each
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         for rank, (a, b) in enumerate(merges):
-            self.merged[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
+            self.merged[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
         self.lookahead = self._lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.window = 4 * self.lookahead + 256
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -91,30 +92,26 @@ class MergeTable:
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of a piece that fits a window, lowest rank first, leftmost first."""
-        base, merged = self.base, self.merged
+        base, get = self.base, self.merged.get
         ids = [base[b] for b in piece]
-        n = len(ids)
-        if n > 40:
+        if len(ids) > 40:
             return self._merge_heap(ids)
-        while n > 1:
-            best, at, new = 1 << 30, -1, 0
-            left = ids[0]
-            for i in range(1, n):
-                right = ids[i]
-                if (m := merged.get(left << 20 | right)) is not None and m[0] < best:
-                    best, new = m
-                    at = i
-                left = right
-            if at < 0:
-                break
-            ids[at - 1 : at + 1] = [new]
-            n -= 1
+        found = [get(a << 20 | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != NO_MERGE:
+            i = found.index(best)
+            ids[i : i + 2] = [new := best & ID_BITS]
+            del found[i]
+            if i < len(found):
+                found[i] = get(new << 20 | ids[i + 1], NO_MERGE)
+            if i:
+                found[i - 1] = get(ids[i - 1] << 20 | new, NO_MERGE)
         return ids
 
     def _merge_heap(self, ids: list[int]) -> list[int]:
         n, merged = len(ids), self.merged
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merged.get(ids[i] << 20 | ids[i + 1]))]
+        pairs = ((i, merged.get(ids[i] << 20 | ids[i + 1])) for i in range(n - 1))
+        heap = [(m >> 20, i, ids[i], ids[i + 1], m & ID_BITS) for i, m in pairs if m is not None]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -126,8 +123,8 @@ class MergeTable:
             if after[j] >= 0:
                 before[after[j]] = i
             for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q >= 0 and (m := merged.get(ids[p] << 20 | ids[q])):
-                    heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
+                if p >= 0 and q >= 0 and (m := merged.get(ids[p] << 20 | ids[q])) is not None:
+                    heapq.heappush(heap, (m >> 20, p, ids[p], ids[q], m & ID_BITS))
         return [x for x in ids if x >= 0]
 
     def stable(self, buffer: bytes) -> tuple[list[int], int]:
@@ -146,13 +143,29 @@ class MergeTable:
         return ids[:keep], covered
 
 
+class PieceCache:
+    """Ids of pieces met before, in two generations: when the new one is full the old one goes."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, piece: str, packed: bytes) -> None:
+        if len(self.new) >= CACHE_PIECES:
+            self.old, self.new = self.new, {}
+        self.new[piece] = packed
+
+
 class Encoder:
     """Text in pieces of any length in, packed little-endian 32-bit ids out, as soon as they are stable."""
 
-    def __init__(self, merges: MergeTable, cache: dict[str, bytes] | None = None):
-        self.merges, self.cache, self.carry = merges, {} if cache is None else cache, ""
+    def __init__(self, merges: MergeTable, cache: PieceCache | None = None):
+        self.merges, self.cache, self.carry = merges, cache or PieceCache(), ""
 
     def _piece(self, piece: str) -> bytes:
+        if (packed := self.cache.old.get(piece)) is not None:
+            self.cache.put(piece, packed)
+            return packed
         raw = piece.encode("utf-8", "surrogatepass")
         out = array("I")
         while len(raw) > self.merges.window:
@@ -168,15 +181,13 @@ class Encoder:
         out.extend(self.merges.merge(raw))
         packed = out.tobytes()
         if len(piece) <= CACHED_BYTES:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            self.cache[piece] = packed
+            self.cache.put(piece, packed)
         return packed
 
     def _pieces(self, pieces: list[str]) -> bytes:
-        get, known = self.cache.get, []
+        cache, known = self.cache, []
         for p in pieces:
-            packed = get(p)
+            packed = cache.new.get(p)
             known.append(self._piece(p) if packed is None else packed)
         return b"".join(known)
 
@@ -215,9 +226,9 @@ class Encoder:
         return out
 
 
-def encode_text(text: str | None, merges: MergeTable, cache: dict[str, bytes] | None = None) -> bytes:
+def encode_text(text: str | None, merges: MergeTable, cache: PieceCache | None = None) -> bytes:
     """Packed ids of a whole text; a null text counts as empty. Strings of added tokens become those tokens."""
-    cache = {} if cache is None else cache
+    cache = cache or PieceCache()
     parts = merges.added_pattern.split(text or "") if merges.added_pattern else [text or ""]
     out: list[bytes] = []
     for k, part in enumerate(parts):
@@ -270,7 +281,7 @@ def encode(
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, cache = MergeTable(raw.value), {}
+        merges, cache = MergeTable(raw.value), PieceCache()
         for batch in batches:
             for part in _rows(batch):
                 packed = [encode_text(t.as_py(), merges, cache) for t in part.column(len(keep))]
