@@ -125,10 +125,10 @@ def decide(elements: DataFrame) -> DataFrame:
 
 def style_cap(retained: DataFrame, share: float = 0.2) -> DataFrame:
     """(id, place, in_core): pure style elements hold at most a share of the core, best first."""
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    rows = retained.withColumn("_n", n).filter(F.col("class") == "stable_style")
+    n = retained.agg(F.count("*")).scalar()
+    rows = retained.filter(F.col("class") == "stable_style")
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id"))
-    return rows.select("id", place.alias("place"), (place <= F.floor(F.col("_n") * share)).alias("in_core"))
+    return rows.select("id", place.alias("place"), (place <= F.floor(n * share)).alias("in_core"))
 
 
 def element_problems(elements: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -158,9 +158,24 @@ def relocate(text: Column, old: str, new: str) -> Column:
 
 
 def uncovered_lines(files: DataFrame, passages: DataFrame) -> DataFrame:
-    """(path, line_no): non-blank lines, from 1, in none of the passages (path, first, last) of their file."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).filter(F.trim("line") != "").select("path", (F.col("i") + 1).alias("line_no"))
-    covered = passages.select("path", F.explode(F.sequence("first", "last")).alias("line_no")).distinct()
+    """(path, line_no): non-blank lines, from 1, in none of the passages (path, first, last) of their file.
+
+    A passage counts in either direction and is cut to its file's lines; one with a null end covers nothing.
+    Overlapping passages are merged before they are listed, so no file lists more lines than it has.
+    """
+    split = F.split("text", "\n", -1)
+    lines = files.select("path", F.posexplode(split).alias("i", "line")).filter(F.trim("line") != "")
+    lines = lines.select("path", (F.col("i") + 1).alias("line_no"))
+    counts = files.groupBy("path").agg(F.max(F.size(split)).alias("_n"))
+    cut = passages.filter("first IS NOT NULL AND last IS NOT NULL").join(counts, "path")
+    low, high = F.greatest(F.least("first", "last"), F.lit(1)), F.least(F.greatest("first", "last"), "_n")
+    cut = cut.select("path", low.alias("_low"), high.alias("_high")).filter("_low <= _high").distinct()
+    order = Window.partitionBy("path").orderBy("_low", "_high")  # one file's passages
+    reach = F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("_low") > reach), 1).otherwise(0)
+    runs = cut.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
+    merged = runs.groupBy("path", "_run").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    covered = merged.select("path", F.explode(F.sequence("_low", "_high")).alias("line_no"))
     return lines.join(covered, ["path", "line_no"], "left_anti")
 
 

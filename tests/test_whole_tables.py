@@ -1,10 +1,11 @@
 """Queries against plain Python over every row of the tables at sf0.01."""
 
+import random
 import re
 from collections import defaultdict
 
 from __spark_entry__ import queries
-from loomtext.operators import package
+from loomtext.operators import admission, package
 
 DATA = "/root/testdata/sf0.01"
 
@@ -40,3 +41,27 @@ def test_text_issues_name_audit_words_and_second_person_lines(spark):
     ]
     got = {(r.path, r.issue) for r in package.text_issues(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got == {("a.md", "banned token budget"), ("a.md", "audit word token"), ("a.md", "audit word budget"), ("b.md", "second person line"), ("d.md", "second person line"), ("d.md", "banned probe"), ("e.pdf", "raw file")}
+
+
+def test_uncovered_lines_equal_plain_marking(spark):
+    rng = random.Random(4)
+    texts = {f"f{i}": "\n".join(rng.choice(["word", "", " "]) for _ in range(rng.randint(0, 30))) for i in range(12)}
+    passages = [(f"f{rng.randint(0, 13)}", rng.randint(-3, 35), rng.randint(-3, 35)) for _ in range(30)]
+    passages += [passages[0], ("f0", None, 3), ("f1", 2, None), ("f2", 5, 4_000_000_000), ("f3", -4_000_000_000, 1)]
+    marked = {p: set() for p in texts}
+    for path, first, last in passages:
+        if path in texts and None not in (first, last):
+            low, high = min(first, last), max(first, last)
+            marked[path] |= {n for n in range(1, 40) if low <= n <= high}
+    want = [(p, n) for p, t in texts.items() for n, line in enumerate(t.split("\n"), 1) if line.strip(" ") and n not in marked[p]]
+    files = spark.createDataFrame([*texts.items(), ("none", None)], "path string, text string")
+    got = package.uncovered_lines(files, spark.createDataFrame(passages, "path string, first long, last long")).collect()
+    assert sorted((r.path, r.line_no) for r in got) == sorted(want) and want
+
+
+def test_style_cap_takes_its_share_of_all_retained(spark):
+    rows = [(f"s{i}", "stable_style", 9 - i // 2) for i in range(6)] + [(f"p{i}", "procedure", 1) for i in range(9)]
+    frame = spark.createDataFrame(rows, "id string, class string, score int")
+    got = [(r.id, r.place, r.in_core) for r in admission.style_cap(frame).orderBy("place").collect()]
+    assert got == [(f"s{i}", i + 1, i < 3) for i in range(6)]
+    assert admission.style_cap(frame.limit(0)).count() == 0
