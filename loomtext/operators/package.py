@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.sources.staging import staging
 
 # Link grammars (any markdown file, and the narrower one for runtime routes), word lists and patterns.
 INLINE = r"\[[^\]]*\]\(\s*(<[^>]+>|[^\s)]+)(?:\s+[^)]*)?\)"
@@ -73,22 +74,25 @@ def hidden_routes(files: DataFrame, found: DataFrame) -> DataFrame:
     return named.unionByName(led).distinct()
 
 
-def reachable(found: DataFrame, roots: list[str], most_rounds: int = 50) -> DataFrame:
-    """(path) reached over links from the roots; one join a round, until a round adds nothing."""
-    spark = found.sparkSession
-    edges = found.select("path", resolve(F.col("path"), F.col("target")).alias("to")).filter("to IS NOT NULL").distinct().cache()
-    seen = spark.createDataFrame([(r,) for r in roots], "path string")
-    front = seen
-    for _ in range(most_rounds):
-        front = edges.join(front, "path").select(F.col("to").alias("path")).distinct().join(seen, "path", "left_anti")
-        rows = [r[0] for r in front.limit(1_000_001).collect()]  # a package's host files
-        if not rows:
+def reachable(found: DataFrame, roots: list[str]) -> DataFrame:
+    """(path) reached over links from the roots, these included; one join a round, until a round adds nothing.
+
+    Links and each round's new paths are tables in the shared folder, so plans stay short, nothing is collected,
+    and neither the number of files nor the depth of the links is limited: every round but the last adds a path.
+    """
+    spark, base = found.sparkSession, staging(found.sparkSession, "reachable")
+    links = found.select("path", resolve(F.col("path"), F.col("target")).alias("to"))
+    links.filter("path IS NOT NULL AND to IS NOT NULL").distinct().write.parquet(f"{base}/links")
+    edges = spark.read.schema("path string, to string").parquet(f"{base}/links")
+    rounds = [f"{base}/round-0"]
+    spark.createDataFrame([(r,) for r in sorted(set(roots))], "path string").write.parquet(rounds[0])
+    while True:
+        front, seen = (spark.read.schema("path string").parquet(*p) for p in (rounds[-1:], rounds))
+        if front.isEmpty():
             return seen
-        if len(rows) > 1_000_000:
-            raise ValueError("more files than a package has")
-        front = spark.createDataFrame([(r,) for r in rows], "path string")
-        seen = seen.unionByName(front)
-    raise RuntimeError("links go deeper than most_rounds")
+        new = edges.join(front, "path").select(F.col("to").alias("path")).distinct().join(seen, "path", "left_anti")
+        rounds.append(f"{base}/round-{len(rounds)}")
+        new.write.parquet(rounds[-1])
 
 
 def dead_citations(files: DataFrame, modules: DataFrame) -> DataFrame:

@@ -65,3 +65,12 @@ def test_style_cap_takes_its_share_of_all_retained(spark):
     got = [(r.id, r.place, r.in_core) for r in admission.style_cap(frame).orderBy("place").collect()]
     assert got == [(f"s{i}", i + 1, i < 3) for i in range(6)]
     assert admission.style_cap(frame.limit(0)).count() == 0
+
+
+def test_reachable_follows_deep_links_and_loops(spark):
+    links = [(f"d{i}.md", f"d{i + 1}.md") for i in range(12)] + [("d5.md", "d0.md"), ("x.md", "y.md"), ("d3.md", "d3.md"), (None, "z.md"), ("d0.md", None)]
+    found = spark.createDataFrame(links, "path string, target string")
+    got = sorted(r.path for r in package.reachable(found, ["d1.md", "d1.md"]).collect())
+    assert got == sorted(f"d{i}.md" for i in range(13))
+    assert package.reachable(found, []).count() == 0
+    assert [r.path for r in package.reachable(found.limit(0), ["a.md"]).collect()] == ["a.md"]
