@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, exactdedup, fingerprint, langid, licenses, mixing, neardup, quality, secrets, warc
+from loomtext.llm import bpe, exactdedup, fingerprint, langid, licenses, mixing, neardup, quality, secrets, trie, warc
 from loomtext.llm.common import table
 
 
@@ -64,7 +64,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_secrets": op6_secrets, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(trie.shared_openings(trie.threads(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_secrets": op6_secrets, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses, "op11_trie": op11_trie}
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -72,7 +76,28 @@ LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 NEAR_WORDS = r"[w FOR w IN regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')]"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+#: CRC-32 of an identifier's decimal digits, modulo 4, bit by bit (4294967295 and 3988292384 are the checksum's fixed values).
+CRC_4 = """(xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ord(z)::BIGINT),
+             lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT FOR k IN range(8)], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+             4294967295) % 4)::INT"""
+
 ORACLES = {
+    "op11_trie": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+             o AS (SELECT conv_id, list({{'k': md5(length(role) || ':' || role || text), 'w': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))}}
+                   ORDER BY turn NULLS FIRST, role, text) AS own FROM t GROUP BY 1),
+             h AS (SELECT *, {CRC_4} AS h FROM o),
+             r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS own FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+             p AS (SELECT conv_id, d, len(own) = d AS ends, md5(array_to_string(list_transform(own[1:d], lambda x: x.k), '')) AS node,
+                   CASE WHEN d > 0 THEN md5(array_to_string(list_transform(own[1:d - 1], lambda x: x.k), '')) END AS up, CASE WHEN d > 0 THEN own[d].w ELSE 0 END AS w
+                   FROM (SELECT *, unnest(range(0, len(own) + 1)) AS d FROM r)),
+             n AS (SELECT node, any_value(up) AS up, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY node),
+             k AS (SELECT up AS node, count(*) AS kids FROM n GROUP BY 1),
+             s AS (SELECT p.node, sum((n.n_convs - 1) * n.w) AS saved, count(*) FILTER (n.node NOT IN (SELECT node FROM k WHERE node IS NOT NULL)) AS leaves
+                   FROM n JOIN p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY 1)
+        SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(kids, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+               saved::BIGINT AS saved_tokens, n.ends_sha256 FROM n LEFT JOIN n u ON u.node = n.up LEFT JOIN k ON k.node = n.node JOIN s ON s.node = n.node""",
     # SHA-1 in base32: five hex digits are 20 bits, and those are four letters
     "op4_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
