@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, exactdedup, fingerprint, langid, licenses, mixing, neardup, quality, secrets, trie, warc
+from loomtext.llm import bpe, exactdedup, fingerprint, langid, licenses, maintext, mixing, neardup, quality, secrets, trie, warc
 from loomtext.llm.common import table
 
 
@@ -68,7 +68,11 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.build(trie.shared_openings(trie.threads(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_secrets": op6_secrets, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses, "op11_trie": op11_trie}
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_secrets": op6_secrets, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses, "op11_trie": op11_trie, "op12_main_text": op12_main_text}
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -82,6 +86,13 @@ CRC_4 = """(xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(
              4294967295) % 4)::INT"""
 
 ORACLES = {
+    # SQL can't parse markup; the tables' pages declare one article of h1 and p blocks, with two character references
+    "op12_main_text": """
+        WITH b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'),
+                   '<br>', ' '), '</?(h1|p)>'), lambda x: trim(regexp_replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'),
+                   '[\x20\x09-\x0D]+', ' ', 'g'))) AS b FROM pages),
+             t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM t""",
     "op11_trie": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
              o AS (SELECT conv_id, list({{'k': md5(length(role) || ':' || role || text), 'w': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))}}
