@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, exactdedup, fingerprint, langid, licenses, maintext, mixing, neardup, quality, secrets, trie, warc
+from loomtext.llm import alignment, bpe, exactdedup, fingerprint, langid, licenses, maintext, mixing, neardup, quality, secrets, trie, warc
 from loomtext.llm.common import table
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,12 @@ def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_secrets": op6_secrets, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses, "op11_trie": op11_trie, "op12_main_text": op12_main_text}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.compare(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_secrets": op6_secrets, "op7_near_dedup": op7_near_dedup, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_licenses": op10_licenses, "op11_trie": op11_trie, "op12_main_text": op12_main_text, "op13_alignment": op13_alignment}
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
