@@ -31,7 +31,7 @@ from loomtext.llm.common import Workspace, materialize, scratch, tidy
 
 UNIT_SPLIT = re.compile(r"(?<=\S) (?=\S)").split
 KEPT_CHARS = 48
-KEPT_UNITS = 60_000  # of each generation
+KEPT_UNITS = 120_000  # of each generation
 CHUNK_CHARS = 1 << 16
 BATCH_ROWS = 256
 HELD_KEYS = 1 << 21
