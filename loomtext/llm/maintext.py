@@ -108,6 +108,7 @@ def lines_of(page: str) -> list[tuple[str | None, int, int]]:
     """The lines of a page in order; what is unwanted is a line without text."""
     out, stack, open_tags = _Lines(), [], Counter()
     lower: str | None = None
+    closed: dict[str, int] = {}  # where an element's last end tag is
     levels, dropping, link, at = Counter(), 0, False, 0
     last = page.rfind(">") + 1  # no tag ends after it
     if (cut := page.find("<!--", last)) >= 0:
@@ -177,8 +178,10 @@ def lines_of(page: str) -> list[tuple[str | None, int, int]]:
                 continue
             drops = _unwanted(tag, attributes, levels[3] > 0)
             if drops:
-                lower = page.lower() if lower is None else lower
-                drops = lower.find(f"</{tag}", at) >= 0 or tag in ("p", "li")  # what is never closed drops nothing
+                if tag not in closed:
+                    lower = page.lower() if lower is None else lower
+                    closed[tag] = lower.rfind(f"</{tag}")
+                drops = closed[tag] >= at or tag in ("p", "li")  # what is never closed drops nothing
             kind = 0
             if not drops and not dropping:
                 role = attributes.get("role", "").lower()
