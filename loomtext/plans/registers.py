@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import lexicons as L
 from loomtext.operators import registers as R
-from loomtext.operators import style
+from loomtext.operators import style, works
 from loomtext.plans import sql
 from loomtext.plans.style import CHINESE, ZH, chinese
 
@@ -21,17 +21,22 @@ def _units(spark, d):
     return style.joined_by(_docs(spark, d).filter("lang = 'en'"), "source").withColumnRenamed("source", "unit_id")
 
 
+def _english(spark, d):
+    return _docs(spark, d).filter("lang = 'en'")
+
+
 def _features(spark, d):
-    return R.features_en(_units(spark, d), TERMS, FLAGSHIP)
+    return works.features_en(_english(spark, d), "source", ["doc_id"], TERMS, FLAGSHIP)
 
 
 def _tokens(spark, d):
-    return R.observations(_units(spark, d)).select("unit_id", "tokens")
+    return works.observations(_english(spark, d), "source", ["doc_id"]).select("unit_id", "tokens")
 
 
 #: Families for queries that need some: units in two groups by the last digit of their name.
 def _members(spark, d):
-    return _units(spark, d).select("unit_id", F.when(F.col("unit_id").rlike("[0-4]$"), "R1").otherwise("R2").alias("family_id"))
+    units = _english(spark, d).select(F.col("source").alias("unit_id")).distinct()
+    return units.select("unit_id", F.when(F.col("unit_id").rlike("[0-4]$"), "R1").otherwise("R2").alias("family_id"))
 
 
 def d1(spark, d):
@@ -82,7 +87,7 @@ def d10(spark, d):
 
 
 def d11(spark, d):
-    return R.adequacy(R.observations(_units(spark, d)))
+    return R.adequacy(works.observations(_english(spark, d), "source", ["doc_id"]))
 
 
 def d12(spark, d):
@@ -170,8 +175,10 @@ def d25_confusions(spark, d):
 
 
 def d26(spark, d):
-    half = lambda k: style.joined_by(_docs(spark, d).filter((F.col("lang") == "en") & ((F.col("doc_id") % 3 == 0) == F.lit(k))), "source").withColumnRenamed("source", "unit_id")
-    return R.divergence(R.features_en(half(True)), R.features_en(half(False)))
+    def half(third: bool):
+        return works.features_en(_english(spark, d).filter((F.col("doc_id") % 3 == 0) == F.lit(third)), "source", ["doc_id"])
+
+    return R.divergence(half(True), half(False))
 
 
 def d27(spark, d):

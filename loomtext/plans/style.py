@@ -106,11 +106,6 @@ def b13(spark, d):
     return style.absent_common(_docs(spark, d))
 
 
-def b14(spark, d):
-    whole = style.joined_by(_docs(spark, d), "source").withColumnRenamed("source", "doc_id")
-    return style.lengths(whole, "sentences").select("doc_id", "n", "mean", "low", "high")
-
-
 def b15(spark, d):
     return chinese(spark, d).select("doc_id", style_zh.strip_markup(F.col("text")).alias("stripped"))
 
@@ -193,7 +188,7 @@ CONTENT = f"(SELECT doc_id, unnest(c) AS word, generate_subscripts(c, 1) AS i FR
 
 QUERIES = {
     "B1_token_count": b1, "B2_token_total": b2, "B3_words": b3, "B4_sentences": b4, "B5_paragraphs": b5, "B6_sentence_lengths": b6, "B6_paragraph_lengths": b6_paragraphs, "B7_segment_ttr": b7, "B8_hedges": b8, "B9_punctuation": b9,
-    "B10_person": b10, "B11_top_words": b11, "B12_top_bigrams": b12, "B13_absent_common": b13, "B14_corpus_sentences": b14, "B15_strip_markup": b15, "B16_han": b16, "B17_sentence_han": b17, "B17_clause_han": b17_clauses, "B18_phrase_rates": b18,
+    "B10_person": b10, "B11_top_words": b11, "B12_top_bigrams": b12, "B13_absent_common": b13, "B15_strip_markup": b15, "B16_han": b16, "B17_sentence_han": b17, "B17_clause_han": b17_clauses, "B18_phrase_rates": b18,
     "B19_absent_scaffolding": b19, "B20_han_ngrams": b20, "B21_tracked_terms": b21, "S12_html_text": s12,
 }
 
@@ -221,7 +216,6 @@ ORACLES = {
     "B12_top_bigrams": f"""SELECT doc_id, bigram, hits, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, f) AS place FROM (
         SELECT doc_id, word || ' ' || nxt AS bigram, count(*) AS hits, min(i) AS f FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM {CONTENT}) WHERE nxt IS NOT NULL GROUP BY 1, 2)) WHERE place <= 15""",
     "B13_absent_common": f"SELECT doc_id, word FROM (SELECT doc_id, {W} AS w FROM documents), (SELECT unnest([{sql.quoted(L.COMMON_CONTENT)}]) AS word) WHERE coalesce(1000.0::DOUBLE * len([x for x in w if x = word]) / nullif(len(w), 0), 0) < 0.2",
-    "B14_corpus_sentences": "SELECT doc_id, n, mean, low, high FROM (" + sql.distribution(sql.SENTENCES).replace("FROM documents", r"FROM (SELECT source AS doc_id, string_agg(text, E'\n\n' ORDER BY doc_id) AS text FROM documents GROUP BY 1)") + ")",
     "B15_strip_markup": f"SELECT doc_id, {_stripped('text')} AS stripped FROM {ZH}",
     "B16_han": f"SELECT doc_id, len(regexp_extract_all(text, '{L.HAN}')) AS han FROM {ZH} WHERE han > 0",
     "B17_sentence_han": _zh_lengths(L.SENTENCE_END_ZH),
