@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.plans import admission, cleaning, corpus_profile, judging, ledger, package, registers, retrieval, sources, style, works
+from loomtext.plans import admission, cleaning, contracts, corpus_profile, judging, ledger, package, registers, retrieval, sources, style, works
 
-MODULES = (corpus_profile, sources, cleaning, style, works, retrieval, registers, admission, judging, ledger, package)
+MODULES = (corpus_profile, sources, cleaning, style, works, retrieval, registers, admission, judging, ledger, contracts, package)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
