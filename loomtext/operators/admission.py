@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.operators.scan import scan
+
 # Classes in order of priority, and the fields each needs.
 REQUIRED = {
     "procedure": ("precondition", "on_fail", "steps"),
@@ -115,20 +117,20 @@ def decide(elements: DataFrame) -> DataFrame:
     with_ = conflicts(elements).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("conflicts"))
     rows = judged.join(with_, "id", "left")
     decision = F.when(~F.col("eligible"), "cut").when(F.col("conflicts").isNotNull(), "pending").otherwise("retain")
-    rows = rows.withColumn("decision", decision)
     place = F.lit(len(REQUIRED))
     for i, c in enumerate(REQUIRED):
         place = F.when(F.col("class") == c, i).otherwise(place)
-    order = Window.partitionBy("decision").orderBy(place, F.desc("score"), "id")  # survivors of curation: few
-    return rows.withColumn("rank", F.when(F.col("decision") == "retain", F.row_number().over(order))).select("id", "class", "eligible", "score", "decision", "rank", "conflicts", "reason", "error")
+    rows = rows.withColumn("decision", decision).withColumn("_place", place)
+    kept = scan(rows.filter("decision = 'retain'"), ["_place", F.desc("score"), "id"])
+    rest = rows.filter("decision <> 'retain'").withColumn("rank", F.lit(None).cast("long"))
+    return kept.unionByName(rest).select("id", "class", "eligible", "score", "decision", "rank", "conflicts", "reason", "error")
 
 
 def style_cap(retained: DataFrame, share: float = 0.2) -> DataFrame:
     """(id, place, in_core): pure style elements hold at most a share of the core, best first."""
     n = retained.agg(F.count("*")).scalar()
-    rows = retained.filter(F.col("class") == "stable_style")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id"))
-    return rows.select("id", place.alias("place"), (place <= F.floor(n * share)).alias("in_core"))
+    rows = scan(retained.filter(F.col("class") == "stable_style").select("id", "score"), [F.desc("score"), "id"])
+    return rows.select("id", F.col("rank").alias("place"), (F.col("rank") <= F.floor(n * share)).alias("in_core"))
 
 
 def element_problems(elements: DataFrame) -> DataFrame:
@@ -213,7 +215,7 @@ def relocations(parts: DataFrame, deficit: int) -> DataFrame:
     step = F.lit(None).cast("int")
     for i, k in enumerate(RELOCATION, 1):
         step = F.when(F.col("kind") == k, i).otherwise(step)
-    order = Window.partitionBy(F.lit(0)).orderBy("step", F.desc("place"), "id")  # parts of one core
     rows = parts.filter("NOT protected").withColumn("step", step).filter("step IS NOT NULL")
-    rows = rows.withColumn("moved_so_far", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = scan(rows.select("id", "step", "place", "size"), ["step", F.desc("place"), "id"], sums=["size"])
+    rows = rows.withColumn("moved_so_far", F.col("before_size") + F.col("size"))
     return rows.filter(F.col("moved_so_far") - F.col("size") < deficit).select("id", "step", "moved_so_far")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import lexicons as L
 from loomtext.functions import text as T
 from loomtext.operators import style_zh
+from loomtext.operators.scan import scan
 
 # Defaults of discovery.
 RATIO, DIMS, LEAST_TOKENS, LEAST_SENTENCES, LEAST_EVENTS, LEAST_DELTA, WINDOWS, LEAST_WINDOW, STABILITY = 3.0, 3, 600, 20, 5, 10.0, 3, 100, 0.8
@@ -322,8 +323,9 @@ def blind_sample(clusters: DataFrame, per_cluster: int = 2, length: int = 120, s
     rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(per_cluster))))
     start = F.col("_lo") + F.pmod(F.xxhash64(F.lit(seed), "cluster_id", "_k"), F.col("_hi") - F.col("_lo"))
     rows = rows.withColumn("start", start.cast("int")).withColumn("passage", F.array_join(F.slice("_w", F.col("start") + 1, length), " "))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(seed + 1), "cluster_id", "_k"), "cluster_id", "_k")  # a test sheet for readers
-    return rows.select(F.row_number().over(order).alias("passage_id"), "cluster_id", "start", (mask_names(F.col("passage")) if mask else F.col("passage")).alias("passage"))
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed + 1), "cluster_id", "_k"))
+    rows = scan(rows.select("cluster_id", "_k", "_hash", "start", "passage"), ["_hash", "cluster_id", "_k"])
+    return rows.select(F.col("rank").alias("passage_id"), "cluster_id", "start", (mask_names(F.col("passage")) if mask else F.col("passage")).alias("passage"))
 
 
 def discrimination(key: DataFrame, answers: DataFrame) -> DataFrame:
