@@ -3,7 +3,8 @@
 Three base kinds are patterns. The method adds spans: in candidate strings of a character class, a window
 slides over the characters; per step one character's count goes up and one's goes down, and the Shannon
 entropy follows from the running sum of c * log2(c). Windows at or above the class's limit, merged, make a
-span, unless an allow-list pattern suppresses the candidate or a base span covers it. Placeholder words are
+span, unless an allow-list pattern suppresses the candidate. It is given whether or not a base span covers it:
+within one it tells a random value from a long word or a run of one letter. Placeholder words are
 allowed wherever they stand: they cut a candidate, so only windows that overlap one are suppressed, not the key
 around it.
 
@@ -132,7 +133,6 @@ def scan(
         rows = _positions(rows, f"_{name}", letter + "{%d,}" % WINDOW, "_plain")
         rows = rows.withColumn(f"_{name}", F.filter(f"_{name}", lambda x: ~F.greatest(F.lit(False), *[x["text"].rlike(p) for p in allow])))
         rows = rows.withColumn(f"_{name}", F.when(F.size(f"_{name}") > 0, _windows(kind, f"_{name}", alphabet, limit)).otherwise(F.expr(f"cast(array() as {SPAN})")))
-        rows = rows.withColumn(f"_{name}", F.expr(f"filter(_{name}, x -> not exists(base_spans, b -> b.start <= x.start and b.end >= x.end))"))
     added = F.concat(*[F.col(f"_{name}") for name, *_ in CLASSES])
     rows = rows.withColumn("spans", F.concat("base_spans", added))
     counts = [F.size(f"_{name}").cast("long").alias(f"n_{name}") for name, *_ in BASE]

@@ -181,7 +181,7 @@ def secrets_brute(text):
                 if -sum(c / 20 * math.log2(c / 20) for c in counts) >= limit - 1e-12:
                     a, b = m.start() + i, m.start() + i + 20
                     spans[-1:] = [(spans[-1][0], kind, b)] if spans and spans[-1][2] >= a else [*spans[-1:], (a, kind, b)]
-            more += [x for x in spans if not any(b[0] <= x[0] and b[2] >= x[2] for b in base)]
+            more += spans
     names = [k for k, *_ in (*secrets.BASE, *secrets.CLASSES)]
     told = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
     return told(base), told(base + more)
@@ -200,6 +200,16 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_windows_change_the_result_on_the_given_tables(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.doc_id: (r["base"], r["all"], r.n_entropy) for r in secrets.scan(docs).collect()}
+    assert sum(n for *_, n in found.values()) > 0
+    assert all((b, a) == secrets_brute(t) for i, t in docs.select("doc_id", "text").collect() for b, a, _ in [found[i]])
+    monkeypatch.setattr(secrets, "CLASSES", tuple((n, a, p, 99.0) for n, a, p, _ in secrets.CLASSES))
+    without = {r.doc_id: (r["base"], r["all"]) for r in secrets.scan(docs).collect()}
+    assert all(without[i][0] == b for i, (b, *_) in found.items()) and any(without[i][1] != a for i, (_, a, _) in found.items())
+
+
 def test_secrets_around_placeholders_long_candidates_and_odd_rows(spark):
     rng = random.Random(17)
     key = "".join(rng.choice(secrets.CLASSES[1][1]) for _ in range(200))
@@ -208,7 +218,7 @@ def test_secrets_around_placeholders_long_candidates_and_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     got = Counter((r.doc_id, r["base"], r["all"]) for r in secrets.scan(docs).collect())
     assert got == Counter((i, *secrets_brute(t)) for i, t, _ in rows)
-    assert secrets_brute(texts[0])[1].count(":") == 4 and secrets_brute(texts[1])[1] == ""
+    assert secrets_brute(texts[0])[1].count(":") >= 4 and secrets_brute(texts[1])[1] == ""
 
 
 def test_licenses_equal_brute_force(spark):
