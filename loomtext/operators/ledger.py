@@ -232,7 +232,7 @@ def blinded(cases: DataFrame, judges: int = 2) -> DataFrame:
 def allowed_references(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """(request, path, access): whole files for a whole condition, listed sections for a targeted one, else none."""
     access = F.when(F.col("condition") == "whole", "whole").when((F.col("condition") == "targeted") & F.array_contains("sections", F.col("key")), "section")
-    return requests.join(F.broadcast(catalog), "path").withColumn("access", access).filter("access IS NOT NULL").select("request", "path", "key", "access").distinct()
+    return requests.join(catalog, "path").withColumn("access", access).filter("access IS NOT NULL").select("request", "path", "key", "access").distinct()
 
 
 def checkpoints(events: DataFrame) -> DataFrame:

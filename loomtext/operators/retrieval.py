@@ -162,7 +162,7 @@ def audit_verdict(attested: DataFrame) -> DataFrame:
 def first_contexts(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """name, id, position, context: around the first hit in document order, white space collapsed."""
     first = hits.groupBy("name").agg(F.min(F.struct(id_col, "offset")).alias("f")).select("name", f"f.{id_col}", "f.offset")
-    rows = docs.select(id_col, text_col).join(F.broadcast(first), id_col)  # one row for each name asked for
+    rows = docs.select(id_col, text_col).join(first, id_col)  # one row for each name asked for
     flat = lambda c: F.regexp_replace(c, T.unicode(r"\s+"), " ")
     at = F.length(flat(F.substr(F.col(text_col), F.lit(1), F.col("offset").cast("int"))))
     left = F.greatest(F.lit(0), at - BEFORE)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.operators.scan import scan
 
 # Fixed values of a manifest row.
 KINDS = ("monologue", "dialogue", "decision_record")
@@ -14,6 +15,7 @@ CLUSTER_ID = r"^c[0-9]{2,}$"
 REQUIRED = ("id", "label", "file", "kind", "attribution")
 LEAST_WORDS = 400
 TOKENS_PER_WORD = 1.33
+BLOCK = 4096  # lines of a cluster that one row stands for while they are numbered
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,26 +27,42 @@ def resolve_bounds(all_lines: DataFrame, spec: DataFrame, id_col: str = "doc_id"
     """spec columns, first, last (exclusive), problem.
 
     A spec row names its document and a start (line number from 1, pattern or none) and an end likewise; an
-    end pattern is looked for after the line that follows the start. Two conditional minima over the lines,
-    one join each; no line is compared with another.
+    end pattern is looked for after the line that follows the start. Every pattern is tried once on a document's
+    lines, however many rows name it; an end is the next of its hits, found by one sorted sweep over hits and
+    starts. Specs are joined like any other table: they may have as many rows as there are documents.
     """
     keys = spec.select("id", id_col, "start", "end", "start_line", "end_line")
     sized = all_lines.groupBy(id_col).agg(F.count("*").alias("n_lines"))
+    by_start, by_end = F.expr("start IS NOT NULL AND start_line IS NULL"), F.expr("`end` IS NOT NULL AND end_line IS NULL")
+    wanted = keys.filter(by_start).select(id_col, F.col("start").alias("pattern")).unionByName(keys.filter(by_end).select(id_col, F.col("end").alias("pattern"))).distinct()
     # patterns are columns, so they go through regexp_like
-    starts = all_lines.join(F.broadcast(keys.filter("start IS NOT NULL AND start_line IS NULL")), id_col).filter(F.regexp_like("line", "start")).groupBy("id").agg(F.min("line_no").alias("hit"))
-    rows = keys.join(sized, id_col, "left").join(starts, "id", "left")
+    hits = all_lines.join(wanted, id_col).filter(F.regexp_like("line", "pattern")).select(id_col, "pattern", F.col("line_no").cast("long").alias("at"))
+    begins = hits.groupBy(id_col, F.col("pattern").alias("start")).agg(F.min("at").alias("hit"))
+    rows = keys.join(sized, id_col, "left").join(begins, [id_col, "start"], "left")
     rows = rows.withColumn("first", F.when(F.col("start_line").isNotNull(), F.col("start_line") - 1).when(F.col("start").isNotNull(), F.col("hit")).otherwise(0))
-    ends = all_lines.join(F.broadcast(rows.filter("`end` IS NOT NULL AND end_line IS NULL AND first IS NOT NULL").select(id_col, "id", "end", "first")), id_col)
-    ends = ends.filter((F.col("line_no") >= F.col("first") + 1) & F.regexp_like("line", "end")).groupBy("id").agg(F.min("line_no").alias("stop"))
-    rows = rows.join(ends, "id", "left").withColumn("last", F.when(F.col("end_line").isNotNull(), F.col("end_line")).when(F.col("end").isNotNull(), F.col("stop")).otherwise(F.col("n_lines")).cast("long"))
+    asked = rows.filter(by_end & F.col("first").isNotNull()).select(id_col, F.col("end").alias("pattern"), (F.col("first") + 1).cast("long").alias("at"), "id", F.lit(0).alias("found"), F.lit(None).cast("long").alias("line"))
+    swept = asked.unionByName(hits.select(id_col, "pattern", "at", F.lit(None).cast("string").alias("id"), F.lit(1).alias("found"), F.col("at").alias("line")))
+    swept = scan(swept, [F.desc("at"), F.desc("found"), "id"], [id_col, "pattern"], earlier=["line"])
+    rows = rows.join(swept.filter("found = 0").select("id", F.col("prev_line").alias("stop")), "id", "left")
+    rows = rows.withColumn("last", F.when(F.col("end_line").isNotNull(), F.col("end_line")).when(F.col("end").isNotNull(), F.col("stop")).otherwise(F.col("n_lines")).cast("long"))
     problem = F.when(F.col("n_lines").isNull(), "missing file").when(F.col("first").isNull(), "start marker not found").when(F.col("last").isNull(), "end marker not found after start").when(F.col("last") <= F.col("first"), "end is not after start")
     return rows.select("id", id_col, F.col("first").cast("long").alias("first"), "last", problem.alias("problem"))
 
 
 def cut(all_lines: DataFrame, bounds: DataFrame, headers: tuple[str, ...] = (), id_col: str = "doc_id") -> DataFrame:
-    """id, line_no, line of every cluster, running headers (patterns that match at a line's start) left out."""
-    rows = all_lines.join(F.broadcast(bounds.filter("problem IS NULL").select("id", id_col, "first", "last")), id_col)
-    rows = rows.filter("line_no >= first AND line_no < last")
+    """id, line_no, line of every cluster, running headers (patterns that match at a line's start) left out.
+
+    Clusters may overlap. Bounds become the line numbers that they hold, in blocks, and meet the lines by
+    document and number: as many rows as the result has.
+    """
+    kept = bounds.filter("problem IS NULL").select("id", id_col, "first", "last")
+    sized = all_lines.groupBy(id_col).agg(F.count("*").alias("_n"))
+    kept = kept.join(sized, id_col).withColumn("last", F.least("last", "_n")).filter("last > first")
+    block = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("last") - 1) / BLOCK)))
+    kept = kept.withColumn("_block", block)
+    number = F.sequence(F.greatest("first", F.col("_block") * BLOCK), F.least("last", (F.col("_block") + 1) * BLOCK) - 1)
+    kept = kept.select("id", id_col, F.explode(number).alias("line_no"))
+    rows = all_lines.withColumn("line_no", F.col("line_no").cast("long")).join(kept, [id_col, "line_no"])
     for pattern in headers:
         rows = rows.filter(~F.col("line").rlike(f"^(?:{pattern})"))
     return rows.select("id", "line_no", "line")

@@ -55,7 +55,7 @@ def e1_stratified(spark, d):
 
 
 def e1_passages(spark, d):
-    return _passages(spark, d).join(F.broadcast(e1(spark, d)), "group").groupBy("partition").agg(F.count("*").alias("n"))
+    return _passages(spark, d).join(e1(spark, d), "group").groupBy("partition").agg(F.count("*").alias("n"))
 
 
 def e2(spark, d):

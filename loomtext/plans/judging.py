@@ -108,7 +108,7 @@ def f8(spark, d):
 def f9(spark, d):
     rows = _passages(spark, d)
     parts = admission.grouped_split(rows)
-    split = rows.join(F.broadcast(parts), "group").select("id", F.when(F.col("id").endswith("7"), "test").otherwise(F.col("partition")).alias("partition")).filter("id <> 'p9'")
+    split = rows.join(parts, "group").select("id", F.when(F.col("id").endswith("7"), "test").otherwise(F.col("partition")).alias("partition")).filter("id <> 'p9'")
     return J.leakage(split.unionByName(spark.createDataFrame([("stranger", "train")], "id string, partition string")), rows.select("id", "group"))
 
 
