@@ -262,6 +262,12 @@ def gaps(centres: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order))
 
 
+def verdicts(n_families: Column, adequate: Column, stable: Column) -> Column:
+    """The verdict of :func:`verdict` for a table of corpora; what is not known is not enough."""
+    enough = F.coalesce(adequate & stable, F.lit(False))
+    return F.when(~enough, "INSUFFICIENT_EVIDENCE").when(n_families > 1, "MULTI_REGISTER").otherwise("SINGLE_REGISTER")
+
+
 def verdict(n_families: int, adequate: bool, stable: bool) -> str:
     if not adequate or not stable:
         return "INSUFFICIENT_EVIDENCE"

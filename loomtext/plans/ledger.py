@@ -104,7 +104,11 @@ BOOKS = (
 
 
 def g10(spark, d):
-    return L.sections(spark.createDataFrame(list(BOOKS), "path string, text string"))
+    """Sections of the cases, and of a file per document with the document between its headings."""
+    number = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("## Part "), number, F.lit("\n### Sub\n"), F.coalesce("text", F.lit("")), F.lit("\n## Decision rules "), number, F.lit("\n"))
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("d"), number).alias("path"), text.alias("text"))
+    return L.sections(spark.createDataFrame(list(BOOKS), "path string, text string").unionByName(files))
 
 
 def g10_guards(spark, d):
@@ -185,8 +189,9 @@ ORACLES = {
     "G8_current_evidence": "SELECT doc_id AS record, doc_id % 10 = 0 OR list_bool_and([k <> 5 AND k % 4 <> 0 FOR k IN [doc_id % 30, (doc_id + 7) % 30]]) AS current FROM documents",
     "G9_manifest": "SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'added' ELSE 'changed' END AS problem FROM documents WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0)",
     "G10_sections": """SELECT * FROM (VALUES ('references/a.md', 3, 9, 2, 'Decision rules'), ('references/a.md', 5, 9, 3, 'Deep'), ('references/a.md', 10, 11, 2, 'Second'), ('references/b.md', 1, 9, 2, 'Mental models'), ('references/b.md', 4, 7, 3, 'Sub one'),
-        ('references/b.md', 8, 9, 3, 'Sub two')) v(path, start, "end", depth, title)""",
-    "G10_guards": "SELECT * FROM (VALUES ('references/a.md', 5, 3), ('references/a.md', 10, 3), ('references/b.md', 4, 1), ('references/b.md', 8, 1)) v(path, start, guard)",
+        ('references/b.md', 8, 9, 3, 'Sub two')) v(path, start, "end", depth, title)
+        UNION ALL SELECT 'd' || doc_id, unnest([1, 2, 3 + n]), unnest([2 + n, 2 + n, 3 + n]), unnest([2, 3, 2]), unnest(['Part ' || doc_id, 'Sub', 'Decision rules ' || doc_id]) FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)""",
+    "G10_guards": "SELECT * FROM (VALUES ('references/a.md', 5, 3), ('references/a.md', 10, 3), ('references/b.md', 4, 1), ('references/b.md', 8, 1)) v(path, start, guard) UNION ALL SELECT 'd' || doc_id, unnest([1, 2]), 3 + len(string_split(coalesce(text, ''), chr(10))) FROM documents",
     "G11_exposures": "SELECT doc_id % 7 AS experiment, CASE WHEN doc_id % 3 = 0 THEN source ELSE doc_id::VARCHAR END AS \"group\" FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
     "G12_torn_groups": "SELECT source || '/' || (doc_id % 9) AS \"group\" FROM documents GROUP BY 1 HAVING count(DISTINCT lang = 'en') > 1",
     "G13_plan_problems": "SELECT * FROM (VALUES ('case kinds', 'characteristic,interpersonal,changed_condition'), ('unsafe case id', 'c 1'), ('pattern count', '2'), ('unknown evidence', '999')) v(problem, key)",

@@ -127,7 +127,9 @@ def h10(spark, d):
 
 
 def h11(spark, d):
-    return P.runtime_hash(spark.createDataFrame(list(FILES), "path string, text string"))
+    """One package: the cases, and a file per benchmark item. A package's files are what one reader loads."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.concat(F.lit("items/"), F.col("item_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    return P.runtime_hash(spark.createDataFrame(list(FILES), "path string, text string").unionByName(items))
 
 
 def h12(spark, d):
@@ -161,8 +163,9 @@ def _rows(columns: str, *rows: tuple) -> str:
 
 
 def _hash() -> str:
-    ordered = sorted(FILES, key=lambda f: (f[0] != "SKILL.md", f[0]))
-    return "SELECT 'sha256:' || sha256(" + " || chr(10) || ".join("'{}:' || sha256('{}')".format(p, t.replace("'", "''")) for p, t in ordered) + ") AS hash"
+    cases = ", ".join("('{}', '{}')".format(p, t.replace("'", "''")) for p, t in FILES)
+    return f"""SELECT 'sha256:' || sha256(string_agg(path || ':' || sha256(text), chr(10) ORDER BY path <> 'SKILL.md', path)) AS hash
+        FROM (SELECT * FROM (VALUES {cases}) f(path, text) UNION ALL SELECT 'items/' || item_id || '.md', text FROM benchmark)"""
 
 
 def _document_issues(shape: str = "{}") -> str:

@@ -131,11 +131,10 @@ def d20(spark, d):
     return R.gaps(d17(spark, d)).select("dim", "low", "high", "max_ratio")
 
 
-VERDICT_ROWS = [(1, True, True), (2, True, True), (2, False, True), (2, True, False)]
-
-
 def d21(spark, d):
-    return spark.createDataFrame([(i, R.verdict(*r)) for i, r in enumerate(VERDICT_ROWS)], "case long, verdict string")
+    """Of every source: its languages as families, adequate by size, stable by the share of its documents that are long."""
+    rows = _docs(spark, d).groupBy("source").agg(F.countDistinct("lang").alias("n"), F.sum("n_chars").alias("chars"), F.avg((F.col("n_chars") > 500).cast("int")).alias("long"))
+    return rows.select("source", R.verdicts(F.col("n"), F.col("chars") > 100_000, F.col("long") > 0.6).alias("verdict"))
 
 
 def _clustered(spark, d):
@@ -256,7 +255,7 @@ ORACLES = {
     "D18_spearman": WITH + """, r AS (SELECT unit_id, dim, rank() OVER (PARTITION BY dim ORDER BY value) + (count(*) OVER (PARTITION BY dim, value) - 1) / 2.0 AS r FROM f)
         SELECT a.dim AS p, b.dim AS q, round(CASE WHEN stddev_pop(a.r) > 0 AND stddev_pop(b.r) > 0 THEN covar_pop(a.r, b.r) / (stddev_pop(a.r) * stddev_pop(b.r)) ELSE 0 END, 6) AS rho FROM r a JOIN r b USING (unit_id) WHERE a.dim <> b.dim GROUP BY 1, 2""",
     "D20_gap_table": WITH + f"SELECT dim, min(mean) AS low, max(mean) AS high, CASE WHEN max(mean) = 0 THEN 1 WHEN min(mean) > 0 THEN max(mean) / min(mean) END AS max_ratio FROM {CENTRES} GROUP BY 1",
-    "D21_verdict": "SELECT * FROM (VALUES (0, 'SINGLE_REGISTER'), (1, 'MULTI_REGISTER'), (2, 'INSUFFICIENT_EVIDENCE'), (3, 'INSUFFICIENT_EVIDENCE')) v(\"case\", verdict)",
+    "D21_verdict": "SELECT source, CASE WHEN coalesce(NOT (sum(n_chars) > 100000 AND avg((n_chars > 500)::INT) > 0.6::DOUBLE), true) THEN 'INSUFFICIENT_EVIDENCE' WHEN count(DISTINCT lang) > 1 THEN 'MULTI_REGISTER' ELSE 'SINGLE_REGISTER' END AS verdict FROM documents GROUP BY 1",
     "D22_family_mapping": f"SELECT s AS source, string_agg(DISTINCT {FAMILY}, ',' ORDER BY {FAMILY}) AS families, count(DISTINCT {FAMILY}) > 1 AS mixed FROM {CLUSTERED} GROUP BY 1",
     "D23_denoise": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\[[^\]]{0,80}\]|\*+|#+|<!--.*?-->|\(#\)|_+', '', 'g'), '\s+', ' ', 'g')) AS clean FROM documents WHERE lang = 'en'",
     "D25_discrimination": "SELECT count(*) AS n, count(*) FILTER (hit) AS hits, avg(hit::INT) AS accuracy, CASE WHEN avg(hit::INT) >= 0.9 THEN 'strong' WHEN avg(hit::INT) >= 0.7 THEN 'adequate' ELSE 'weak' END AS band FROM (SELECT doc_id % 5 <> 0 OR lang = 'en' AS hit FROM documents)",

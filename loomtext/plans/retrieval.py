@@ -23,8 +23,18 @@ CORPUS = (
 )
 
 
-def _corpus(spark):
-    return spark.createDataFrame(list(CORPUS), "doc_id long, text string")
+def _corpus(spark, d):
+    """The cases, and every document under a heading of its own, from identifier 1000."""
+    number = F.col("doc_id").cast("string")
+    docs = _docs(spark, d).select((F.col("doc_id") + 1000).alias("doc_id"), F.concat(F.lit("x\n\nHeading "), number, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return spark.createDataFrame(list(CORPUS), "doc_id long, text string").unionByName(docs)
+
+
+def _package(spark, d):
+    """The cases, and a file per document that names it in bold and in a heading."""
+    number = F.col("doc_id").cast("string")
+    files = _docs(spark, d).select(F.concat(F.lit("# Topic "), number, F.lit("\n**Name "), number, F.lit("** and **"), number, F.lit("**")).alias("text"))
+    return spark.createDataFrame([(t,) for t in PACKAGE], "text string").unionByName(files)
 
 
 def _names(spark, d):
@@ -51,7 +61,7 @@ def c2_corroboration(spark, d):
 
 
 def c4(spark, d):
-    return retrieval.harvest_names(spark.createDataFrame([(t,) for t in PACKAGE], "text string"))
+    return retrieval.harvest_names(_package(spark, d))
 
 
 def c5(spark, d):
@@ -59,7 +69,7 @@ def c5(spark, d):
 
 
 def c6(spark, d):
-    return retrieval.headings(segmentation.lines(_corpus(spark))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    return retrieval.headings(segmentation.lines(_corpus(spark, d))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 def c7(spark, d):
@@ -68,7 +78,7 @@ def c7(spark, d):
 
 def c7_fixture(spark, d):
     names = retrieval.harvest_names(spark.createDataFrame([(t,) for t in PACKAGE], "text string"))
-    return retrieval.attestation(names, retrieval.occurrences(_corpus(spark), [r[0] for r in names.collect()]))
+    return retrieval.attestation(names, retrieval.occurrences(_corpus(spark, d), [r[0] for r in names.collect()]))
 
 
 def c7_verdict(spark, d):
@@ -101,9 +111,9 @@ ORACLES = {
         FROM (SELECT doc_id, t, unnest({_starts('lower(t)', "'the'", 3)}[1:2]) AS p FROM (SELECT doc_id, {FLAT} AS t FROM documents)))""",
     "C2_hit_counts": f"SELECT doc_id, {sql.n_matches(FLAT, '(?i)the')} AS hits FROM documents WHERE hits > 0",
     "C2_corroboration": "SELECT coalesce(sum(h), 0)::BIGINT AS hits, count(*) AS files, count(*) < 2 AS single FROM (SELECT len(regexp_extract_all(text, '(?i)idiot')) AS h FROM documents WHERE h > 0)",
-    "C4_harvest_names": "SELECT unnest(['The River', 'over there', 'bold move', '引用', '书名', 'Second heading']) AS name",
+    "C4_harvest_names": "SELECT unnest(['The River', 'over there', 'bold move', '引用', '书名', 'Second heading']) AS name UNION ALL SELECT unnest(['Name ' || doc_id, 'Topic ' || doc_id]) FROM documents",
     "C5_occurrences": f"SELECT doc_id, name, count(*) AS hits, min(p) AS first, max(p) AS last FROM {HITS} GROUP BY 1, 2",
-    "C6_headings": "SELECT * FROM (VALUES (1, 2, 'The River'), (2, 1, 'Bold'), (2, 3, 'over there'), (3, 2, 'over there')) v(doc_id, line_no, line)",
+    "C6_headings": "SELECT * FROM (VALUES (1, 2, 'The River'), (2, 1, 'Bold'), (2, 3, 'over there'), (3, 2, 'over there')) v(doc_id, line_no, line) UNION ALL SELECT doc_id + 1000, 2, 'Heading ' || doc_id FROM documents",
     "C7_attestation": ATTESTED,
     "C7_attestation_fixture": """SELECT * FROM (VALUES ('The River', 3, 1, 2, 1, 'THIN'), ('over there', 2, 2, 2, 0, 'EDITORIAL'), ('bold move', 3, 0, 2, 2, 'ATTESTED'), ('引用', 1, 0, 1, 1, 'THIN'), ('书名', 0, 0, 0, 0, 'UNATTESTED'),
         ('Second heading', 0, 0, 0, 0, 'UNATTESTED')) v(name, hits, heading_hits, files, prose_files, verdict)""",
