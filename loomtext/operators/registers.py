@@ -21,6 +21,7 @@ from loomtext.operators.scan import scan
 RATIO, DIMS, LEAST_TOKENS, LEAST_SENTENCES, LEAST_EVENTS, LEAST_DELTA, WINDOWS, LEAST_WINDOW, STABILITY = 3.0, 3, 600, 20, 5, 10.0, 3, 100, 0.8
 HAN_SHARE, LONG_EN, LONG_ZH, STRONG, LEAST_CONSISTENT = 0.3, 30, 40, 0.9, 3
 MOST_UNITS = 2_000
+PAIR_BLOCKS = 16
 
 
 def language(text: Column) -> Column:
@@ -158,10 +159,18 @@ def windows(units: DataFrame, size: int, n: int = WINDOWS, token: str = L.WORD)
     return units.select("unit_id", "text").mapInArrow(run, f"unit_id {kind}, k int, text string")
 
 
+def unit_pairs(units: DataFrame, blocks: int = PAIR_BLOCKS) -> DataFrame:
+    """(a, b) for every two units, a < b: units are dealt to blocks, and each pair of blocks is one key of an equi-join."""
+    ids = units.select("unit_id").distinct().withColumn("_block", F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).cast("int"))
+    left = ids.select(F.col("unit_id").alias("x"), F.col("_block").alias("_p"), F.explode(F.sequence(F.col("_block"), F.lit(blocks - 1))).alias("_q"))
+    right = ids.select(F.col("unit_id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_p"), F.col("_block").alias("_q"))
+    met = left.join(right, ["_p", "_q"]).filter((F.col("_p") < F.col("_q")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def pair_stability(units: DataFrame, full_splits: DataFrame, window_splits: DataFrame, n: int = WINDOWS) -> DataFrame:
     """(a, b, split, agreement): the share of windows that agree with the decision on whole units."""
-    ids = units.select("unit_id").distinct()
-    every = ids.withColumnRenamed("unit_id", "a").join(ids.withColumnRenamed("unit_id", "b"), F.col("a") < F.col("b"))
+    every = unit_pairs(units)
     rows = every.join(full_splits.select("a", "b", F.lit(True).alias("split")), ["a", "b"], "left").fillna(False, ["split"])
     votes = window_splits.groupBy("a", "b").agg(F.count("*").alias("votes"))
     rows = rows.join(votes, ["a", "b"], "left").fillna(0, ["votes"])

@@ -238,6 +238,11 @@ CENTRES = f"(SELECT {FAMILY} AS family_id, dim, round(avg(round(value, 6)), 6) A
 CLUSTERED = "(SELECT DISTINCT source AS unit_id, s FROM (SELECT source, unnest([source, 'c' || (doc_id % 7)]) AS s FROM documents WHERE lang = 'en'))"
 
 ORACLES = {
+    # a window is its words with what follows each: matches and the gaps between them alternate
+    "D12_windows": f"""WITH c AS (SELECT unit_id, regexp_extract_all(text, '{sql.WORD}') AS w, regexp_split_to_array(text, '{sql.WORD}') AS g FROM {units()}),
+        k AS (SELECT *, unnest(range(3)) AS k FROM c),
+        t AS (SELECT unit_id || '/' || k AS unit_id, list_aggregate([w[i] || g[i + 1] for i in range(200 * k + 1, least(200 * (k + 1), len(w)) + 1)], 'string_agg', '') AS text FROM k WHERE 200 * k < len(w))
+        SELECT unit_id, len(regexp_extract_all(text, '{sql.WORD}')) AS tokens, len([x for x in {sql.SENTENCES} if len(regexp_extract_all(x, '{sql.WORD}')) > 0]) AS sentences FROM t""",
     "D1_language": "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) / nullif(len(regexp_extract_all(text, '\\S')), 0)::DOUBLE > 0.3 THEN 'zh' ELSE 'en' END AS lang FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(-i, t.replace("'", "''")) for i, t in CHINESE) + "))",
     "D2_features_en": f"SELECT * FROM {FEATURES}",
     "D3_features_zh": features_zh(),

@@ -82,3 +82,13 @@ def test_a_file_with_a_hundred_thousand_clusters(spark):
     out = segmentation.cut(all_lines, bounds).groupBy("id").count().agg(F.count("*"), F.min("count"), F.max("count")).first()
     assert tuple(out) == (n - 1, 2, 2)
     assert bounds.filter("problem IS NOT NULL").count() == 1
+
+
+def test_every_two_units_are_a_pair_once(spark):
+    from loomtext.operators import registers
+
+    units = spark.createDataFrame([(f"u{i}",) for i in range(70)] + [("u3",)], "unit_id string")
+    got = [(r.a, r.b) for r in registers.unit_pairs(units).collect()]
+    names = sorted(f"u{i}" for i in range(70))
+    assert sorted(got) == sorted((a, b) for i, a in enumerate(names) for b in names[i + 1 :])
+    assert "NestedLoop" not in registers.unit_pairs(units)._jdf.queryExecution().executedPlan().toString()
