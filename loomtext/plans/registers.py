@@ -232,17 +232,33 @@ TOKENS = f"(SELECT unit_id, len({sql.WORDS}) AS tokens FROM {units()})"
 LEAST = "CASE dim " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.ABSOLUTE_MINIMA.items()) + " ELSE 10 END"
 SUPPORTED = f"""(SELECT a, b, dim FROM (SELECT p.unit_id AS a, q.unit_id AS b, dim, p.value AS x, q.value AS y, p.e AS ex, q.e AS ey FROM e p JOIN e q USING (dim) WHERE p.unit_id < q.unit_id)
     WHERE x <> y AND (dim IN ({sql.quoted(L.ABSOLUTE_MINIMA)}) OR greatest(ex, ey) >= 2) AND greatest(x, y) - least(x, y) >= {LEAST} AND (least(x, y) = 0 OR greatest(x, y) / nullif(least(x, y), 0) > 1.5))"""
+
+
+def _windowed(size: int) -> str:
+    """Windows of so many words; a window is its words with what follows each: matches and the gaps between them alternate."""
+    return f"""(SELECT unit_id || '/' || k AS unit_id, list_aggregate([w[i] || g[i + 1] for i in range({size} * k + 1, least({size} * (k + 1), len(w)) + 1)], 'string_agg', '') AS text
+        FROM (SELECT *, unnest(range(3)) AS k FROM (SELECT unit_id, regexp_extract_all(text, '{sql.WORD}') AS w, regexp_split_to_array(text, '{sql.WORD}') AS g FROM {units()})) WHERE {size} * k < len(w))"""
+
+
+def _splits(e: str, by: str = "") -> str:
+    """Pairs split by the defaults: three dimensions that differ by three times, on five events."""
+    return f"""(SELECT a, b{by} FROM (SELECT p.unit_id AS a, q.unit_id AS b, dim{by}, p.value AS x, q.value AS y, p.e AS ex, q.e AS ey FROM {e} p JOIN {e} q USING (dim{by}) WHERE p.unit_id < q.unit_id)
+        WHERE x <> y AND (dim IN ({sql.quoted(L.ABSOLUTE_MINIMA)}) OR greatest(ex, ey) >= 5) AND greatest(x, y) - least(x, y) >= {LEAST} AND (least(x, y) = 0 OR greatest(x, y) / nullif(least(x, y), 0) > 3) GROUP BY a, b{by} HAVING count(*) >= 3)"""
+
+
+_counted = f"CASE WHEN dim IN ({sql.quoted(L.ABSOLUTE_MINIMA)}) THEN 0 ELSE round_even(value * tokens / 10000, 0) END AS e"
 EVENTS = WITH + f", e AS MATERIALIZED (SELECT f.*, CASE WHEN dim IN ({sql.quoted(L.ABSOLUTE_MINIMA)}) THEN 0 ELSE round_even(value * tokens / 10000, 0) END AS e FROM f JOIN {TOKENS} USING (unit_id)) "
 FAMILY = "CASE WHEN regexp_matches(unit_id, '[0-4]$') THEN 'R1' ELSE 'R2' END"
 CENTRES = f"(SELECT {FAMILY} AS family_id, dim, round(avg(round(value, 6)), 6) AS mean FROM f GROUP BY 1, 2)"
 CLUSTERED = "(SELECT DISTINCT source AS unit_id, s FROM (SELECT source, unnest([source, 'c' || (doc_id % 7)]) AS s FROM documents WHERE lang = 'en'))"
 
 ORACLES = {
-    # a window is its words with what follows each: matches and the gaps between them alternate
-    "D12_windows": f"""WITH c AS (SELECT unit_id, regexp_extract_all(text, '{sql.WORD}') AS w, regexp_split_to_array(text, '{sql.WORD}') AS g FROM {units()}),
-        k AS (SELECT *, unnest(range(3)) AS k FROM c),
-        t AS (SELECT unit_id || '/' || k AS unit_id, list_aggregate([w[i] || g[i + 1] for i in range(200 * k + 1, least(200 * (k + 1), len(w)) + 1)], 'string_agg', '') AS text FROM k WHERE 200 * k < len(w))
-        SELECT unit_id, len(regexp_extract_all(text, '{sql.WORD}')) AS tokens, len([x for x in {sql.SENTENCES} if len(regexp_extract_all(x, '{sql.WORD}')) > 0]) AS sentences FROM t""",
+    "D12_windows": f"SELECT unit_id, len(regexp_extract_all(text, '{sql.WORD}')) AS tokens, len([x for x in {sql.SENTENCES} if len(regexp_extract_all(x, '{sql.WORD}')) > 0]) AS sentences FROM {_windowed(200)}",
+    "D14_pair_stability": f"""WITH e0 AS MATERIALIZED (SELECT f.*, {_counted} FROM {features(units())} f JOIN {TOKENS} USING (unit_id)),
+        e1 AS MATERIALIZED (SELECT split_part(unit_id, '/', 1) AS unit_id, split_part(unit_id, '/', 2) AS k, dim, value, {_counted} FROM (SELECT *, 100 AS tokens FROM {features(_windowed(100))})),
+        s AS (SELECT a, b, true AS split FROM {_splits('e0')}), v AS (SELECT a, b, count(*) AS votes FROM {_splits('e1', ', k')} GROUP BY 1, 2), u AS (SELECT unit_id FROM {units()})
+        SELECT p.unit_id AS a, q.unit_id AS b, coalesce(split, false) AS split, CASE WHEN split THEN coalesce(votes, 0) ELSE 3 - coalesce(votes, 0) END / 3.0::DOUBLE AS agreement
+        FROM u p JOIN u q ON p.unit_id < q.unit_id LEFT JOIN s ON s.a = p.unit_id AND s.b = q.unit_id LEFT JOIN v ON v.a = p.unit_id AND v.b = q.unit_id""",
     "D1_language": "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) / nullif(len(regexp_extract_all(text, '\\S')), 0)::DOUBLE > 0.3 THEN 'zh' ELSE 'en' END AS lang FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(-i, t.replace("'", "''")) for i, t in CHINESE) + "))",
     "D2_features_en": f"SELECT * FROM {FEATURES}",
     "D3_features_zh": features_zh(),
