@@ -149,8 +149,9 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``edited`` has the last third of the text, rounded down, replaced by the first code points of the next
     document, as many or all it has; next is by descending identifier, and the first follows the last. Null
     texts count as empty. A null identifier has no place in that order: such a row is its own next document.
-    Of rows that repeat an identifier each is compared, and the one of the greatest text is what others meet.
-    An empty table gives an empty one. Only identifier and text are read, so other columns cannot clash.
+    Of rows that repeat an identifier each is compared; of them others meet the one whose cut head is greatest,
+    and of equal heads the greatest fingerprint. Bins hold their smallest hash, so ties there are equal values.
+    Very long texts and words are read whole, their shingles in arrays of one row. An empty table gives an empty one. Only identifier and text are read, so other columns cannot clash.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     every = rows.withColumn("_print", packed(F.col("_text")))

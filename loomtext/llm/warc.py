@@ -262,7 +262,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, with_payload: bool = Fals
     null id never is what others refer to, unless its group has only null ids, which then are all responses.
     Rows that repeat the largest id of a group are all responses. An empty table gives an empty one. Only the
     three named columns are read, so others cannot clash. Identifiers may be of any type that casts to a string
-    and back.
+    and back. Pages of any length are written and read whole, one record in memory at a time. Ties do not occur:
+    rows that repeat a page and a payload are one record written twice, under one record id.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     return read(pages.sparkSession, write(pages, least_bytes=least_bytes), with_payload, id_type=kind)
