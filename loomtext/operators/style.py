@@ -44,10 +44,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def lengths(docs: DataFrame, parts: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the distribution of words per part: sentences, merged_sentences or paragraphs."""
+    """id and the distribution of words per part: sentences, merged_sentences or paragraphs; n is 0 without words."""
     cut = {"sentences": T.sentences, "merged_sentences": T.merged_sentences, "paragraphs": T.paragraphs}[parts]
     rows = docs.withColumn("_parts", cut(F.col(text_col))).withColumn("_lengths", T.word_lengths(F.col("_parts")))
-    return rows.select(id_col, T.distribution(F.col("_lengths")).alias("d")).select(id_col, "d.*")
+    rows = rows.select(id_col, F.when(F.col("_lengths").isNotNull(), F.lit(0)).cast("long").alias("_none"), T.distribution(F.col("_lengths")).alias("d")).select(id_col, "_none", "d.*")
+    return rows.withColumn("n", F.coalesce("n", "_none")).drop("_none")
 
 
 def content_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
