@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +60,27 @@ def join_hyphens(text: Column) -> Column:
     return T.replace_matches(text, L.SOFT_HYPHEN, join)
 
 
+def _any_of(forms: Iterable[str]) -> str:
+    """A pattern of these forms that shares their beginnings: a word is left at its first letter that none has.
+
+    Longer forms are tried first, as in a list of them by length.
+    """
+    tails: dict[str, list[str]] = {}
+    for form in forms:
+        tails.setdefault(form[:1], []).append(form[1:])
+    ends = tails.pop("", None)
+    if not tails:
+        return ""
+    open_ = "|".join(re.escape(first) + _any_of(rest) for first, rest in sorted(tails.items()))
+    return f"(?:{open_})" + ("?" if ends else "")
+
+
 def repair_ligatures(text: Column, lexicon: dict[str, str] = L.LIGATURES, aggressive: bool = False) -> Column:
     """One pass, longest form first, case-sensitive; what a replacement made is not looked at again."""
     use = {k: v for k, v in lexicon.items() if aggressive or k not in L.AMBIGUOUS}
     if not use:
         return text
-    pattern = r"\b(?:" + "|".join(sorted(use, key=len, reverse=True)) + r")\b"
+    pattern = r"\b" + _any_of(use) + r"\b"
     table = F.create_map(*[F.lit(x) for pair in use.items() for x in pair])
     return T.replace_matches(text, pattern, lambda m: F.element_at(table, m))
 
