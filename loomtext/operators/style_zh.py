@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import lexicons as L
 from loomtext.functions import text as T
+from loomtext.operators import counted
 
 # Markup of a note, in order of removal.
 MARKUP = ((r"(?s)^---\n.*?\n---\n", ""), (r"(?s)```.*?```", ""), (r"(?m)^\s*#{1,6}\s.*$", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\|", " "))
@@ -40,14 +41,20 @@ def _stripped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, strip_markup(F.col(text_col)).alias("_t")).withColumn("_n", han(F.col("_t"))).filter("_n > 0")
 
 
+def _counted(docs: DataFrame, parts: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
+    """id, _n (Han characters), _c: the stripped texts' counts of each part, from one visit to each text."""
+    rows = docs.select(id_col, counted.literal_counts(strip_markup(F.col(text_col)), parts).alias("_c"))
+    return rows.withColumn("_n", F.get("_c", F.lit(0))).filter("_n > 0")
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = _stripped(docs, id_col, text_col)
-    t, n = F.col("_t"), F.col("_n")
-    rows = rows.withColumns({"_h": phrases(t, L.HEDGES_ZH), "_b": phrases(t, L.BOOSTERS_ZH), "_p1": phrases(t, L.FIRST_ZH), "_p2": phrases(t, L.SECOND_ZH), "_p3": phrases(t, L.THIRD_ZH)})
-    people = F.greatest(F.lit(1), F.col("_p1") + F.col("_p2") + F.col("_p3"))
+    groups = {"_h": L.HEDGES_ZH, "_b": L.BOOSTERS_ZH, "_p1": L.FIRST_ZH, "_p2": L.SECOND_ZH, "_p3": L.THIRD_ZH} | MARKS
+    rows = _counted(docs, counted.literals_of(groups), id_col, text_col)
+    rows = rows.select(id_col, "_n", *[v.alias(k) for k, v in counted.totals(F.col("_c"), groups).items()])
+    n, people = F.col("_n"), F.greatest(F.lit(1), F.col("_p1") + F.col("_p2") + F.col("_p3"))
     return rows.select(
         id_col, n.alias("han"), T.per(F.col("_h"), n, 10000).alias("hedges_per_10k"), T.per(F.col("_b"), n, 10000).alias("boosters_per_10k"), F.try_divide(F.col("_h").cast("double"), F.col("_b")).alias("hedge_booster_ratio"),
-        *[T.per(phrases(t, v), n, 10000).alias(f"{k}_per_10k") for k, v in MARKS.items()],
+        *[T.per(F.col(k), n, 10000).alias(f"{k}_per_10k") for k in MARKS],
         *[(100.0 * F.col(f"_p{k}") / people).alias(f"{name}_person_pct") for k, name in enumerate(("first", "second", "third"), 1)])
 
 
@@ -60,15 +67,22 @@ def lengths(docs: DataFrame, ends: str, id_col: str = "doc_id", text_col: str =
 
 def phrase_rates(docs: DataFrame, terms: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, per_10k) of every term; rates below .05 mark conspicuous absence."""
-    rows = _stripped(docs, id_col, text_col)
-    each = F.array(*[F.struct(F.lit(w).alias("term"), T.per(T.literal_count(F.col("_t"), w), F.col("_n"), 10000).alias("per_10k")) for w in terms])
+    rows = _counted(docs, terms, id_col, text_col)
+    each = F.array(*[F.struct(F.lit(w).alias("term"), T.per(F.get("_c", F.lit(k)), F.col("_n"), 10000).alias("per_10k")) for k, w in enumerate(terms, 1)])
     return rows.select(id_col, F.explode(each).alias("e")).select(id_col, "e.*")
 
 
-def ngrams(docs: DataFrame, n: int, top: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The most frequent Han n-grams without a stop character, ties by first occurrence."""
-    rows = _stripped(docs, id_col, text_col).select(id_col, F.array_join(F.regexp_extract_all("_t", F.lit(L.HAN), F.lit(0)), "").alias("_s")).filter(F.length("_s") >= n)
-    grams = rows.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("_s") - (n - 1)), lambda i: F.substr(F.col("_s"), i, F.lit(n)))).alias("position", "gram"))
-    kept = grams.filter(~F.col("gram").rlike(f"[{L.STOP_CHARS_ZH}]")).groupBy(id_col, "gram").agg(F.count("*").alias("hits"), F.min("position").alias("first_at"))
-    order = Window.partitionBy(id_col).orderBy(F.desc("hits"), "first_at")
-    return kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= (min(top, TOP_4) if n == 4 else top)).select(id_col, "gram", "hits", "place")
+def ngrams(docs: DataFrame, sizes: tuple[int, ...], top: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The most frequent Han n-grams without a stop character for each n of ``sizes`` (up to four), ties by first
+    occurrence. A text is stripped once and its grams are counted as integers where it is: nothing is shuffled."""
+    if not all(1 <= n <= 4 for n in sizes):
+        raise ValueError("four characters at most fit one integer")
+    text = strip_markup(F.col(text_col))
+
+    def of(stripped: str | None):
+        han = counted.han(stripped)
+        for n in sizes:
+            for gram, hits in counted.han_ngrams(han, n, min(top, TOP_4) if n == 4 else top):
+                yield gram, hits, n
+
+    return counted.ranked(docs.select(id_col, text.alias(text_col)), id_col, text_col, "gram", of, "n int")

@@ -131,8 +131,7 @@ def b19(spark, d):
 
 
 def b20(spark, d):
-    parts = [style_zh.ngrams(chinese(spark, d), n).withColumn("n", F.lit(n)) for n in (2, 3, 4)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return style_zh.ngrams(chinese(spark, d), (2, 3, 4))
 
 
 TERMS = ("北京大学", "人工智能", "图书馆", "天气")
