@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import lexicons as L
 from loomtext.functions import text as T
+from loomtext.operators import counted
 
 CHUNK = 500
 TOP_WORDS, TOP_BIGRAMS = 25, 15
@@ -74,6 +77,16 @@ def top_bigrams(content: DataFrame, k: int = TOP_BIGRAMS, id_col: str = "doc_id"
     return _first_k(pairs.agg(F.count("*").alias("hits"), F.min("position").alias("first_at")), "bigram", k, id_col)
 
 
+def document_top_words(docs: DataFrame, k: int = TOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`top_words` gives, counted within each document's row: a row is a document, nothing is shuffled."""
+    return counted.ranked(docs, id_col, text_col, "word", lambda text: counted.top(counted.content(text), k))
+
+
+def document_top_bigrams(docs: DataFrame, k: int = TOP_BIGRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`top_bigrams` gives, likewise: the pairs of a document never leave its row."""
+    return counted.ranked(docs, id_col, text_col, "bigram", lambda text: counted.top(counted.bigrams(text), k))
+
+
 def absent_common(docs: DataFrame, below: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, word): common content words with fewer than ``below`` a thousand words."""
     rows = docs.withColumn("_w", T.words(F.col(text_col)))
@@ -81,8 +94,8 @@ def absent_common(docs: DataFrame, below: float = 0.2, id_col: str = "doc_id", t
     return rows.select(id_col, F.explode(F.filter(F.array(*map(F.lit, L.COMMON_CONTENT)), lambda w: rate(w) < below)).alias("word"))
 
 
-def joined_by(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined_by(docs: DataFrame, key: str, order: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """key and the texts of its documents in order of id, a blank line between: measures of a whole corpus are
     taken over this text, as sentences and neighbours may span documents. Meant for keys of bounded size."""
-    rows = docs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(id_col, text_col))).alias("_t"))
+    rows = docs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, text_col))).alias("_t"))
     return rows.select(key, F.array_join(F.transform("_t", lambda t: t[text_col]), "\n\n").alias(text_col))

@@ -95,11 +95,11 @@ def b10(spark, d):
 
 
 def b11(spark, d):
-    return style.top_words(style.content_words(_docs(spark, d)))
+    return style.document_top_words(_docs(spark, d))
 
 
 def b12(spark, d):
-    return style.top_bigrams(style.content_words(_docs(spark, d)))
+    return style.document_top_bigrams(_docs(spark, d))
 
 
 def b13(spark, d):
