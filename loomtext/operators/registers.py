@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import lexicons as L
 from loomtext.functions import text as T
-from loomtext.operators import style_zh
+from loomtext.operators import counted, style_zh
 from loomtext.operators.scan import scan
 
 # Defaults of discovery.
@@ -53,11 +53,11 @@ def features_en(units: DataFrame, terms: tuple[str, ...] = (), flagship: tuple[s
 
 
 def features_zh(units: DataFrame, terms: tuple[str, ...] = (), flagship: tuple[str, ...] = (), extra: tuple[str, ...] = ()) -> DataFrame:
-    rows, out = _lengths(units, style_zh.han_lengths(F.col("text"), L.SENTENCE_END_ZH), LONG_ZH)
-    text = F.col("text")
-    rate = lambda hits: T.per(hits, style_zh.han(text), 10000)
     lists = {"question_rate": ("？", "?"), "connective_rate": L.SCAFFOLDING_ZH, "hedge_rate": L.HEDGES_ZH, "booster_rate": L.BOOSTERS_ZH, "second_person_rate": L.SECOND_ZH, "first_person_rate": L.FIRST_ZH, "title_mark_rate": ("《",), "core_term_density": terms, "flagship_term_density": flagship}
-    out |= {k: rate(style_zh.phrases(text, tuple(v))) for k, v in lists.items()}
+    lists = {k: tuple(v) for k, v in lists.items()}
+    rows = units.select("unit_id", *extra, style_zh.han_lengths(F.col("text"), L.SENTENCE_END_ZH).alias("_han"), counted.literal_counts(F.col("text"), counted.literals_of(lists)).alias("_c"))
+    rows, out = _lengths(rows, F.col("_han"), LONG_ZH)
+    out |= {k: T.per(hits, F.get("_c", F.lit(0)), 10000) for k, hits in counted.totals(F.col("_c"), lists).items()}
     return _long(rows, {k: out[k] for k in L.DIMENSIONS}, list(extra))
 
 
@@ -66,16 +66,35 @@ def observations(units: DataFrame) -> DataFrame:
     return units.select("unit_id", F.size(T.words(F.col("text"))).cast("long").alias("tokens"), F.size(T.word_lengths(T.sentences(F.col("text")))).cast("long").alias("sentences"))
 
 
-def unit_problems(units: DataFrame, least_chars: int = 0) -> DataFrame:
+def text_sizes(units: DataFrame) -> DataFrame:
+    """unit_id, chars, han, visible (characters but white space) of units (unit_id, text)."""
+    text = F.col("text")
+    return units.select("unit_id", F.length(text).cast("long").alias("chars"), style_zh.han(text).alias("han"), T.count(text, r"\S").alias("visible"))
+
+
+def unit_sizes(docs: DataFrame, work: str, text_col: str = "text") -> DataFrame:
+    """What :func:`text_sizes` gives for the texts of works, a blank line between their documents, from sums over these."""
+    rows = text_sizes(docs.select(F.col(work).alias("unit_id"), F.col(text_col).alias("text")))
+    between = 2 * F.greatest(F.count("chars") - 1, F.lit(0))
+    sums = rows.groupBy("unit_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("han", "visible")], (F.coalesce(F.sum("chars"), F.lit(0)) + between).alias("chars"))
+    return sums.select("unit_id", "chars", "han", "visible")
+
+
+def size_problems(sizes: DataFrame, least_chars: int = 0) -> DataFrame:
     """(unit_id, problem): repeated identifiers, too short texts, and a second language in the set."""
-    repeated = units.groupBy("unit_id").count().filter("count > 1").select("unit_id", F.lit("repeated unit").alias("problem"))
-    short = units.filter(F.length("text") < least_chars).select("unit_id", F.lit("too short").alias("problem"))
-    langs = units.select("unit_id", language(F.col("text")).alias("lang"))
+    repeated = sizes.groupBy("unit_id").count().filter("count > 1").select("unit_id", F.lit("repeated unit").alias("problem"))
+    short = sizes.filter(F.col("chars") < least_chars).select("unit_id", F.lit("too short").alias("problem"))
+    langs = sizes.select("unit_id", F.when(F.try_divide("han", "visible") > HAN_SHARE, "zh").otherwise("en").alias("lang"))
     first = langs.agg(F.min("lang").alias("lo"), F.max("lang").alias("hi"))
     mixed = langs.join(F.broadcast(first.filter("lo <> hi")), langs["lang"] == F.col("hi")).select("unit_id", F.lit("mixed languages").alias("problem"))
     return repeated.unionByName(short).unionByName(mixed)
 
 
+def unit_problems(units: DataFrame, least_chars: int = 0) -> DataFrame:
+    """:func:`size_problems` of units (unit_id, text)."""
+    return size_problems(text_sizes(units), least_chars)
+
+
 def pairs(features: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, dim, x, y) for a < b: units are few, and dim keeps the join an equi-join."""
     left = features.select(F.col("unit_id").alias("a"), *by, "dim", F.col("value").alias("x"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import lexicons as L
 from loomtext.operators import registers as R
 from loomtext.operators import style, works
+from loomtext.operators.scan import staged
 from loomtext.plans import sql
 from loomtext.plans.style import CHINESE, ZH, chinese
 
@@ -25,12 +26,13 @@ def _english(spark, d):
     return _docs(spark, d).filter("lang = 'en'")
 
 
-def _features(spark, d):
-    return works.features_en(_english(spark, d), "source", ["doc_id"], TERMS, FLAGSHIP)
+def _table(spark, d):
+    """What the texts of the units are read for, once: a row a unit."""
+    return works.unit_table(_english(spark, d), "source", ["doc_id"], TERMS, FLAGSHIP)
 
 
-def _tokens(spark, d):
-    return works.observations(_english(spark, d), "source", ["doc_id"]).select("unit_id", "tokens")
+def _features(spark, d):
+    return works.features_of(_table(spark, d))
 
 
 #: Families for queries that need some: units in two groups by the last digit of their name.
@@ -62,8 +64,9 @@ def d4(spark, d):
 
 
 def d5(spark, d):
-    units = _units(spark, d)
-    return R.unit_problems(units.unionByName(units.filter("unit_id = 'src1'")).unionByName(spark.createDataFrame([("zz", "他们都是大学的人")], "unit_id string, text string")), least_chars=20)
+    units = staged(R.unit_sizes(_english(spark, d), "source"), "sizes")
+    more = R.text_sizes(spark.createDataFrame([("zz", "他们都是大学的人")], "unit_id string, text string"))
+    return R.size_problems(units.unionByName(units.filter("unit_id = 'src1'")).unionByName(more), least_chars=20)
 
 
 def d6(spark, d):
@@ -79,19 +82,24 @@ def d8(spark, d):
 
 
 def d9(spark, d):
-    return R.supported(_features(spark, d), _tokens(spark, d), ratio=1.5, least_events=2)
+    return _supported(_table(spark, d))
+
+
+def _supported(table):
+    return R.supported(works.features_of(table), table.select("unit_id", "tokens"), ratio=1.5, least_events=2)
 
 
 def d10(spark, d):
-    return R.events(_features(spark, d), _tokens(spark, d)).select("unit_id", "dim", F.col("events").cast("double").alias("events"))
+    table = _table(spark, d)
+    return R.events(works.features_of(table), table.select("unit_id", "tokens")).select("unit_id", "dim", F.col("events").cast("double").alias("events"))
 
 
 def d11(spark, d):
-    return R.adequacy(works.observations(_english(spark, d), "source", ["doc_id"]))
+    return R.adequacy(_table(spark, d).select("unit_id", "tokens", "sentences"))
 
 
 def d12(spark, d):
-    cut = R.windows(_units(spark, d), 200)
+    cut = R.windows(works.beginnings(_english(spark, d), "source", ["doc_id"], 200 * R.WINDOWS), 200)
     return R.observations(cut.withColumn("unit_id", F.concat_ws("/", "unit_id", "k")))
 
 
@@ -100,15 +108,17 @@ def d13(spark, d):
 
 
 def d14(spark, d):
-    units = _units(spark, d)
-    cut = R.windows(units, 100)
+    """Windows need the beginnings of units only; what is asked of whole units comes from their table."""
+    table = works.unit_table(_english(spark, d), "source", ["doc_id"])
+    cut = staged(R.windows(works.beginnings(_english(spark, d), "source", ["doc_id"], 100 * R.WINDOWS), 100), "windows")
     per = R.supported(R.features_en(cut, extra=("k",)), cut.select("unit_id", "k", F.lit(100).alias("tokens")), by=("k",))
-    return R.pair_stability(units, R.forced_splits(R.supported(R.features_en(units), _tokens(spark, d))), R.forced_splits(per, by=("k",)))
+    return R.pair_stability(table, R.forced_splits(R.supported(works.features_of(table), table.select("unit_id", "tokens"))), R.forced_splits(per, by=("k",)))
 
 
 def d15(spark, d):
-    z = R.z_distances(R.z_scores(_features(spark, d)))
-    return R.families(spark, _units(spark, d), z, R.forced_splits(d9(spark, d), dims=2))
+    table = _table(spark, d)
+    z = R.z_distances(R.z_scores(works.features_of(table)))
+    return R.families(spark, table.select("unit_id"), z, R.forced_splits(_supported(table), dims=2))
 
 
 def d17(spark, d):
@@ -121,9 +131,10 @@ def d18(spark, d):
 
 def d19(spark, d):
     """Few real features move together, so three follow one here."""
-    base = _features(spark, d).filter("dim = 'mean_sentence_len'")
+    features = _features(spark, d)
+    base = features.filter("dim = 'mean_sentence_len'")
     follow = [base.withColumn("dim", F.lit(k)).withColumn("value", F.col("value") * m + 1) for k, m in (("hedge_rate", 2), ("booster_rate", -3), ("connective_rate", 5))]
-    rest = _features(spark, d).filter("dim NOT IN ('hedge_rate', 'booster_rate', 'connective_rate')")
+    rest = features.filter("dim NOT IN ('hedge_rate', 'booster_rate', 'connective_rate')")
     return R.gradients(rest.unionByName(follow[0]).unionByName(follow[1]).unionByName(follow[2]), _members(spark, d))
 
 
