@@ -35,9 +35,9 @@ def _bound(value: Column, of) -> Column:
     return F.transform(F.array(value), of)[0]
 
 
-def _opened(v: Column) -> Column:
-    """Struct of v, its members m, its elements a, and its kind."""
-    m, a = _object(v), _array(v)
+def _kinded(t: Column) -> Column:
+    """The struct of v, its members m and its elements a with its kind."""
+    v, m, a = t["v"], t["m"], t["a"]
     scalar = F.schema_of_variant(v)
     number = F.when(scalar == "BIGINT", "integer").otherwise(F.when(F.try_variant_get(v, "$", "double") == F.floor(F.try_variant_get(v, "$", "double")), "integer").otherwise("number"))
     kind = F.when(m.isNotNull(), "object").when(a.isNotNull(), "array").when(F.is_variant_null(v), "null").when(scalar == "STRING", "string").when(scalar == "BOOLEAN", "boolean").otherwise(number)
@@ -66,10 +66,17 @@ class _Compiler:
             return F.expr(_NONE)
         if schema is False:
             return F.array(F.struct(path.alias("path"), F.lit("false").alias("rule")))
-        return _bound(_opened(v), lambda s: self.rules(s, schema, path, refs))
+        # each step is bound, or what stands before would be computed again wherever it is named
+        return _bound(v, lambda x: _bound(_parted(x), lambda t: _bound(_kinded(t), lambda s: self.rules(s, schema, path, refs))))
 
-    def valid(self, v: Column, schema: Any, path: Column, refs: int) -> Column:
-        return F.size(self.check(v, schema, path, refs)) == 0
+    def again(self, s: Column, schema: Any, path: Column, refs: int) -> Column:
+        """:meth:`check` of a value that is open already."""
+        if isinstance(schema, bool) or not schema:
+            return self.check(s["v"], schema, path, refs)
+        return self.rules(s, schema, path, refs)
+
+    def valid(self, s: Column, schema: Any, path: Column, refs: int) -> Column:
+        return F.size(self.again(s, schema, path, refs)) == 0
 
     def rules(self, s: Column, schema: dict, path: Column, refs: int) -> Column:
         v, m, a, kind = s["v"], s["m"], s["a"], s["kind"]
@@ -129,21 +136,21 @@ class _Compiler:
             elif rule == "items":
                 under(kind == "array", F.flatten(F.transform(a, self.item_of(x, path, refs))))
             elif rule == "allOf":
-                found.extend(self.check(v, sub, path, refs) for sub in x)
+                found.extend(self.again(s, sub, path, refs) for sub in x)
             elif rule in ("anyOf", "oneOf"):
-                n = sum((self.valid(v, sub, path, refs).cast("int") for sub in x), F.lit(0))
+                n = sum((self.valid(s, sub, path, refs).cast("int") for sub in x), F.lit(0))
                 broken(rule, n < 1 if rule == "anyOf" else n != 1)
             elif rule == "not":
-                broken(rule, self.valid(v, x, path, refs))
+                broken(rule, self.valid(s, x, path, refs))
             elif rule == "if":
-                holds = self.valid(v, x, path, refs)
+                holds = self.valid(s, x, path, refs)
                 for branch, when in (("then", holds), ("else", ~holds)):
                     if branch in schema:
-                        under(when, self.check(v, schema[branch], path, refs))
+                        under(when, self.again(s, schema[branch], path, refs))
             elif rule == "$ref":
                 if refs >= MOST_REFS:
                     raise ValueError(f"references are nested more than {MOST_REFS} deep at {x}")
-                found.append(self.check(v, self.ref(x), path, refs + 1))
+                found.append(self.again(s, self.ref(x), path, refs + 1))
             else:
                 raise ValueError(f"the keyword {rule} is not known")
         return F.concat(*found) if found else F.expr(_NONE)
@@ -173,7 +180,7 @@ def violations(value: Column, schema: dict) -> Column:
     the schema, nested at most eight deep; formats are annotations.
     """
     absent = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
-    return F.when(value.isNull(), absent).otherwise(_Compiler(schema).check(value, schema, F.lit("")))
+    return _bound(value, lambda v: F.when(v.isNull(), absent).otherwise(_Compiler(schema).check(v, schema, F.lit(""))))
 
 
 def contract_violations(records: DataFrame, schema: dict, id_col: str, json_col: str) -> DataFrame:
