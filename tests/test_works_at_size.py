@@ -24,3 +24,30 @@ def _odd_texts(seed, n=300):
 def test_words_are_those_of_the_pattern():
     for text in _odd_texts(1):
         assert counted.words(text) == [w.lower() for w in re.findall(L.WORD, text or "")], text
+
+
+def test_content_ends_are_the_first_and_last_content_words():
+    rng = random.Random(2)
+    for text in [*_odd_texts(3), "the " * 500 + "word " + "of " * 900, "word" * 300, "a b c " * 300, *[" ".join(rng.choice(["the", "of", "it", "-", "house"]) for _ in range(80)) for _ in range(50)]]:
+        held = counted.content(text)
+        assert counted._ends(text) == {"first": held[0] if held else None, "last": held[-1] if held else None}, text
+
+
+def test_rare_bigrams_stay_in_their_task(spark):
+    rng = random.Random(6)
+    rare = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
+    docs = [(w, i, " ".join(x for _ in range(60) for x in (rare(), rare(), *rng.choice([("heavy", "water"), ("water", "works"), ("zebra",)])))) for i in range(60) for w in ("big", None)]
+    docs += [("few", 1, "alpha"), ("few", 2, "beta alpha beta"), ("few", 3, ""), ("ties", 1, "delta gamma delta gamma omega sigma omega sigma")]
+    df = spark.createDataFrame(docs, "work string, i long, text string").repartition(5)
+    over = df.filter("false").select("work", F.lit("").alias("bigram"))
+    kept = works.promising(df, over, "work", 2)
+    counts = counted.partial_counts(kept, "work", ["i"], "text", "bigram", counted.bigrams_in(), ["_keep"])
+    of = lambda rows, w: {r.bigram for r in rows if r.work == w}
+    rows = counts.collect()
+    everything = Counter(b for w, _, t in docs if w == "big" for b in counted.bigrams(t))
+    assert len(everything) > 5000 and {b for b, _ in everything.most_common(2)} <= of(rows, "big") and len(of(rows, "big")) < 500
+    assert of(rows, "few") == {"beta alpha", "alpha beta"}
+    held = works.top_bigrams(df, "work", ["i"], 3).collect()
+    for w in ("big", None, "few", "ties"):
+        found = counted.top(counted.bigrams("\n\n".join(t for v, _, t in sorted((d for d in docs if d[0] == w), key=lambda d: d[1]))), 3)
+        assert sorted((r.place, r.bigram, r.hits) for r in held if r.work == w) == [(k, b, n) for k, (b, n) in enumerate(found, 1)]
