@@ -33,6 +33,20 @@ def test_content_ends_are_the_first_and_last_content_words():
         assert counted._ends(text) == {"first": held[0] if held else None, "last": held[-1] if held else None}, text
 
 
+def test_prose_is_what_the_expressions_give(spark):
+    docs = spark.createDataFrame(list(enumerate(t for t in _odd_texts(4) if t is not None)), "i long, text string").repartition(3)
+    text, bare = F.col("text"), F.regexp_replace("text", T.unicode(r"^\s+|\s+$"), "")
+    last = lambda p: F.regexp_replace(F.lower(F.element_at(F.split(p, T.unicode(r"\s+"), -1), -1)), r"\.+$", "")
+    for merged in (False, True):
+        joins = (lambda p: last(p).isin(*L.ABBREVIATIONS)) if merged else (lambda p: F.lit(False))
+        pieces = F.transform(T.sentences(text), lambda p: F.struct(F.regexp_count(p, F.lit(L.WORD)).cast("long").alias("n"), joins(p).alias("joins")))
+        plain = docs.select("i", counted.cut_pieces(pieces).alias("c"), bare.rlike("""^["'(A-Z0-9]""").alias("o"), bare.rlike("[.!?]$").alias("e"), T.word_lengths(T.paragraphs(text)).alias("p"))
+        want = {r.i: (sorted(r.c.inside), r.c.ends, r.o, r.e, Counter(r.p)) for r in plain.collect()}
+        found = docs.select("i", counted.prose(text, merged).alias("c"))
+        got = {r.i: (sorted(r.c.inside), r.c.ends, r.c.opens, r.c.closes, Counter({h.length: h.n for h in r.c.paragraphs})) for r in found.collect()}
+        assert got == want
+
+
 def test_rare_bigrams_stay_in_their_task(spark):
     rng = random.Random(6)
     rare = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
