@@ -47,6 +47,26 @@ def test_prose_is_what_the_expressions_give(spark):
         assert got == want
 
 
+def test_chunks_are_cut_where_the_work_has_them(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.choice([0, 1, 3, 7, 8, 30]))) for _ in range(40)]
+    sizes = [len(t.split()) for t in texts]
+    rows = [(i, t, sum(sizes[:i])) for i, t in enumerate(texts)]
+    got = spark.createDataFrame(rows, "i long, text string, b long").select("i", counted.chunk_parts(F.col("text"), F.col("b"), 7).alias("c")).collect()
+    whole = " ".join(texts).split()
+    chunks = [whole[k : k + 7] for k in range(0, len(whole), 7)]
+    shared = {}
+    for r in got:
+        for p in r.c.parts:
+            words, m = shared.setdefault(p.chunk, (set(), [0]))
+            assert len(p.w.split()) == len(set(p.w.split()))  # repeated words are sent once
+            words.update(p.w.split())
+            m[0] += p.m
+    assert all(words == set(chunks[k]) and m == [len(chunks[k])] for k, (words, m) in shared.items())
+    inner = [c for k, c in enumerate(chunks) if k not in shared]
+    assert sum(r.c.chunks for r in got) == len(inner) and sum(r.c.distinct for r in got) == sum(len(set(c)) for c in inner)
+
+
 def test_rare_bigrams_stay_in_their_task(spark):
     rng = random.Random(6)
     rare = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
@@ -65,3 +85,15 @@ def test_rare_bigrams_stay_in_their_task(spark):
     for w in ("big", None, "few", "ties"):
         found = counted.top(counted.bigrams("\n\n".join(t for v, _, t in sorted((d for d in docs if d[0] == w), key=lambda d: d[1]))), 3)
         assert sorted((r.place, r.bigram, r.hits) for r in held if r.work == w) == [(k, b, n) for k, (b, n) in enumerate(found, 1)]
+
+
+def test_whole_works_equal_their_joined_texts_on_odd_texts(spark):
+    texts = _odd_texts(8, 120)
+    docs = [(f"w{i % 2}", i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "work string, i long, text string").repartition(5)
+    rows = works.english(df, "work", ["i"])
+    kept = {(r.work, r.i): r.text for r in rows.collect()}
+    joined = spark.createDataFrame([(w, "\n\n".join(t for (v, _), t in sorted(kept.items()) if v == w)) for w in ("w0", "w1")], "doc_id string, text string")
+    got = {r.work: r for r in works.measures_en(rows, "work", ["i"]).collect()}
+    for r in style.measured(joined).collect():
+        assert got[r.doc_id].words == r.n_words and abs(got[r.doc_id].mean_segment_ttr_500 - r.mean_segment_ttr_500) < 1e-12
