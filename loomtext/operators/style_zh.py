@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +14,22 @@ from loomtext.operators import counted
 
 # Markup of a note, in order of removal.
 MARKUP = ((r"(?s)^---\n.*?\n---\n", ""), (r"(?s)```.*?```", ""), (r"(?m)^\s*#{1,6}\s.*$", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\|", " "))
+# Of each, literals without any of which it does not occur: looking for them is far cheaper than the expression.
+MARKUP_NEEDS = (("---\n",), ("```",), ("#",), (">",), ("-", "*", "+"), ("](",), ("|",))
 MARKS = {"question": ("？", "?"), "exclamation": ("！", "!"), "dash": ("——",), "semicolon": ("；", ";"), "parenthetical": ("（", "("), "quote": ("“", "「"), "book_title": ("《",), "interpunct": ("·",)}
 TOP, TOP_4 = 25, 15
 
 
-def strip_markup(text: Column) -> Column:
-    for pattern, new in MARKUP:
-        text = F.regexp_replace(text, T.unicode(pattern), new)
+def without_markup(at: int, text: Column) -> Column:
+    """``text`` without the markup of one place of MARKUP."""
+    may = functools.reduce(operator.or_, [F.contains(text, F.lit(part)) for part in MARKUP_NEEDS[at]])
+    return F.when(may, F.regexp_replace(text, T.unicode(MARKUP[at][0]), MARKUP[at][1])).otherwise(text)
+
+
+def strip_markup(text: Column, first: int = 0) -> Column:
+    """``text`` without markup, that of MARKUP before place ``first`` left."""
+    for at in range(first, len(MARKUP)):  # bound to a variable: the text before would be made for each of its uses
+        text = F.transform(F.array(text), functools.partial(without_markup, at))[0]
     return text
 
 

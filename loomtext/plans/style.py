@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import lexicons as L
 from loomtext.functions import text as T
-from loomtext.operators import style, style_zh
+from loomtext.operators import counted, style, style_zh
 from loomtext.plans import sql
 from loomtext.sources import html
 
@@ -33,10 +33,15 @@ LATIN, HAN_FOR = "eatioEnurs.,?;l", "我你不是的他北京大学。，？；
 MARKUP_FOR = ("# 标题一\n", "> 引文", "- 一项\n* 二项\n", "---\ntitle: 天气\n---\n", "```\n代码\n```\n", "[链接文字](http://x) | 表格 ", "")
 
 
+def as_chinese(docs, *keep):
+    """keep, doc_id, text of the documents as Chinese texts."""
+    markup = F.array(*map(F.lit, MARKUP_FOR))[(F.col("doc_id") % 7).cast("int")]
+    return docs.select(*keep, "doc_id", F.concat(markup, counted.translated(F.col("text"), LATIN, HAN_FOR)).alias("text"))
+
+
 def chinese(spark, d):
     """(doc_id, text): the documents as Chinese texts, and the literal ones under negative identifiers."""
-    markup = F.array(*map(F.lit, MARKUP_FOR))[(F.col("doc_id") % 7).cast("int")]
-    docs = _docs(spark, d).select("doc_id", F.concat(markup, F.translate("text", LATIN, HAN_FOR)).alias("text"))
+    docs = as_chinese(_docs(spark, d))
     return docs.unionByName(spark.createDataFrame([(-i, t) for i, t in CHINESE], "doc_id long, text string"))
 
 

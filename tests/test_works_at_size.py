@@ -87,6 +87,24 @@ def test_rare_bigrams_stay_in_their_task(spark):
         assert sorted((r.place, r.bigram, r.hits) for r in held if r.work == w) == [(k, b, n) for k, (b, n) in enumerate(found, 1)]
 
 
+def test_markup_and_letters_as_the_expressions_have_them(spark):
+    rng = random.Random(7)
+    bits = ["---\n", "t: x\n", "```", "```\n", "# h\n", "## \n", " > q\n", ">", "- a\n", "* ", "+\t", "-", "[a](b)", "[", "](", ")", "|", "\n", "\r", " ", "\x85# x", "正文。", "a, b.", " "]
+    docs = spark.createDataFrame([(i, "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 4, 30])))) for i in range(400)] + [(-1, None), (-2, "---\na\n---\nb")], "i long, text string")
+    plain = F.col("text")
+    for pattern, new in style_zh.MARKUP:
+        plain = F.regexp_replace(plain, T.unicode(pattern), new)
+    out = docs.select(style_zh.strip_markup(F.col("text")).alias("a"), plain.alias("b"), counted.translated(F.col("text"), LATIN, HAN_FOR).alias("c"), F.translate("text", LATIN, HAN_FOR).alias("d"))
+    assert out.filter("NOT (a <=> b AND c <=> d)").count() == 0
+
+
+def test_texts_are_not_shuffled_to_learn_which_is_first(spark):
+    docs = spark.range(50).select(F.lit("w").alias("work"), F.col("id").alias("i"), F.lit("---\nx\n---\n日").alias("text"))
+    found = works.chinese(docs, "work", ["i"])
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sum(r._t.startswith("日") for r in found.collect()) == 1
+
+
 def test_whole_works_equal_their_joined_texts_on_odd_texts(spark):
     texts = _odd_texts(8, 120)
     docs = [(f"w{i % 2}", i, t) for i, t in enumerate(texts)]
