@@ -10,8 +10,8 @@ from loomtext.operators import counted, style, style_zh, works
 from loomtext.plans.style import HAN_FOR, LATIN
 from pyspark.sql import functions as F
 
-ODD = ["Mr.", "e.g.", "E.G...", "vs", "etc.", "no.", "Time", "people say.", "Yes!", "no?", "'tis", "-x", "--", "-'", "'", "(A)", '"Q."', "9", "don't-", "\xe9", "na\xefve.", "K.", "K", "ſt.", "日本。", "x" * 40 + ".", "\x1c", "​", "\U00020000."]
-BLANKS = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\v", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", " \n \n ", "\n\x85\n"]
+ODD = ["Mr.", "e.g.", "E.G...", "vs", "etc.", "no.", "Time", "people say.", "Yes!", "no?", "'tis", "-x", "--", "-'", "'", "(A)", '"Q."', "9", "don't-", "x" * 40 + ".", "\x1c", *map(chr, (0xE9, 0x200B, 0x212A, 0x17F, 0x20000)), chr(0x17F) + "t.", chr(0x65E5) + chr(0x3002)]
+BLANKS = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\v", " \n \n ", "\n\x85\n", *map(chr, (0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000))]
 
 
 def _odd_texts(seed, n=300):
