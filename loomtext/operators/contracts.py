@@ -7,11 +7,15 @@ its path. Keywords that the compiler does not know are an error, never ignored.
 from __future__ import annotations
 
 import json
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Keywords that look into a value, and those whose schemas apply to the value itself.
+INSIDE = frozenset("minItems maxItems uniqueItems minProperties required properties additionalProperties items".split())
+ITSELF = frozenset("allOf anyOf oneOf not if then else $ref".split())
 ANNOTATIONS = frozenset("$schema $id $defs $comment title description default examples format definitions".split())
 MOST_REFS, DEEPEST = 8, 8
 _NONE = "cast(array() as array<struct<path:string,rule:string>>)"
@@ -30,27 +34,58 @@ def _array(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _bound(value: Column, of) -> Column:
-    """``of(value)``, the value computed once: a lambda's variable is not an expression to repeat."""
-    return F.transform(F.array(value), of)[0]
+def bound(value: Column, of) -> Column:
+    """``of(value)``, the value computed once: a lambda's variable is not an expression to repeat.
+
+    The value is what an aggregate over no elements begins with. The item of an array would do the same, but asks for
+    the type and nullability of all that stands below it, for every row and twice as often with every level.
+    """
+    return F.aggregate(F.expr("cast(array() as array<int>)"), value, lambda held, _: held, of)
+
+
+def _kind(v: Column, told: Column) -> Column:
+    """The kind of a value whose SQL schema is ``told``."""
+    number = F.when(F.try_variant_get(v, "$", "double") == F.floor(F.try_variant_get(v, "$", "double")), "integer").otherwise("number")
+    kind = F.when(told == "STRING", "string").when(told == "BIGINT", "integer").when(told == "BOOLEAN", "boolean").when(told == "VOID", "null")
+    return kind.when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").otherwise(number)
 
 
 def _kinded(t: Column) -> Column:
     """The struct of v, its members m and its elements a with its kind."""
     v, m, a = t["v"], t["m"], t["a"]
-    scalar = F.schema_of_variant(v)
-    number = F.when(scalar == "BIGINT", "integer").otherwise(F.when(F.try_variant_get(v, "$", "double") == F.floor(F.try_variant_get(v, "$", "double")), "integer").otherwise("number"))
-    kind = F.when(m.isNotNull(), "object").when(a.isNotNull(), "array").when(F.is_variant_null(v), "null").when(scalar == "STRING", "string").when(scalar == "BOOLEAN", "boolean").otherwise(number)
+    kind = F.when(m.isNotNull(), "object").when(a.isNotNull(), "array").otherwise(bound(F.schema_of_variant(v), lambda told: _kind(v, told)))
     return F.struct(v.alias("v"), m.alias("m"), a.alias("a"), kind.alias("kind"))
 
 
+def _shut(v: Column) -> Column:
+    """The struct of v and its kind, for rules that look into neither members nor elements."""
+    return F.struct(v.alias("v"), bound(F.schema_of_variant(v), lambda told: _kind(v, told)).alias("kind"))
+
+
+def _any(tests: list[Column]) -> Column:
+    """Whether one of the tests holds. In and array_contains leave their loops by an exception, for every hit."""
+    half = len(tests) // 2
+    return _any(tests[:half]) | _any(tests[half:]) if half else tests[0] if tests else F.lit(False)
+
+
+def _all(tests: list[Column]) -> Column:
+    """Whether all tests hold."""
+    half = len(tests) // 2
+    return _all(tests[:half]) & _all(tests[half:]) if half else tests[0] if tests else F.lit(True)
+
+
 def _of_type(kind: Column, name: str) -> Column:
-    return kind.isin("integer", "number") if name == "number" else kind == name
+    return (kind == "integer") | (kind == "number") if name == "number" else kind == name
+
+
+def _has(m: Column, key: str) -> Column:
+    """Whether the members hold the key; a JSON null is a value."""
+    return F.try_element_at(m, F.lit(key)).isNotNull()
 
 
 class _Compiler:
     def __init__(self, root: dict):
-        self.root = root
+        self.root, self.none = root, F.expr(_NONE)
 
     def ref(self, name: str) -> Any:
         if not name.startswith("#"):
@@ -60,48 +95,63 @@ class _Compiler:
             found = found[part.replace("~1", "/").replace("~0", "~")]
         return found
 
-    def check(self, v: Column, schema: Any, path: Column, refs: int = 0) -> Column:
-        """array<struct<path, rule>> of what is wrong with v."""
+    def opens(self, schema: Any, refs: int) -> bool:
+        """Whether a schema's rules need a value's members or elements; references too deep do, and fail later."""
+        if isinstance(schema, bool):
+            return False
+        within = [y for rule in ITSELF & schema.keys() - {"$ref"} for y in (schema[rule] if isinstance(schema[rule], list) else [schema[rule]])]
+        if "$ref" in schema:
+            within.append({"items": True} if refs >= MOST_REFS else self.ref(schema["$ref"]))
+            refs += 1
+        return bool(INSIDE & schema.keys()) or any(self.opens(y, refs) for y in within)
+
+    def check(self, v: Column, schema: Any, path: Column | None, refs: int = 0) -> Column:
+        """array<struct<path, rule>> of what is wrong with v; without a path only whether nothing is."""
         if schema is True or schema == {}:
-            return F.expr(_NONE)
+            return F.lit(True) if path is None else self.none
         if schema is False:
-            return F.array(F.struct(path.alias("path"), F.lit("false").alias("rule")))
+            return F.lit(False) if path is None else F.array(F.struct(path.alias("path"), F.lit("false").alias("rule")))
         # each step is bound, or what stands before would be computed again wherever it is named
-        return _bound(v, lambda x: _bound(_parted(x), lambda t: _bound(_kinded(t), lambda s: self.rules(s, schema, path, refs))))
+        if not self.opens(schema, refs):
+            return bound(v, lambda x: bound(_shut(x), lambda s: self.rules(s, schema, path, refs)))
+        return bound(v, lambda x: bound(_parted(x), lambda t: bound(_kinded(t), lambda s: self.rules(s, schema, path, refs))))
 
-    def again(self, s: Column, schema: Any, path: Column, refs: int) -> Column:
+    def again(self, s: Column, schema: Any, path: Column | None, refs: int) -> Column:
         """:meth:`check` of a value that is open already."""
         if isinstance(schema, bool) or not schema:
             return self.check(s["v"], schema, path, refs)
         return self.rules(s, schema, path, refs)
 
-    def valid(self, s: Column, schema: Any, path: Column, refs: int) -> Column:
-        return F.size(self.again(s, schema, path, refs)) == 0
+    def each(self, values: Column, schema: Any, path: Column | None, refs: int, value, at) -> Column:
+        """:meth:`check` of every element: ``value`` and ``at`` give an element's value and its path."""
+        if path is None:
+            return F.forall(values, lambda e: self.check(value(e), schema, None, refs))
+        return F.flatten(F.transform(values, lambda e, i: self.check(value(e), schema, F.concat(path, F.lit("/"), at(e, i)), refs)))
 
-    def rules(self, s: Column, schema: dict, path: Column, refs: int) -> Column:
+    def rules(self, s: Column, schema: dict, path: Column | None, refs: int) -> Column:
         v, m, a, kind = s["v"], s["m"], s["a"], s["kind"]
         text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
         found: list[Column] = []
 
         def broken(rule: str, when: Column) -> None:
-            found.append(F.when(when, F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule")))).otherwise(F.expr(_NONE)))
+            found.append(F.coalesce(~when, F.lit(True)) if path is None else F.when(when, F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule")))).otherwise(self.none))
 
         def only(name: str, when: Column) -> Column:
             return _of_type(kind, name) & when
 
         def under(when: Column, of: Column) -> None:
-            found.append(F.coalesce(F.when(when, of), F.expr(_NONE)))
+            found.append(F.coalesce(F.when(when, of), F.lit(True) if path is None else self.none))
 
-        same = lambda x: F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(x))))
+        same = lambda x: F.to_json(F.parse_json(F.lit(json.dumps(x))))
         named = list(schema.get("properties", {}))
         for rule, x in schema.items():
             if rule in ANNOTATIONS or rule in ("then", "else"):
                 continue
             if rule == "type":
                 kinds = [_of_type(kind, t) for t in ([x] if isinstance(x, str) else x)]
-                broken(rule, ~F.array_contains(F.array(*kinds), True))
+                broken(rule, ~_any(kinds))
             elif rule in ("enum", "const"):
-                broken(rule, ~F.array_contains(F.array(*map(same, x if rule == "enum" else [x])), True))
+                broken(rule, bound(F.to_json(v), lambda j: ~_any([j == same(y) for y in (x if rule == "enum" else [x])])))
             elif rule == "minLength":
                 broken(rule, only("string", F.char_length(text) < x))
             elif rule == "maxLength":
@@ -126,24 +176,34 @@ class _Compiler:
                 broken(rule, only("object", F.size(m) < x))
             elif rule == "required":
                 for key in x:
-                    broken(f"required {key}", only("object", ~F.map_contains_key(m, F.lit(key))))
+                    broken(f"required {key}", only("object", ~_has(m, key)))
             elif rule == "properties":
-                for key, sub in x.items():
-                    under(only("object", F.map_contains_key(m, F.lit(key))), self.check(F.try_element_at(m, F.lit(key)), sub, F.concat(path, F.lit(f"/{key}")), refs))
+                # neighbours under one schema share its expression
+                for sub, keys in [(json.loads(sub), [*keys]) for sub, keys in groupby(x, lambda key: json.dumps(x[key]))]:
+                    if len(keys) == 1:
+                        under(only("object", _has(m, keys[0])), self.check(F.try_element_at(m, F.lit(keys[0])), sub, None if path is None else F.concat(path, F.lit(f"/{keys[0]}")), refs))
+                    else:
+                        given = F.filter(F.array(*[F.struct(F.lit(key).alias("key"), F.try_element_at(m, F.lit(key)).alias("value")) for key in keys]), lambda e: e["value"].isNotNull())
+                        under(kind == "object", self.each(given, sub, path, refs, lambda e: e["value"], lambda e, _: e["key"]))
             elif rule == "additionalProperties":
-                others = F.filter(F.map_entries(m), lambda e: ~e["key"].isin(*named)) if named else F.map_entries(m)
-                under(kind == "object", F.flatten(F.transform(others, self.extra_of(x, path, refs))))
+                others = F.filter(F.map_entries(m), lambda e: ~_any([e["key"] == key for key in named])) if named else F.map_entries(m)
+                if x is not False:
+                    under(kind == "object", self.each(others, x, path, refs, lambda e: e["value"], lambda e, _: e["key"]))
+                elif path is None:
+                    broken(rule, only("object", F.size(others) > 0))
+                else:
+                    under(kind == "object", F.transform(others, lambda e: F.struct(F.concat(path, F.lit("/"), e["key"]).alias("path"), F.lit("additionalProperties").alias("rule"))))
             elif rule == "items":
-                under(kind == "array", F.flatten(F.transform(a, self.item_of(x, path, refs))))
+                under(kind == "array", self.each(a, x, path, refs, lambda e: e, lambda _, i: i.cast("string")))
             elif rule == "allOf":
                 found.extend(self.again(s, sub, path, refs) for sub in x)
             elif rule in ("anyOf", "oneOf"):
-                n = sum((self.valid(s, sub, path, refs).cast("int") for sub in x), F.lit(0))
+                n = sum((self.again(s, sub, None, refs).cast("int") for sub in x), F.lit(0))
                 broken(rule, n < 1 if rule == "anyOf" else n != 1)
             elif rule == "not":
-                broken(rule, self.valid(s, x, path, refs))
+                broken(rule, self.again(s, x, None, refs))
             elif rule == "if":
-                holds = self.valid(s, x, path, refs)
+                holds = self.again(s, x, None, refs)
                 for branch, when in (("then", holds), ("else", ~holds)):
                     if branch in schema:
                         under(when, self.again(s, schema[branch], path, refs))
@@ -153,22 +213,9 @@ class _Compiler:
                 found.append(self.again(s, self.ref(x), path, refs + 1))
             else:
                 raise ValueError(f"the keyword {rule} is not known")
-        return F.concat(*found) if found else F.expr(_NONE)
-
-    def extra_of(self, schema: Any, path: Column, refs: int):
-        def of(entry: Column) -> Column:
-            at = F.concat(path, F.lit("/"), entry["key"])
-            if schema is False:
-                return F.array(F.struct(at.alias("path"), F.lit("additionalProperties").alias("rule")))
-            return self.check(entry["value"], schema, at, refs)
-
-        return of
-
-    def item_of(self, schema: Any, path: Column, refs: int):
-        def of(element: Column, i: Column) -> Column:
-            return self.check(element, schema, F.concat(path, F.lit("/"), i.cast("string")), refs)
-
-        return of
+        if path is None:
+            return _all(found)
+        return F.flatten(F.array(*found)) if found else self.none
 
 
 def violations(value: Column, schema: dict) -> Column:
@@ -180,7 +227,7 @@ def violations(value: Column, schema: dict) -> Column:
     the schema, nested at most eight deep; formats are annotations.
     """
     absent = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
-    return _bound(value, lambda v: F.when(v.isNull(), absent).otherwise(_Compiler(schema).check(v, schema, F.lit(""))))
+    return bound(value, lambda v: F.when(v.isNull(), absent).otherwise(_Compiler(schema).check(v, schema, F.lit(""))))
 
 
 def contract_violations(records: DataFrame, schema: dict, id_col: str, json_col: str) -> DataFrame:
@@ -229,13 +276,13 @@ def canonical(v: Column, deepest: int = DEEPEST) -> Column:
             return F.when(m.isNotNull() | a.isNotNull(), F.raise_error(F.lit(f"nested more than {deepest} deep"))).otherwise(scalar)
         keys = F.array_sort(F.map_keys(m))
         entries = F.coalesce(F.transform(keys, lambda k: F.struct(F.concat(_quoted(k), F.lit(": ")).alias("k"), F.try_element_at(m, k).alias("v"))), F.transform(a, lambda x: F.struct(F.lit("").alias("k"), x.alias("v"))))
-        parts = F.transform(entries, lambda e: F.concat(e["k"], _bound(_parted(e["v"]), lambda t: of(t, depth - 1))))
-        joined = _bound(parts, lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.array_join(p, ", ")))
+        parts = F.transform(entries, lambda e: F.concat(e["k"], bound(_parted(e["v"]), lambda t: of(t, depth - 1))))
+        joined = bound(parts, lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.array_join(p, ", ")))
         # the nested part stands once in the expression, or it would double with every level
         around = [F.when(m.isNotNull(), left).otherwise(right) for left, right in (("{", "["), ("}", "]"))]
         return F.when(m.isNotNull() | a.isNotNull(), F.concat(around[0], joined, around[1])).otherwise(scalar)
 
-    return _bound(_parted(v), lambda s: of(s, deepest))
+    return bound(_parted(v), lambda s: of(s, deepest))
 
 
 def _parted(v: Column) -> Column:

@@ -24,16 +24,14 @@ CASE = f"struct<id:string,A:{SLOT},B:{SLOT},preference:string,reason:string,evid
 def schema(cases: int = CASES) -> dict:
     """What a judge's output must look like on its own, before its references are followed."""
 
-    def dimension(name: str) -> dict:
-        proof = {"required": ["passage", "evidence_ids"] + ["pair_reason"] * (name == "conditional_coherence")}
-        given = {"properties": {"passage": _SAID, "evidence_ids": _CITED} | ({"pair_reason": _SAID} if name == "conditional_coherence" else {})}
-        return {
-            "type": "object", "required": ["score", "reason"],
-            "properties": {"reason": _SAID, "score": {"oneOf": [{"type": "integer", "minimum": 0, "maximum": 4}, {"const": "unassessed"}]}},
-            "if": {"properties": {"score": {"type": "number"}}}, "then": {"allOf": [proof, given]},
-        }
-
-    slot = {"type": "object", "required": [*DIMENSIONS], "additionalProperties": False, "properties": {d: dimension(d) for d in DIMENSIONS}}
+    assessed = {"properties": {"score": {"type": "number"}}}
+    dimension = {
+        "type": "object", "required": ["score", "reason"],
+        "properties": {"reason": _SAID, "score": {"oneOf": [{"type": "integer", "minimum": 0, "maximum": 4}, {"const": "unassessed"}]}},
+        "if": assessed, "then": {"required": ["passage", "evidence_ids"], "properties": {"passage": _SAID, "evidence_ids": _CITED}},
+    }
+    paired = {"if": assessed, "then": {"required": ["pair_reason"], "properties": {"pair_reason": _SAID}}}
+    slot = {"type": "object", "required": [*DIMENSIONS], "additionalProperties": False, "properties": {d: dimension for d in DIMENSIONS}, "allOf": [{"properties": {"conditional_coherence": paired}}]}
     case = {
         "type": "object", "required": ["id", "A", "B", "preference", "reason", "evidence_ids"],
         "properties": {"id": {"type": "string"}, "A": slot, "B": slot, "preference": {"enum": ["A", "B", "tie"]}, "reason": _SAID, "evidence_ids": _CITED},
@@ -76,16 +74,16 @@ def _opened_once(outputs: DataFrame, text_col: str) -> DataFrame:
         every = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(d).alias("dim"), c[s][d].alias("e")) for s in ("A", "B") for d in DIMENSIONS])
         number = lambda x: (F.schema_of_variant(x["e"]["score"]) == "BIGINT") & F.try_variant_get(x["e"]["score"], "$", "int").isNotNull()
         scored = F.filter(every, lambda x: F.coalesce(number(x), F.lit(False)))
-        return F.transform(F.array(scored), lambda found: F.struct(
+        return contracts.bound(scored, lambda found: F.struct(
             c["id"].alias("case_id"),
             F.transform(F.filter(found, lambda x: x["e"]["passage"].isNotNull()), lambda x: F.struct(x["slot"].alias("slot"), x["dim"].alias("dim"), x["e"]["passage"].alias("passage"))).alias("passages"),
-            F.array_distinct(F.concat(F.flatten(F.transform(found, lambda x: F.coalesce(x["e"]["evidence_ids"], none))), F.coalesce(c["evidence_ids"], none))).alias("cited")))[0]
+            F.array_distinct(F.concat(F.flatten(F.transform(found, lambda x: F.coalesce(x["e"]["evidence_ids"], none))), F.coalesce(c["evidence_ids"], none))).alias("cited")))
 
     def opened(v: Column) -> Column:
         cases = F.transform(F.try_variant_get(v, "$.cases", "array<variant>"), lambda x: F.try_variant_get(x, "$", CASE))
         return F.struct(contracts.violations(v, schema()).alias("violations"), F.transform(cases, case).alias("cases"))
 
-    rows = outputs.select("run", "judge", F.transform(F.array(contracts.record(F.col(text_col))), opened)[0].alias("_o"))
+    rows = outputs.select("run", "judge", contracts.bound(contracts.record(F.col(text_col)), opened).alias("_o"))
     return rows.select("run", "judge", "_o.*")
 
 
